@@ -50,11 +50,13 @@ def _header_patterns(header: str) -> tuple[str, str]:
     if m:
         rest = re.escape(m.group(2))
         body = f"(?:{m.group(1)}{RAW_SPACE}{{0,80}}{rest}|{rest}){NOT_BEFORE_WORD}"
+        begins = f"(?=[{m.group(1)}{header[2]}])"
     else:
         body = re.escape(header) + NOT_BEFORE_WORD
-    loose = rf"(?<=[\s\S]){NOT_AFTER_WORD}{body}"
-    strict = rf"(?=[\s\S]{{{len(header)}}}{RAW_SPACE}{{0,199}}\n){loose}"
-    return strict, loose
+        begins = f"(?={header[0]})"
+    before = rf"{begins}(?<=[\s\S]){NOT_AFTER_WORD}"
+    broken = rf"(?=[\s\S]{{{len(header)}}}{RAW_SPACE}{{0,199}}\n)"
+    return f"{before}{broken}{body}", f"{before}{body}"
 
 
 def _first(text: Column, pattern: Column | str) -> Column:
@@ -84,6 +86,7 @@ def sections(docs: DataFrame, books: list[str] | None = None) -> DataFrame:
             F.struct(
                 F.lit(i).alias("ord"),
                 F.lit(len(h)).alias("size"),
+                F.lit(re.sub(r"^\d\s+", "", h)).alias("word"),
                 F.lit(strict).alias("strict"),
                 F.lit(loose).alias("loose"),
             )
@@ -96,7 +99,11 @@ def sections(docs: DataFrame, books: list[str] | None = None) -> DataFrame:
 
     def step(s: Column, b: Column) -> Column:
         def choose(tail: Column) -> Column:
-            return F.coalesce(_first(tail, b["strict"]), _first(tail, b["loose"]))
+            # a plain byte search spares most books their pattern
+            return F.when(
+                F.contains(tail, b["word"]),
+                F.coalesce(_first(tail, b["strict"]), _first(tail, b["loose"])),
+            )
 
         def take(offset: Column) -> Column:
             start = s["last"] + offset
