@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.plans.catalog import corpus, text
+from lectern.plans.catalog import corpus, search, text
 
+flagship = search.flagship
 QUERIES = {}
 SQL = {}
-for part in (corpus, text):
+for part in (corpus, text, search):
     QUERIES.update(part.QUERIES)
     SQL.update(part.SQL)

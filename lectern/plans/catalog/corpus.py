@@ -347,6 +347,13 @@ SQL = {
     "d07_structure": f"""with {_L}, {_V}, k(book, abbr, chapter) as (values ('Génesis', 'Gén', 1), ('Génesis', 'Gén', 2), ('Rut', 'Rut', 1),
     ('1 Samuel', '1 Sam', 7), ('Salmos', 'Sal', 5), ('Abdías', 'Abd', 1))
   select doc_id, book, abbr, chapter, num, md5(text) as digest from clean, k where text <> ''""",
+    "d08_questions_answers": f"""with lines as (select doc_id, string_split(text, chr(10)) as l from documents),
+  v as (select doc_id, unnest(generate_series(1, len(l))) - 1 as id, unnest(l) as line from lines),
+  body as (select doc_id, id, {block_sql('line')} as t from v),
+  capped as (select doc_id, id, case when length(t) > 2500 then regexp_replace(substr(t, 1, 2500), ' [^ ]*$', '') || '…' else t end as t from body)
+  select doc_id, cast(id as int) as id, case when id = 0 then 1 else 7 end as numero,
+    case when id = 0 then '¿Cómo empieza todo esto?' else '¿Qué sigue ahora mismo?' end as pregunta, md5(t) as digest
+  from capped where length(t) >= 30""",
     "d09_length_profile": """with s as (select length(text) as size, row_number() over (order by length(text)) - 1 as i, count(*) over () as n from documents)
   select max(n) as n, cast(max(case when i = n // 2 then size end) as int) as median, cast(max(size) as int) as longest from s""",
 }
