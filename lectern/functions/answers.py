@@ -9,7 +9,7 @@ from lectern.functions.text import WEB_SPACE, web_trim
 
 # The body of a JSON string. The loops are possessive: a backtracking group would recurse
 # once per character in the JVM's regex engine and overflow its stack on long answers.
-STRING_BODY = r"[^\"\\]*+(?:\\[^\n\r  ][^\"\\]*+)*+"
+STRING_BODY = r"[^\"\\]*+(?:\\[^\n\r\u2028\u2029][^\"\\]*+)*+"
 
 
 def _field(name: str, closing: str) -> str:

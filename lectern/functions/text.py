@@ -12,18 +12,12 @@ from lectern import fixed
 from lectern.functions.binding import let
 
 # Whitespace classes: the JVM's \s is ASCII, the two scripting languages' are wider.
-WEB_SPACE = r"[\s   -     　﻿]"
-RAW_SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
-_WEB_SPACE_CHARS = (
-    " \t\n\u000b\f\r  "
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　﻿"
-)
-_RAW_SPACE_CHARS = (
-    " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085  "
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
-)
+WEB_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+RAW_SPACE = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_COMMON_SPACE = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+_COMMON_SPACE += "\u2028\u2029\u202f\u205f\u3000"
+_WEB_SPACE_CHARS = _COMMON_SPACE + "\ufeff"
+_RAW_SPACE_CHARS = _COMMON_SPACE + "\u001c\u001d\u001e\u001f\u0085"
 _ASCII_WORD_START = r"(?<![A-Za-z0-9_])"
 _ASCII_WORD_END = r"(?![A-Za-z0-9_])"
 
@@ -39,7 +33,7 @@ def raw_trim(c: Column) -> Column:
 
 
 def _is_mark(ch: str) -> bool:
-    return "̀" <= ch <= "ͯ"
+    return "\u0300" <= ch <= "\u036f"
 
 
 def _accent_pairs() -> tuple[str, str]:
@@ -66,7 +60,7 @@ _TOKEN_TO = _PLAIN + " " * len(fixed.SEARCH_BLANKED + _WEB_SPACE_CHARS)
 
 def normalize_block(c: Column) -> Column:
     """B1: drop soft hyphens, join words hyphenated over a line end, collapse white space."""
-    c = F.translate(c, "­", "")
+    c = F.translate(c, "\u00ad", "")
     c = F.regexp_replace(c, f"-\\n{RAW_SPACE}*+", "")
     return raw_trim(F.regexp_replace(c, f"{RAW_SPACE}++", " "))
 
@@ -125,13 +119,15 @@ def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
 
 def _compose(c: Column) -> Column:
     """Compose lower-case letter + mark pairs; texts without marks skip the work."""
-    composed = c
+    pairs = []
     for code in range(0x00E0, 0x0180):
-        ch = chr(code)
-        pair = unicodedata.normalize("NFD", ch)
-        if ch.islower() and len(pair) == 2 and _is_mark(pair[1]):
-            composed = F.replace(composed, F.lit(pair), F.lit(ch))
-    return F.when(c.rlike("[̀-ͯ]"), composed).otherwise(c)
+        pair = unicodedata.normalize("NFD", chr(code))
+        if chr(code).islower() and len(pair) == 2 and _is_mark(pair[1]):
+            pairs.append(F.struct(F.lit(pair).alias("pair"), F.lit(chr(code)).alias("letter")))
+    composed = F.aggregate(
+        F.array(*pairs), c, lambda text, p: F.replace(text, p["pair"], p["letter"])
+    )
+    return F.when(c.rlike(r"[\u0300-\u036f]"), composed).otherwise(c)
 
 
 def compare_fold(c: Column) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions.binding import let
 from lectern.functions.text import WEB_SPACE, compare_fold, ref_key, web_trim
 from lectern.operators.passages import by_ref, with_refs
 
 _SPACE = WEB_SPACE[1:-1]
 # lazy book name, chapter, separators, number; anchored, so ranges do not parse
 REFERENCE = (
-    rf"\A{WEB_SPACE}*([^\n\r  ]+?){WEB_SPACE}+(\d+)[{_SPACE},:.\-]+(\d+){WEB_SPACE}*\z"
+    rf"\A{WEB_SPACE}*([^\n\r\u2028\u2029]+?){WEB_SPACE}+(\d+)[{_SPACE},:.\-]+(\d+){WEB_SPACE}*\z"
 )
 
 
@@ -61,8 +62,8 @@ def resolve_books(refs: DataFrame, passages: DataFrame) -> DataFrame:
 
 def texts_agree(quoted: Column, stored: Column) -> Column:
     """H4: one folded text contains the other, so an empty quote passes."""
-    a, b = compare_fold(quoted), compare_fold(stored)
-    return F.contains(b, a) | F.contains(a, b)
+    folded = F.struct(compare_fold(quoted).alias("a"), compare_fold(stored).alias("b"))
+    return let(folded, lambda f: F.contains(f["b"], f["a"]) | F.contains(f["a"], f["b"]))
 
 
 def validate(quotes: DataFrame, passages: DataFrame) -> DataFrame:

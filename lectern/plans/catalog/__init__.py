@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.plans.catalog import corpus, search, text
+from lectern.plans.catalog import corpus, quoted, search, store, text
 
 flagship = search.flagship
 QUERIES = {}
 SQL = {}
-for part in (corpus, text, search):
+for part in (corpus, text, search, quoted, store):
     QUERIES.update(part.QUERIES)
     SQL.update(part.SQL)

@@ -89,7 +89,7 @@ def _quantized_store(spark, folder):
 def _vector_search(spark, folder):
     known = inputs.passages(spark, folder).filter("lang <> 'fr'").select(c("pos").cast("string").alias("ref"), c("ref").alias("key"))
     return vector_search.search(_vector_queries(spark, folder), _quantized_store(spark, folder), known).select(
-        "query_id", "rank", "key", F.round("score", 5).alias("score")
+        "query_id", "rank", "key", "score"
     )
 
 
@@ -106,7 +106,7 @@ def qa_hits(spark, folder, queries):
 
 def _qa_search(spark, folder):
     return qa_hits(spark, folder, _vector_queries(spark, folder)).select(
-        "query_id", "rank", c("ref").alias("id"), F.round("score", 5).alias("score"), F.md5("answer").alias("answer")
+        "query_id", "rank", c("ref").alias("id"), "score", F.md5("answer").alias("answer")
     )
 
 
@@ -115,7 +115,7 @@ def _relevant(spark, folder):
     means = _vector_queries(spark, folder).select(c("query_id").cast("bigint").alias("pos"), "v")
     asking = inputs.vectors(spark, folder).select(c("pos").alias("query_id"), "v")
     hits = vector_search.nearest(asking, means, fixed.DEFAULT_QA_K)
-    return vector_search.relevant(hits).select("query_id", "pos", "rank", F.round("score", 5).alias("score"))
+    return vector_search.relevant(hits, 0.3).select("query_id", "pos", "rank", "score")
 
 
 def _hashed(spark, folder):
@@ -208,7 +208,7 @@ QUERIES = {
     "f09_unembedded": _unembedded,
     "f10_size_report": lambda s, d: vector_search.size_report(inputs.vectors(s, d)),
     "f11_throughput": _throughput,
-    "g01_search_with_fallback": lambda s, d: fallback_hits(s, d).withColumn("score", F.round("score", 5)),
+    "g01_search_with_fallback": fallback_hits,
     "g02_history_window": lambda s, d: assemble.history_window(inputs.messages(s, d), 3).select("conv_id", "turn", "role", F.md5("content").alias("digest")),
     "g03_expanded_query": _expanded,
     "g04_turns_to_messages": _turn_messages,
@@ -293,11 +293,11 @@ SQL = {
     "f04_cosine_quantized": f"""with {QUANTIZED} select a.pos, round({_cos('a.v', 'b.q')}, 6) as score, 0.0::double as with_zero
   from quantized a join quantized b on b.pos = a.pos + 1""",
     "f05_vector_top_k": f"""with {inputs.PASSAGES}, {QUANTIZED}, {_MEANS}, {_ASKED_MEANS}, {_nearest('asked', 8)}
-  select query_id, cast(rank as int) as rank, ref as key, round(score, 5) as score from hits join passages using (pos) where lang <> 'fr'""",
+  select query_id, cast(rank as int) as rank, ref as key, score from hits join passages using (pos) where lang <> 'fr'""",
     "f06_qa_top_k": f"""with {inputs.LIVE_TURNS}, {_QA}, {QUANTIZED}, {_MEANS}, {_ASKED_MEANS}, {_nearest('asked', 2)}
-  select query_id, cast(rank as int) as rank, id, round(score, 5) as score, md5(answer) as answer from hits join qa on id = cast(pos as varchar)""",
+  select query_id, cast(rank as int) as rank, id, score, md5(answer) as answer from hits join qa on id = cast(pos as varchar)""",
     "f07_relevant_only": f"""with {_MEANS}, store as (select label as pos, v from means), asked as (select vec_id as query_id, embedding as v from embeddings),
-  {_nearest('asked', 2, 'hits', 'store', 'v')} select query_id, cast(pos as bigint) as pos, cast(rank as int) as rank, round(score, 5) as score from hits where score >= 0.5""",
+  {_nearest('asked', 2, 'hits', 'store', 'v')} select query_id, cast(pos as bigint) as pos, cast(rank as int) as rank, score from hits where score >= 0.3""",
     "f08_hashed_embedding": f"select doc_id as ref, 64 as dim, cast(len({tokens_sql('text')}) as bigint) as total from documents",
     "f09_unembedded": """select doc_id as ref, cast(length(text) as int) as chars from documents
   where doc_id not in (select vec_id from embeddings where label < 5)""",
@@ -306,7 +306,7 @@ SQL = {
     "f11_throughput": """with l as (select count(*) as done, sum((value + 1) / 128) as seconds from events)
   select done, round(seconds, 4) as seconds, round(done / seconds, 4) as rows_per_second,
     round(((select count(*) from lineitem) - done) / (done / seconds), 4) as remaining_seconds from l""",
-    "g01_search_with_fallback": f"with {_FALLBACK} select query_id, pos, round(score, 5) as score, cast(rank as int) as rank, mode from fallback",
+    "g01_search_with_fallback": f"with {_FALLBACK} select query_id, pos, score, cast(rank as int) as rank, mode from fallback",
     "g02_history_window": f"with {inputs.MESSAGES}, {_RECENT % 3} select conv_id, turn, role, md5(content) as digest from recent",
     "g03_expanded_query": f"""with {inputs.MESSAGES}, {_RECENT % 3}, last2 as (select * from
     (select *, row_number() over (partition by conv_id order by turn desc) as m from recent where role = 'user') where m <= 2),

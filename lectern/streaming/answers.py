@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern import fixed
 
-_BODY = r'((?:[^"\\]|\\[^\n\r  ])*)'
+_BODY = r'((?:[^"\\]|\\[^\n\r\u2028\u2029])*)'
 _CLOSED = {n: re.compile(rf'"{n}"\s*:\s*"{_BODY}"') for n in ("reference", "text", "response")}
 _OPEN = re.compile(rf'"response"\s*:\s*"{_BODY}\Z')
 _ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ("\\r", ""), ('\\"', '"'), ("\\\\", "\\"))
