@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
 from lectern.functions.text import WEB_SPACE, web_trim
 
 # The body of a JSON string. The loops are possessive: a backtracking group would recurse
@@ -38,8 +39,13 @@ def partial_fields(raw: Column) -> Column:
     """struct(reference, text, response) found so far in an incomplete JSON text.
 
     ``reference`` and ``text`` are null until both are closed; ``response`` is '' until it
-    has begun.
+    has begun. Binding the text keeps the optimizer from repeating the whole of it in every
+    later use of a field.
     """
+    return let(raw, _partial_fields)
+
+
+def _partial_fields(raw: Column) -> Column:
     both = raw.rlike(CLOSED["reference"]) & raw.rlike(CLOSED["text"])
     reference = F.when(both, unescape(F.regexp_extract(raw, CLOSED["reference"], 1)))
     text = F.when(both, unescape(F.regexp_extract(raw, CLOSED["text"], 1)))
@@ -64,6 +70,10 @@ def final_fields(raw: Column) -> Column:
     """
     # inside brackets, so that text after the object is an error and not ignored
     whole = F.try_parse_json(F.concat(F.lit("["), json_body(raw), F.lit("]")))
+    return let(whole, _final_fields)
+
+
+def _final_fields(whole: Column) -> Column:
     alone = F.try_variant_get(whole, "$[1]", "variant").isNull()
     v = F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
     response = F.try_variant_get(v, "$.response", "variant")

@@ -248,7 +248,7 @@ def _web_number(c: Column) -> Column:
 def maps_link(uri: Column, lat: Column, lng: Column, place_id: Column) -> Column:
     """The given link, else one built from position and id."""
     built = F.format_string(fixed.MAPS_LINK, _web_number(lat), _web_number(lng), place_id)
-    return F.coalesce(F.nullif(uri, F.lit("")), built)
+    return F.coalesce(F.nullif(uri, F.lit("")), F.when(lat.isNotNull() & lng.isNotNull(), built))
 
 
 def word_pieces(c: Column) -> Column:

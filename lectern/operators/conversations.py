@@ -43,7 +43,7 @@ def constraint_report(conversations: DataFrame, turns: DataFrame) -> DataFrame:
         counted = df.agg(
             *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"{table}.{c} not null") for c in columns]
         )
-        return counted.unpivot([], counted.columns, "rule", "violations")
+        return counted.unpivot([], [F.col(f"`{c}`") for c in counted.columns], "rule", "violations")
 
     orphans = turns.join(
         conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_anti"

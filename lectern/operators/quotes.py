@@ -19,14 +19,18 @@ REFERENCE = (
 
 def parse_reference(reference: Column) -> Column:
     """H1: struct(book, chapter, num), null when the reference does not parse."""
-    return F.when(
-        reference.rlike(REFERENCE),
-        F.struct(
-            F.regexp_extract(reference, REFERENCE, 1).alias("book"),
-            F.regexp_extract(reference, REFERENCE, 2).try_cast("bigint").alias("chapter"),
-            F.regexp_extract(reference, REFERENCE, 3).try_cast("bigint").alias("num"),
-        ),
-    )
+
+    def parts(r: Column) -> Column:
+        return F.when(
+            r.rlike(REFERENCE),
+            F.struct(
+                F.regexp_extract(r, REFERENCE, 1).alias("book"),
+                F.regexp_extract(r, REFERENCE, 2).try_cast("bigint").alias("chapter"),
+                F.regexp_extract(r, REFERENCE, 3).try_cast("bigint").alias("num"),
+            ),
+        )
+
+    return let(reference, parts)
 
 
 def book_names(passages: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def quoted(spark, folder):
         .otherwise(F.concat(c("book"), F.lit(" 99"), at))
     )
     text = (
-        F.when(form == 1, F.upper("text"))
+        F.when((form == 1) & (c("lang") != "de"), F.upper("text"))
         .when(form == 2, F.concat(F.lit("«"), F.substring("text", 5, 40), F.lit("»")))
         .when((form == 0) & (c("lang") == "fr"), F.concat(F.lit("otra cosa "), c("lang")))
         .when((form == 0) & (c("lang") == "de"), F.lit(" (¡!) "))
@@ -175,7 +175,7 @@ _QUOTED = f"""{inputs.PASSAGES}, quoted as (
     when 4 then 'Nadie ' || chapter || ':' || num
     when 5 then abbr || ' ' || chapter || ':' || num || '-9'
     else book || ' 99' || chapter || ':' || num end as reference,
-    case when pos % 7 = 1 then upper(text) when pos % 7 = 2 then '«' || substr(text, 5, 40) || '»'
+    case when pos % 7 = 1 and lang <> 'de' then upper(text) when pos % 7 = 2 then '«' || substr(text, 5, 40) || '»'
       when pos % 7 = 0 and lang = 'fr' then 'otra cosa fr' when pos % 7 = 0 and lang = 'de' then ' (¡!) ' else text end as text
   from passages),
 parsed as (
@@ -209,10 +209,11 @@ def _grab(name: str, close: str) -> str:
     return rf"""regexp_extract(prefix, '"{name}"\s*:\s*"((?:[^"\\]|\\.)*){close}', 1)"""
 
 
+_SEEN = _D % f"coalesce(nullif({_grab('response', chr(34))}, ''), {_grab('response', '$')})"
 _PARTIAL = f"""{_RAW}, partial as (
   select answer_id, seq, case when regexp_matches(prefix, '"text"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"') then {_D % _grab('reference', '"')} end as reference,
     case when regexp_matches(prefix, '"text"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"') then {_D % _grab('text', '"')} end as text,
-    {_D} as response from prefixes)""".replace(_D, _D % f"coalesce(nullif({_grab('response', chr(34))}, ''), {_grab('response', '$')})")
+    {_SEEN} as response from prefixes)"""
 _ODD = "regexp_matches(answer_id, '[13579]$')"
 
 SQL = {
@@ -239,7 +240,7 @@ SQL = {
   case when not {_ODD} then md5(verse_text) end as text, case when not {_ODD} then md5(response) end as response from raws""",
     "i05_results": f"""with {_RAW}, {_QUOTED.split('quoted as (', 1)[0].rstrip().rstrip(',').replace(inputs.PASSAGES, 'known as (select distinct lower(book) as k from passages)')},
   cut as (select *, case when {_ODD} then substr(raw, 1, (cast(ceil(length(raw) / {PIECE}) as bigint) - 1) * {PIECE}) end as prefix from raws),
-  seen as (select *, {_D % _grab('response', '$')} as part,
+  seen as (select *, {_SEEN} as part,
     regexp_matches(prefix, '"text"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"') as versed from cut)
   select answer_id, case when prefix is null or versed then verse_reference end as reference,
     case when prefix is null or versed then md5(verse_text) end as text,

@@ -265,8 +265,8 @@ SQL = {
     "j07_owned_conversations": f"with {inputs.HEADERS}, {_USERS} select id, user_id from headers where user_id in (select user_id from users)",
     "j08_owned_turns": f"""with {_T}, {_USERS} select t.id, t.conversation_id, t.ord from turns t
   where exists (select 1 from headers h where h.id = t.conversation_id and h.user_id in (select user_id from users))""",
-    "j09_recent_conversations": """select user_id, cast(position as int) as position, id, title, strftime(at, '%Y-%m-%d %H:%M:%S') as updated_at from (
-  select o_custkey as user_id, o_orderkey as id, o_orderpriority as title, o_orderdate as at,
+    "j09_recent_conversations": """select user_id, cast(position as int) as position, id, title, strftime(changed, '%Y-%m-%d %H:%M:%S') as updated_at from (
+  select o_custkey as user_id, o_orderkey as id, o_orderpriority as title, o_orderdate as changed,
     row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as position from orders) where position <= 5""",
     "j10_load_conversations": f"""with {_T} select cast(c_custkey as varchar) as id, h.id is not null as found, h.title, {inputs.sql_seconds('h.created_at')},
   t.ord, md5(t.question) as question, t.verse_reference, md5(t.response) as response
