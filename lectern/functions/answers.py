@@ -19,6 +19,7 @@ def _field(name: str, closing: str) -> str:
 
 CLOSED = {name: _field(name, '"') for name in ("reference", "text", "response")}
 OPEN_RESPONSE = _field("response", r"\z")
+RESPONSE_HEAD = rf'"response"{WEB_SPACE}*+:{WEB_SPACE}*+"'
 
 
 def unescape(c: Column) -> Column:

@@ -6,13 +6,21 @@ row per answer; nothing larger than an answer is ever gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.functions.answers import final_fields, partial_fields
+from lectern.functions.answers import (
+    CLOSED,
+    RESPONSE_HEAD,
+    STRING_BODY,
+    final_fields,
+    partial_fields,
+    unescape,
+)
+from lectern.functions.binding import let
 from lectern.functions.text import web_trim
-from lectern.operators.quotes import apply_to_answers, validate
+from lectern.operators.quotes import apply_to_answers
 
 
 def accumulate(deltas: DataFrame) -> DataFrame:
@@ -26,7 +34,9 @@ def accumulate(deltas: DataFrame) -> DataFrame:
 def prefixes(deltas: DataFrame) -> DataFrame:
     """``(answer_id, seq, raw)``: the text received up to each piece.
 
-    The answer is gathered once and its prefixes are cut from it by running length.
+    The answer is gathered once and its prefixes are cut from it by running length. The rows
+    hold the square of an answer's pieces, so this is for looking at; ``emissions`` and
+    ``last_sent`` work from pieces and positions.
     """
     gathered = deltas.groupBy("answer_id").agg(
         F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p")
@@ -42,41 +52,99 @@ def prefixes(deltas: DataFrame) -> DataFrame:
     )
 
 
+def _end_of(raw: Column, pattern: str) -> Column:
+    """Characters up to the end of the first match, null without one."""
+    parts = F.split(raw, pattern, 2)
+    return F.when(
+        F.size(parts) == 2,
+        F.length(F.get(parts, F.lit(0))) + F.length(F.regexp_extract(raw, pattern, 0)),
+    )
+
+
+def _landmarks(raw: Column) -> Column:
+    """Where the fields of an answer begin and end, in characters, and its passage."""
+    body = F.regexp_extract(raw, RESPONSE_HEAD + f"({STRING_BODY})", 1)
+    begin = _end_of(raw, RESPONSE_HEAD)
+    fields = partial_fields(raw)
+    return F.struct(
+        F.greatest(_end_of(raw, CLOSED["reference"]), _end_of(raw, CLOSED["text"])).alias("verse_end"),
+        fields["reference"].alias("reference"),
+        fields["text"].alias("text"),
+        begin.alias("begin"),
+        (begin + F.length(body)).alias("end"),
+        raw.rlike(CLOSED["response"]).alias("closed"),
+    )
+
+
 def emissions(deltas: DataFrame) -> DataFrame:
     """``(answer_id, seq, event, reference, text)``: what is sent on at each piece.
 
-    A ``verse`` event when the passage differs from the one sent last, a ``response_delta``
-    event with only the new end of the response.
+    A ``verse`` event once both parts of the passage are closed, ``response_delta`` events
+    with only the new end of the response.
+
+    No prefix is ever built, so the work grows with the text and not with its square. A
+    string field that is closed in some prefix is the same in every longer one, so it is
+    enough to know where in the whole answer the fields begin and end. A piece's share of
+    the response is decoded on its own. Two things reach over its edges: a prefix ending in
+    an odd run of backslashes shows no response, so its piece is sent with the next one; and
+    an even run in front may pair differently with the letter behind it, so the run is
+    decoded again with the piece and its own characters are cut off.
     """
-    parsed = prefixes(deltas).select("answer_id", "seq", partial_fields(F.col("raw")).alias("f"))
+    marks = accumulate(deltas).select("answer_id", let(F.col("raw"), _landmarks).alias("m"))
     w = Window.partitionBy("answer_id").orderBy("seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    response = F.nullif("f.response", F.lit(""))
-    verse = F.when(F.col("f.reference").isNotNull(), F.struct("f.reference", "f.text"))
-    steps = parsed.select(
-        "answer_id",
-        "seq",
-        verse.alias("verse"),
-        response.alias("response"),
-        F.last(verse, ignorenulls=True).over(before).alias("sent_verse"),
-        F.coalesce(F.last(response, ignorenulls=True).over(before), F.lit("")).alias("sent"),
+    n = F.length("text")
+    plain = F.length(F.rtrim("text", F.lit("\\")))
+    placed = (
+        deltas.join(marks, "answer_id")
+        .withColumn("stop", F.sum(n).over(upto))
+        .withColumn("start", F.col("stop") - n)
+        .withColumn("run", F.col("stop") - F.coalesce(
+            F.max(F.when(plain > 0, F.col("start") + plain)).over(upto), F.lit(0)
+        ))
     )
-    verses = steps.filter(
-        F.col("verse").isNotNull() & ~F.col("verse").eqNullSafe(F.col("sent_verse"))
-    ).select(
-        "answer_id", "seq", F.lit("verse").alias("event"), "verse.reference", "verse.text"
+    verses = placed.filter("start < m.verse_end and stop >= m.verse_end").select(
+        "answer_id", "seq", F.lit("verse").alias("event"), "m.reference", "m.text"
     )
-    grown = F.substring("response", F.length("sent") + 1, F.length("response"))
-    responses = steps.filter(
-        F.col("response").isNotNull() & (F.col("response") != F.col("sent")) & (grown != "")
-    ).select(
+    low, high = F.greatest("start", "m.begin"), F.least("stop", "m.end")
+    finished = F.col("m.closed") & (F.col("stop") > F.col("m.end"))
+    run = F.when(finished, 0).otherwise(F.least("run", F.col("stop") - F.col("m.begin")))
+    shares = (
+        placed.filter("stop > m.begin")
+        .select(
+            "answer_id",
+            "seq",
+            F.substring("text", (low - F.col("start") + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int")).alias("share"),
+            run.alias("run"),
+        )
+        .withColumn("shown", F.col("run") % 2 == 0)
+        .select(
+            "answer_id",
+            "seq",
+            "share",
+            "shown",
+            F.coalesce(F.sum(F.col("shown").cast("int")).over(before), F.lit(0)).alias("step"),
+            F.coalesce(F.last(F.when(F.col("shown"), F.col("run")), ignorenulls=True).over(before), F.lit(0)).alias("again"),
+        )
+    )
+    # a step is one piece, or several when those before it ended in an odd run
+    steps = shares.groupBy("answer_id", "step").agg(
+        F.max(F.when(F.col("shown"), F.col("seq"))).alias("seq"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("seq", "share"))), lambda x: x["share"]), ""
+        ).alias("share"),
+        F.max("again").cast("int").alias("again"),
+    )
+    decoded = unescape(F.concat(F.repeat(F.lit("\\"), F.col("again")), F.col("share")))
+    responses = steps.filter("seq is not null and share <> ''").select(
         "answer_id",
         "seq",
         F.lit("response_delta").alias("event"),
         F.lit(None).cast("string").alias("reference"),
-        grown.alias("text"),
+        F.substring(decoded, (F.col("again") / 2 + 1).cast("int"), F.length(decoded)).alias("text"),
     )
-    return verses.unionByName(responses)
+    return verses.unionByName(responses.filter("text <> ''"))
 
 
 _LONE_BACKSLASH = r"(?<!\\)(?:\\\\)*+\\\z"
@@ -122,36 +190,28 @@ def results(deltas: DataFrame, passages: DataFrame) -> DataFrame:
     when that is long enough or holds a passage (checked again); else the apology.
     """
     sent = last_sent(deltas).select("*", final_fields(F.col("raw")).alias("final"))
-    parsed = sent.filter("final is not null").select(
-        "answer_id", "final.reference", "final.text", "final.response"
-    )
-    good = apply_to_answers(parsed, passages).withColumn("source", F.lit("parsed"))
+    said = web_trim(F.col("response"))
+    readable = F.col("final").isNotNull()
+    kept = (F.length(said) > fixed.SALVAGE_MINIMUM) | F.col("reference").isNotNull()
 
-    broken = sent.filter("final is null").select("answer_id", "reference", "text", "response")
-    kept = (F.length(web_trim(F.col("response"))) > fixed.SALVAGE_MINIMUM) | F.col(
-        "reference"
-    ).isNotNull()
-    checked = validate(broken.filter(kept), passages)
-    salvaged = checked.select(
-        "answer_id",
-        F.col("found_reference").alias("reference"),
-        F.col("found_text").alias("text"),
-        F.coalesce(
-            F.nullif(web_trim(F.col("response")), F.lit("")), F.lit(fixed.KEEP_TALKING)
-        ).alias("response"),
-        F.lit(None).cast("string").alias("warning"),
-        F.lit("salvaged").alias("source"),
-    )
-    null = F.lit(None).cast("string")
-    lost = broken.filter(~kept).select(
+    def either(name: str) -> Column:
+        return F.when(readable, F.col(f"final.{name}")).when(kept, F.col(name))
+
+    chosen = sent.select(
         "answer_id",
-        null.alias("reference"),
-        null.alias("text"),
-        F.lit(fixed.APOLOGY).alias("response"),
-        null.alias("warning"),
-        F.lit("apology").alias("source"),
+        F.when(readable, "parsed").when(kept, "salvaged").otherwise("apology").alias("source"),
+        either("reference").alias("reference"),
+        either("text").alias("text"),
+        F.when(readable, F.col("final.response"))
+        .when(kept, F.coalesce(F.nullif(said, F.lit("")), F.lit(fixed.KEEP_TALKING)))
+        .otherwise(F.lit(fixed.APOLOGY))
+        .alias("response"),
+    )
+    checked = apply_to_answers(chosen, passages)
+    warning = F.when(F.col("source") == "parsed", F.col("warning"))
+    return checked.withColumn("warning", warning).select(
+        "answer_id", "reference", "text", "response", "warning", "source"
     )
-    return good.unionByName(salvaged).unionByName(lost)
 
 
 EVENT_DATA = "struct<reference: string, text: string, response: string, message: string, verse: struct<reference: string, text: string>>"
@@ -162,60 +222,50 @@ def fold_turns(frames: DataFrame) -> DataFrame:
 
     ``frames`` (stream_id, seq, event, data). Everything the fold keeps depends on the place
     of the last ``result``: the passage and response before it are overwritten, deltas after
-    it are appended. So one aggregate finds that place and one more gathers the deltas of the
-    turn that still count.
+    it are appended. So one aggregation with the last event of each kind and the deltas of
+    the turn says it all.
     """
-    d = F.from_json("data", EVENT_DATA)
-    rows = frames.select("stream_id", "seq", "event", d.alias("d"))
-    at = F.col("seq")
-
-    def last(value, event):
-        return F.max_by(value, F.when(F.col("event") == event, at))
-
-    marks = rows.groupBy("stream_id").agg(
-        F.max(F.when(F.col("event") == "result", at)).alias("result_at"),
-        F.max(F.when(F.col("event") == "verse", at)).alias("verse_at"),
-        F.max(F.when(F.col("event") == "response_delta", at)).alias("delta_at"),
-        F.max(F.when(F.col("event") == "error", at)).alias("error_at"),
+    rows = frames.select("stream_id", "seq", "event", F.from_json("data", EVENT_DATA).alias("d"))
+
+    def at(event: str) -> Column:
+        return F.when(F.col("event") == event, F.col("seq"))
+
+    def last(value: Column, event: str) -> Column:
+        return F.max_by(value, at(event))
+
+    pieces = F.when(
+        F.col("event") == "response_delta", F.struct("seq", F.col("d.text").alias("text"))
+    )
+    turns = rows.groupBy("stream_id").agg(
+        F.max(at("result")).alias("result_at"),
+        F.max(at("verse")).alias("verse_at"),
+        F.max(at("response_delta")).alias("delta_at"),
+        F.max(at("error")).alias("error_at"),
         last(F.struct("d.verse", "d.response"), "result").alias("result"),
         last(F.struct("d.reference", "d.text"), "verse").alias("verse"),
         last(F.struct("d.message"), "error").alias("failure"),
+        F.sort_array(F.collect_list(pieces)).alias("pieces"),
     )
-    late = (
-        rows.filter(F.col("event") == "response_delta")
-        .join(marks.select("stream_id", "result_at"), "stream_id")
-        .filter(F.col("result_at").isNull() | (at > F.col("result_at")))
-        .groupBy("stream_id")
-        .agg(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.struct("seq", F.col("d.text").alias("text")))),
-                    lambda x: x["text"],
-                ),
-                "",
-            ).alias("tail")
-        )
-    )
-    none = F.lit(-1)
-    r, v, dl, e = (
-        F.coalesce(c, none) for c in ("result_at", "verse_at", "delta_at", "error_at")
+    r, v, d, e = (
+        F.coalesce(c, F.lit(-1)) for c in ("result_at", "verse_at", "delta_at", "error_at")
     )
+    tail = F.filter("pieces", lambda p: p["seq"] > r)
     verse = F.when(v > r, F.col("verse")).otherwise(F.col("result.verse"))
     response = F.when(
-        F.col("result.response").isNotNull() | F.col("tail").isNotNull(),
-        F.concat(F.coalesce("result.response", F.lit("")), F.coalesce("tail", F.lit(""))),
+        F.col("result.response").isNotNull() | (F.size(tail) > 0),
+        F.concat(
+            F.coalesce("result.response", F.lit("")),
+            F.array_join(F.transform(tail, lambda p: p["text"]), ""),
+        ),
     )
-    newest = F.greatest(r, v, dl, e)
+    newest = F.greatest(r, v, d, e)
     status = (
-        F.when(r < 0, "error")
-        .when(newest == e, "error")
-        .when(newest == r, "done")
-        .otherwise("streaming")
+        F.when((r < 0) | (newest == e), "error").when(newest == r, "done").otherwise("streaming")
     )
     error = F.when(r < 0, F.lit(fixed.NO_ANSWER)).when(
         e >= 0, F.coalesce("failure.message", F.lit(fixed.SOMETHING_WRONG))
     )
-    return marks.join(late, "stream_id", "left").select(
+    return turns.select(
         "stream_id",
         verse["reference"].alias("reference"),
         verse["text"].alias("text"),

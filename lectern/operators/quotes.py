@@ -45,12 +45,18 @@ def abbreviations(passages: DataFrame) -> DataFrame:
     return passages.select(F.lower("abbr").alias("abbr_key")).distinct()
 
 
+def _nowhere() -> Column:
+    """A key that no row has. References that do not parse would otherwise all share the
+    null key, and a table full of them would land in one task of a left join."""
+    return F.concat(F.lit("\x00"), F.xxhash64("reference", "text").cast("string"))
+
+
 def resolve_books(refs: DataFrame, passages: DataFrame) -> DataFrame:
     """H2: add ``abbr``: by full name first, else the typed spelling if any abbreviation equals
     it case-insensitively, else null. ``refs`` has a ``parsed`` struct."""
-    book = F.lower(F.col("parsed.book"))
+    book = web_trim(F.lower(F.col("parsed.book")))
     return (
-        refs.withColumn("book_key", web_trim(book))
+        refs.withColumn("book_key", F.coalesce(book, _nowhere()))
         .join(book_names(passages), F.col("book_key") == F.col("name_key"), "left")
         .join(abbreviations(passages), F.col("book_key") == F.col("abbr_key"), "left")
         .withColumn(
@@ -77,11 +83,14 @@ def validate(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     """
     parsed = quotes.withColumn("parsed", parse_reference(F.col("reference")))
     resolved = resolve_books(parsed, passages).withColumn(
-        "ref", ref_key(F.col("abbr"), F.col("parsed.chapter"), F.col("parsed.num"))
+        "ref",
+        F.coalesce(
+            ref_key(F.col("abbr"), F.col("parsed.chapter"), F.col("parsed.num")), _nowhere()
+        ),
     )
     # only quoted passages take part in the shuffle that keeps the last of each key
     quoted = with_refs(passages).join(
-        resolved.select("ref").filter("ref is not null").distinct(), "ref", "left_semi"
+        resolved.filter("abbr is not null").select("ref").distinct(), "ref", "left_semi"
     )
     stored = by_ref(quoted).select(
         "ref",
@@ -110,16 +119,18 @@ def validate(quotes: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def apply_to_answers(answers: DataFrame, passages: DataFrame) -> DataFrame:
-    """H6: ``(answer_id, reference, text, response, warning)``.
+    """H6: ``(answer_id, reference, text, response, warning)`` and any further columns.
 
     A passage that fails is dropped with a warning, the response stays; an answer without a
     passage passes.
     """
+    others = [c for c in answers.columns if c not in ("answer_id", "reference", "text", "response")]
     checked = validate(answers.filter("reference is not null"), passages).select(
         "answer_id",
         F.col("found_reference").alias("reference"),
         F.col("found_text").alias("text"),
         "response",
+        *others,
         F.when(~F.col("ok"), F.concat(F.lit(fixed.WARNING_PREFIX), F.col("reason"))).alias("warning"),
     )
     plain = answers.filter("reference is null").select(
@@ -127,6 +138,7 @@ def apply_to_answers(answers: DataFrame, passages: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("reference"),
         F.lit(None).cast("string").alias("text"),
         "response",
+        *others,
         F.lit(None).cast("string").alias("warning"),
     )
     return checked.unionByName(plain)

@@ -99,11 +99,7 @@ def sections(docs: DataFrame, books: list[str] | None = None) -> DataFrame:
 
     def step(s: Column, b: Column) -> Column:
         def choose(tail: Column) -> Column:
-            # a plain byte search spares most books their pattern
-            return F.when(
-                F.contains(tail, b["word"]),
-                F.coalesce(_first(tail, b["strict"]), _first(tail, b["loose"])),
-            )
+            return F.coalesce(_first(tail, b["strict"]), _first(tail, b["loose"]))
 
         def take(offset: Column) -> Column:
             start = s["last"] + offset
@@ -115,7 +111,9 @@ def sections(docs: DataFrame, books: list[str] | None = None) -> DataFrame:
         return let(let(_from(value, s["last"]), choose), take)
 
     start = F.struct(F.lit(0).alias("last"), F.array().alias("hits")).cast(state)
-    hits = F.aggregate(dim, start, step)["hits"]
+    # a plain byte search leaves only the books whose word occurs at all
+    present = F.filter(dim, lambda b: F.contains(value, b["word"]))
+    hits = F.aggregate(present, start, step)["hits"]
 
     def chunk(h: Column, following: Column) -> Column:
         end = F.coalesce(following["start"], F.length(value))
@@ -278,11 +276,8 @@ def split_passages(chunk: Column) -> Column:
                 kept,
                 lambda k, j: F.struct(
                     (j + 1).alias("num"),
-                    raw_trim(
-                        F.regexp_replace(
-                            _pieces(p["texts"], p["marks"], kept, j), f"{RAW_SPACE}++", " "
-                        )
-                    ).alias("text"),
+                    # the white space inside was collapsed with the whole text
+                    raw_trim(_pieces(p["texts"], p["marks"], kept, j)).alias("text"),
                 ),
             ),
         )

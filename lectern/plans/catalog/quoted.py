@@ -95,11 +95,17 @@ def raw_answers(spark, folder):
     return inputs.turns(spark, folder).select(c("id").alias("answer_id"), raw.alias("raw"))
 
 
-def deltas(spark, folder):
-    """The raw answers in pieces of 32 characters."""
-    n = F.ceil(F.length("raw") / PIECE).cast("int")
-    rows = raw_answers(spark, folder).select("answer_id", "raw", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return rows.select("answer_id", c("seq").cast("bigint").alias("seq"), F.substring("raw", c("seq") * PIECE + 1, F.lit(PIECE)).alias("text"))
+def deltas(spark, folder, size=None):
+    """The raw answers in pieces of 32 characters, or of the size an expression gives."""
+    size = F.lit(PIECE) if size is None else size
+    cut = F.regexp_extract_all("raw", F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), 0)
+    rows = raw_answers(spark, folder).select("answer_id", F.posexplode(cut).alias("seq", "text"))
+    return rows.select("answer_id", c("seq").cast("bigint").alias("seq"), "text")
+
+
+def eighths(spark, folder):
+    """The raw answers in eight pieces each."""
+    return deltas(spark, folder, F.ceil(F.length("raw") / 8))
 
 
 def _accumulated(spark, folder):
@@ -107,11 +113,11 @@ def _accumulated(spark, folder):
 
 
 def _prefixes(spark, folder):
-    return answers.prefixes(deltas(spark, folder)).select("answer_id", "seq", F.md5("raw").alias("digest"))
+    return answers.prefixes(eighths(spark, folder)).select("answer_id", "seq", F.md5("raw").alias("digest"))
 
 
 def _partial(spark, folder):
-    rows = answers.prefixes(deltas(spark, folder)).select("answer_id", "seq", partial_fields(c("raw")).alias("f"))
+    rows = answers.prefixes(eighths(spark, folder)).select("answer_id", "seq", partial_fields(c("raw")).alias("f"))
     return rows.select("answer_id", "seq", "f.reference", F.md5("f.text").alias("text"), F.md5("f.response").alias("response"))
 
 
@@ -196,12 +202,14 @@ judged as (
     then 'quoted text does not match Bible verse' end as reason from found)"""
 
 _E = "replace(replace(replace(%s, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
-_RAW = f"""{inputs.TURNS}, raws as (
+_RAW_OF = f"""{inputs.TURNS}, raws as (
   select id as answer_id, verse_reference, verse_text, response, '{{"verse": ' || coalesce('{{"reference": "' || {_E % 'verse_reference'}
     || '", "text": "' || {_E % 'verse_text'} || '"}}', 'null') || ', "response": "' || {_E % 'response'} || '"}}' as raw from turns),
 pieces as (
-  select *, unnest(generate_series(0, cast(ceil(length(raw) / {PIECE}) as bigint) - 1)) as seq from raws),
-prefixes as (select *, substr(raw, 1, (seq + 1) * {PIECE}) as prefix from pieces)"""
+  select *, unnest(generate_series(0, cast(ceil(length(raw) / @) as bigint) - 1)) as seq from raws),
+prefixes as (select *, substr(raw, 1, (seq + 1) * @) as prefix from pieces)"""
+_RAW = _RAW_OF.replace("@", str(PIECE))
+_EIGHTHS = _RAW_OF.replace("@", "cast(ceil(length(raw) / 8) as bigint)")
 _D = "replace(replace(replace(replace(replace(%s, '\\n', chr(10)), '\\t', chr(9)), '\\r', ''), '\\\"', '\"'), '\\\\', '\\')"
 
 
@@ -210,10 +218,11 @@ def _grab(name: str, close: str) -> str:
 
 
 _SEEN = _D % f"coalesce(nullif({_grab('response', chr(34))}, ''), {_grab('response', '$')})"
-_PARTIAL = f"""{_RAW}, partial as (
+_FIELDS = f""" partial as (
   select answer_id, seq, case when regexp_matches(prefix, '"text"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"') then {_D % _grab('reference', '"')} end as reference,
     case when regexp_matches(prefix, '"text"\\s*:\\s*"(?:[^"\\\\]|\\\\.)*"') then {_D % _grab('text', '"')} end as text,
     {_SEEN} as response from prefixes)"""
+_PARTIAL = f"{_RAW}, {_FIELDS}"
 _ODD = "regexp_matches(answer_id, '[13579]$')"
 
 SQL = {
@@ -228,8 +237,8 @@ SQL = {
   case when reason is null and text not like 'otra%' then md5(ftext) end as digest, 'Respuesta ' || quote_id as response,
   case when reason is not null and text not like 'otra%' then 'verse validation failed: ' || reason end as warning from judged""",
     "i01_accumulate": f"with {_RAW} select answer_id, md5(raw) as digest from raws",
-    "i01_prefixes": f"with {_RAW} select answer_id, seq, md5(prefix) as digest from prefixes",
-    "i02_partial_fields": f"with {_PARTIAL} select answer_id, seq, reference, md5(text) as text, md5(response) as response from partial",
+    "i01_prefixes": f"with {_EIGHTHS} select answer_id, seq, md5(prefix) as digest from prefixes",
+    "i02_partial_fields": f"with {_EIGHTHS}, {_FIELDS} select answer_id, seq, reference, md5(text) as text, md5(response) as response from partial",
     "i03_emit_on_change": f"""with {_PARTIAL}, steps as (select *, lag(reference) over w as before,
     coalesce(last_value(nullif(response, '') ignore nulls) over (partition by answer_id order by seq rows between unbounded preceding and 1 preceding), '') as sent
     from partial window w as (partition by answer_id order by seq))
