@@ -60,14 +60,16 @@ _TOKEN_TO = _PLAIN + " " * len(fixed.SEARCH_BLANKED + _WEB_SPACE_CHARS)
 
 def normalize_block(c: Column) -> Column:
     """B1: drop soft hyphens, join words hyphenated over a line end, collapse white space."""
-    c = F.translate(c, "\u00ad", "")
+    c = F.replace(c, F.lit("\u00ad"), F.lit(""))
     c = F.regexp_replace(c, f"-\\n{RAW_SPACE}*+", "")
-    return raw_trim(F.regexp_replace(c, f"{RAW_SPACE}++", " "))
+    # single blanks, nearly all there is, are left alone
+    wide = f"[{RAW_SPACE[1:-1]}&&[^ ]]"
+    return raw_trim(F.regexp_replace(c, f" {RAW_SPACE}++|{wide}{RAW_SPACE}*+", " "))
 
 
 def strip_asterisks(c: Column) -> Column:
     """B2."""
-    return F.translate(c, "*", "")
+    return F.replace(c, F.lit("*"), F.lit(""))
 
 
 def is_cross_reference(line: Column) -> Column:

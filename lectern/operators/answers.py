@@ -18,7 +18,7 @@ from lectern.functions.answers import (
     partial_fields,
     unescape,
 )
-from lectern.functions.binding import let
+from lectern.functions.binding import compute_once, let
 from lectern.functions.text import web_trim
 from lectern.operators.quotes import apply_to_answers
 
@@ -197,8 +197,7 @@ def results(deltas: DataFrame, passages: DataFrame) -> DataFrame:
     def either(name: str) -> Column:
         return F.when(readable, F.col(f"final.{name}")).when(kept, F.col(name))
 
-    chosen = sent.select(
-        "answer_id",
+    chosen = F.struct(
         F.when(readable, "parsed").when(kept, "salvaged").otherwise("apology").alias("source"),
         either("reference").alias("reference"),
         either("text").alias("text"),
@@ -207,7 +206,7 @@ def results(deltas: DataFrame, passages: DataFrame) -> DataFrame:
         .otherwise(F.lit(fixed.APOLOGY))
         .alias("response"),
     )
-    checked = apply_to_answers(chosen, passages)
+    checked = apply_to_answers(compute_once(sent, ["answer_id"], chosen), passages)
     warning = F.when(F.col("source") == "parsed", F.col("warning"))
     return checked.withColumn("warning", warning).select(
         "answer_id", "reference", "text", "response", "warning", "source"

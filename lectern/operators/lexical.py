@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.functions.binding import items
 from lectern.functions.text import tokens
 from lectern.operators import topk
 
@@ -25,8 +26,7 @@ def tokenized(docs: DataFrame, text: str = "text", stop_words: list[str] | None
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(pos, term, tf, len)``. Repeats are combined before the shuffle."""
     return (
-        tokenized(docs, text)
-        .select("pos", "len", F.explode("tokens").alias("term"))
+        items(tokenized(docs, text), ["pos", "len"], "tokens", "term")
         .groupBy("pos", "term")
         .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     )
@@ -40,9 +40,9 @@ def document_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(term, df)``. A row's distinct terms are found in the row, so one shuffle on the
     term, with counts combined before it, is all that is needed."""
+    distinct = tokenized(docs, text).withColumn("tokens", F.array_distinct("tokens"))
     return (
-        tokenized(docs, text)
-        .select(F.explode(F.array_distinct("tokens")).alias("term"))
+        items(distinct, [], "tokens", "term")
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -85,8 +85,9 @@ class LexicalIndex:
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """``(query_id, term, qtf)``: the tokens of each query with their repeats counted."""
+    asked = queries.select("query_id", tokens(F.col(text)).alias("tokens"))
     return (
-        queries.select("query_id", F.explode(tokens(F.col(text))).alias("term"))
+        items(asked, ["query_id"], "tokens", "term")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )

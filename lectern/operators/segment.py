@@ -255,19 +255,20 @@ def split_passages(chunk: Column) -> Column:
     chain has at most 999 links, so the fold's state stays small whatever the text.
     """
     flat = normalize_block(strip_asterisks(chunk))
-    pattern = rf"(?:^|{RAW_SPACE})(\d{{1,3}})(?=[{RAW_SPACE[1:-1]}«¿\"“{UPPER}{LOWER}])"
+    # blanks are the only white space left in the flat text
+    pattern = rf"(?:^| )\d{{1,3}}(?=[ «¿\"“{UPPER}{LOWER}])"
     state = "struct<next:int,kept:array<int>>"
 
     def chain(p: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
-            fits = F.get(p["numbers"], i).cast("int") == s["next"]
+            fits = F.trim(F.get(p["marks"], i)).cast("int") == s["next"]
             taken = F.struct(
                 (s["next"] + 1).alias("next"), F.array_append(s["kept"], i).alias("kept")
             )
             return F.when(fits, taken.cast(state)).otherwise(s)
 
         start = F.struct(F.lit(1).alias("next"), F.array().alias("kept")).cast(state)
-        return F.aggregate(F.transform(p["numbers"], lambda x, i: i), start, step)["kept"]
+        return F.aggregate(F.transform(p["marks"], lambda x, i: i), start, step)["kept"]
 
     def cut(p: Column) -> Column:
         return let(
@@ -287,7 +288,6 @@ def split_passages(chunk: Column) -> Column:
         lambda t: F.struct(
             F.split(t, pattern, -1).alias("texts"),
             F.regexp_extract_all(t, F.lit(pattern), 0).alias("marks"),
-            F.regexp_extract_all(t, F.lit(pattern), 1).alias("numbers"),
         ),
     )
     return F.filter(let(parts, cut), lambda v: v["text"] != "")
