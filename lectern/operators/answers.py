@@ -67,7 +67,10 @@ def _landmarks(raw: Column) -> Column:
     begin = _end_of(raw, RESPONSE_HEAD)
     fields = partial_fields(raw)
     return F.struct(
-        F.greatest(_end_of(raw, CLOSED["reference"]), _end_of(raw, CLOSED["text"])).alias("verse_end"),
+        F.when(
+            fields["reference"].isNotNull(),
+            F.greatest(_end_of(raw, CLOSED["reference"]), _end_of(raw, CLOSED["text"])),
+        ).alias("verse_end"),
         fields["reference"].alias("reference"),
         fields["text"].alias("text"),
         begin.alias("begin"),
