@@ -26,6 +26,18 @@ def local_session(cores: str | int = 8, name: str = "lectern", **conf: str) -> S
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the plans of this package need on any session; call it once.
+
+    Spark 4.1 lets a union report the partitioning its children share. When adaptive
+    execution then gives the children different partition counts, the query fails with
+    "Can't zip RDDs with unequal numbers of partitions". Without the report a later step
+    that needs the partitioning shuffles as in earlier versions.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
 

@@ -43,7 +43,7 @@ def test_compare_fold(value, raw, want):
 
 def test_display_and_export_differ_in_order(value):
     assert value(text.display_text, "uno (PE)  dos | tres (Sámec)") == "uno dos — tres"
-    assert value(text.display_text, "a |(Pe)| b") == "a — — b"
+    assert value(text.display_text, "a |(Pe)| b") == "a —  — b"
     assert value(text.export_text, "a |(Pe)| b") == "a — — b"
     assert value(text.export_text, "a |(Pe)b") == "a — b"
 
