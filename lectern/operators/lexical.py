@@ -231,6 +231,6 @@ def search(
         bm25_kernel,
         k,
         query_sizes=sizes,
-        row_bytes=8_192,
+        row_bytes=F.col("len") * 12 + 64,
         block_bytes=block_bytes,
     )

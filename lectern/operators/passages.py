@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
@@ -35,15 +35,17 @@ def lookup(rows: DataFrame, keyed: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(keyed.select("ref", *columns), "ref", "left")
 
 
-def daily_pool(spark: SparkSession, refs: list[str] | None = None) -> DataFrame:
-    """``(idx, ref)`` in pool order."""
-    refs = fixed.DAILY_POOL if refs is None else refs
-    return spark.createDataFrame(list(enumerate(refs)), "idx int, ref string")
-
+def daily_picks(dates: DataFrame, refs: list[str] | None = None, date: str = "date") -> DataFrame:
+    """Add ``idx`` and ``ref``, the pool entry of each date.
 
-def daily_picks(dates: DataFrame, pool: DataFrame, size: int, date: str = "date") -> DataFrame:
-    """The pool entry of each date."""
-    return dates.withColumn("idx", pool_index(F.col(date), size)).join(pool, "idx")
+    The pool is a short ordered list, so the pick is an expression and not a join: a join on
+    its few indexes would send a big table of dates to a few tasks.
+    """
+    refs = fixed.DAILY_POOL if refs is None else refs
+    pool = F.array(*[F.lit(r) for r in refs])
+    return dates.withColumn("idx", pool_index(F.col(date), len(refs))).withColumn(
+        "ref", F.element_at(pool, F.col("idx") + 1)
+    )
 
 
 def calendar(first: Column, last: Column, spans: DataFrame) -> DataFrame:
@@ -51,10 +53,17 @@ def calendar(first: Column, last: Column, spans: DataFrame) -> DataFrame:
     return spans.select(F.explode(F.sequence(first.cast("date"), last.cast("date"))).alias("date"))
 
 
-def daily_calendar(dates: DataFrame, pool: DataFrame, size: int, keyed: DataFrame) -> DataFrame:
-    """Date, key, passage text; ``found`` tells missing passages."""
-    picks = daily_picks(dates, pool, size)
-    return lookup(picks, keyed, ["book", "chapter", "num", "text"]).select(
+def daily_calendar(
+    dates: DataFrame, passages: DataFrame, refs: list[str] | None = None
+) -> DataFrame:
+    """Date, key, passage text; ``found`` tells missing passages.
+
+    Only passages of the pool leave the scan.
+    """
+    refs = fixed.DAILY_POOL if refs is None else refs
+    keyed = passages if "ref" in passages.columns else with_refs(passages)
+    stored = by_ref(keyed.filter(F.col("ref").isin(refs)))
+    return lookup(daily_picks(dates, refs), stored, ["book", "chapter", "num", "text"]).select(
         "date",
         "ref",
         F.concat(

@@ -95,7 +95,7 @@ def nearest(
         distance_kernel,
         k,
         query_sizes=queries.select(F.lit(64).alias("bytes")),
-        row_bytes=64,
+        row_bytes=F.lit(64),
         block_bytes=block_bytes,
     )
     return hits.select(

@@ -219,6 +219,7 @@ def _single(chunk: Column) -> Column:
 
 def chapters(found: DataFrame, dim: DataFrame) -> DataFrame:
     """``(doc_id, ord, name, abbr, chapter, chunk)``, by the kind of the book."""
+    # the dimension is a list of books made on the driver, so its size is known to be small
     rows = found.join(F.broadcast(dim), "ord")
     chunk = F.col("chunk")
     none = "array<struct<chapter:int,chunk:string>>"

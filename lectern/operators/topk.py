@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 64 << 20
@@ -89,14 +89,15 @@ def top_k(
     kernel: Kernel,
     k: int,
     query_sizes: DataFrame,
-    row_bytes: int,
+    row_bytes: Column,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(query_id, pos, score, rank)``: the k best rows of each query, ties by ``pos``.
 
     ``rows`` has a bigint ``pos``, ``queries`` a ``query_id``; all other columns are the
     kernel's. ``query_sizes`` has one ``bytes`` per query and is cheap to sum: it is measured
-    before anything is sent to the tasks. ``row_bytes`` is the usual size of one row.
+    before anything is sent to the tasks. ``row_bytes`` is the size of a row of ``rows`` as
+    an expression; it is summed only when the grid plan has to size its blocks.
     """
     n_queries, total = query_sizes.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     # every query also costs its k best rows in each task
@@ -104,7 +105,8 @@ def top_k(
     if total <= block_bytes:
         return _merge(_one_block(rows, queries, kernel, k), k)
     query_blocks = math.ceil(2 * total / block_bytes)
-    row_blocks = max(1, math.ceil(2 * rows.count() * row_bytes / block_bytes))
+    row_total = rows.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    row_blocks = max(1, math.ceil(2 * row_total / block_bytes))
     return _merge(_grid(rows, queries, kernel, k, query_blocks, row_blocks), k)
 
 

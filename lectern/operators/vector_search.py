@@ -86,7 +86,7 @@ def nearest(
         quantized_kernel if quantized else float_kernel,
         k,
         query_sizes=queries.select((F.size("v") * 8 + 64).alias("bytes")),
-        row_bytes=4_096,
+        row_bytes=F.size(columns[1]) * 8 + 64,
         block_bytes=block_bytes,
     )
 

@@ -51,7 +51,7 @@ def _resolved(spark, folder):
 
 def _found(spark, folder):
     rows = _resolved(spark, folder).select("quote_id", ref_key(c("abbr"), c("parsed.chapter"), c("parsed.num")).alias("ref"))
-    hits = passages.lookup(rows, passages.by_ref(inputs.passages(spark, folder)), ["pos", "lang"])
+    hits = passages.lookup(rows, passages.by_ref(inputs.passages(spark, folder).select("ref", "pos", "lang")), ["pos", "lang"])
     return hits.select("quote_id", "ref", "pos", "lang")
 
 

@@ -159,22 +159,19 @@ def _orders(spark, folder):
 
 
 def _daily(spark, folder):
-    pool = passages.daily_pool(spark)
-    return passages.daily_picks(_orders(spark, folder), pool, len(fixed.DAILY_POOL)).select("o_orderkey", "idx", "ref")
+    return passages.daily_picks(_orders(spark, folder)).select("o_orderkey", "idx", "ref")
 
 
 def _calendar(spark, folder):
     docs = inputs.documents(spark, folder)
     chapter, num = c("doc_id") % 150 + 1, F.floor(c("doc_id") / 150) + 1
-    keyed = passages.by_ref(
-        docs.select(
-            c("doc_id").alias("pos"), F.lit("Salmos").alias("book"), F.lit("Sal").alias("abbr"),
-            chapter.alias("chapter"), num.alias("num"), "text",
-        )
+    rows = docs.select(
+        c("doc_id").alias("pos"), F.lit("Salmos").alias("book"), F.lit("Sal").alias("abbr"),
+        chapter.alias("chapter"), num.alias("num"), "text",
     )
     span = _orders(spark, folder).agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
     days = passages.calendar(c("d0"), c("d1"), span)
-    full = passages.daily_calendar(days, passages.daily_pool(spark), len(fixed.DAILY_POOL), keyed)
+    full = passages.daily_calendar(days, rows)
     return full.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "ref", "reference", F.md5("text").alias("digest"), "found")
 
 

@@ -67,7 +67,6 @@ def test_answers_keep_their_response(spark, corpus):
 
 
 def test_calendar_flags_missing(spark, corpus):
-    pool = passages.daily_pool(spark, ["Sal 23:1", "Sal 99:9"])
     days = spark.createDataFrame([("2024-01-01",), ("2024-01-02",)], "date string").select(F.to_date("date").alias("date"))
-    rows = passages.daily_calendar(days, pool, 2, passages.by_ref(corpus)).orderBy("date").collect()
+    rows = passages.daily_calendar(days, corpus, ["Sal 23:1", "Sal 99:9"]).orderBy("date").collect()
     assert [(r.ref, r.found) for r in rows] == [("Sal 99:9", False), ("Sal 23:1", True)]
