@@ -94,60 +94,74 @@ def emissions(deltas: DataFrame) -> DataFrame:
     decoded again with the piece and its own characters are cut off.
     """
     marks = accumulate(deltas).select("answer_id", let(F.col("raw"), _landmarks).alias("m"))
+    places = marks.select("answer_id", "m.verse_end", "m.begin", "m.end", "m.closed")
     w = Window.partitionBy("answer_id").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     n = F.length("text")
     plain = F.length(F.rtrim("text", F.lit("\\")))
     placed = (
-        deltas.join(marks, "answer_id")
+        deltas.join(places, "answer_id")
         .withColumn("stop", F.sum(n).over(upto))
         .withColumn("start", F.col("stop") - n)
-        .withColumn("run", F.col("stop") - F.coalesce(
-            F.max(F.when(plain > 0, F.col("start") + plain)).over(upto), F.lit(0)
-        ))
+        .withColumn(
+            "run",
+            F.col("stop")
+            - F.coalesce(F.max(F.when(plain > 0, F.col("start") + plain)).over(upto), F.lit(0)),
+        )
     )
-    verses = placed.filter("start < m.verse_end and stop >= m.verse_end").select(
-        "answer_id", "seq", F.lit("verse").alias("event"), "m.reference", "m.text"
+    low, high = F.greatest("start", "begin"), F.least("stop", "end")
+    share = F.substring(
+        "text",
+        (low - F.col("start") + 1).cast("int"),
+        F.greatest(F.lit(0), high - low).cast("int"),
     )
-    low, high = F.greatest("start", "m.begin"), F.least("stop", "m.end")
-    finished = F.col("m.closed") & (F.col("stop") > F.col("m.end"))
-    run = F.when(finished, 0).otherwise(F.least("run", F.col("stop") - F.col("m.begin")))
-    shares = (
-        placed.filter("stop > m.begin")
-        .select(
-            "answer_id",
-            "seq",
-            F.substring("text", (low - F.col("start") + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int")).alias("share"),
-            run.alias("run"),
-        )
-        .withColumn("shown", F.col("run") % 2 == 0)
-        .select(
-            "answer_id",
-            "seq",
-            "share",
-            "shown",
-            F.coalesce(F.sum(F.col("shown").cast("int")).over(before), F.lit(0)).alias("step"),
-            F.coalesce(F.last(F.when(F.col("shown"), F.col("run")), ignorenulls=True).over(before), F.lit(0)).alias("again"),
-        )
+    begun = F.coalesce(F.col("stop") > F.col("begin"), F.lit(False))
+    finished = F.col("closed") & (F.col("stop") > F.col("end"))
+    run = F.when(finished, 0).otherwise(F.least("run", F.col("stop") - F.col("begin")))
+    completes = (F.col("start") < F.col("verse_end")) & (F.col("stop") >= F.col("verse_end"))
+    shares = placed.select(
+        "answer_id",
+        "seq",
+        F.when(begun, share).otherwise(F.lit("")).alias("share"),
+        F.when(begun, run).alias("run"),
+        (begun & (run % 2 == 0)).alias("shown"),
+        F.when(completes, F.col("seq")).alias("verse_seq"),
+    ).withColumns(
+        {
+            "step": F.coalesce(F.sum(F.col("shown").cast("int")).over(before), F.lit(0)),
+            "again": F.coalesce(
+                F.last(F.when(F.col("shown"), F.col("run")), ignorenulls=True).over(before), F.lit(0)
+            ),
+        }
     )
-    # a step is one piece, or several when those before it ended in an odd run
+    # a step is one piece, or several when those before it showed no response
     steps = shares.groupBy("answer_id", "step").agg(
         F.max(F.when(F.col("shown"), F.col("seq"))).alias("seq"),
+        F.max("verse_seq").alias("verse_seq"),
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("seq", "share"))), lambda x: x["share"]), ""
         ).alias("share"),
         F.max("again").cast("int").alias("again"),
     )
     decoded = unescape(F.concat(F.repeat(F.lit("\\"), F.col("again")), F.col("share")))
-    responses = steps.filter("seq is not null and share <> ''").select(
-        "answer_id",
-        "seq",
-        F.lit("response_delta").alias("event"),
-        F.lit(None).cast("string").alias("reference"),
-        F.substring(decoded, (F.col("again") / 2 + 1).cast("int"), F.length(decoded)).alias("text"),
+    grown = F.substring(decoded, (F.col("again") / 2 + 1).cast("int"), F.length(decoded))
+    none = F.lit(None).cast("string")
+    sent = F.array(
+        F.struct(F.col("verse_seq").alias("seq"), F.lit("verse").alias("event"), none.alias("grown")),
+        F.struct(F.col("seq").alias("seq"), F.lit("response_delta").alias("event"), grown.alias("grown")),
+    )
+    events = (
+        steps.select("answer_id", F.explode(sent).alias("e"))
+        .select("answer_id", "e.*")
+        .filter("seq is not null and (event = 'verse' or grown <> '')")
+    )
+    verses = marks.filter("m.verse_end is not null").select(
+        "answer_id", F.lit("verse").alias("event"), "m.reference", "m.text"
+    )
+    return events.join(verses, ["answer_id", "event"], "left").select(
+        "answer_id", "seq", "event", "reference", F.coalesce("text", "grown").alias("text")
     )
-    return verses.unionByName(responses.filter("text <> ''"))
 
 
 _LONE_BACKSLASH = r"(?<!\\)(?:\\\\)*+\\\z"

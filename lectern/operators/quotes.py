@@ -45,10 +45,11 @@ def abbreviations(passages: DataFrame) -> DataFrame:
     return passages.select(F.lower("abbr").alias("abbr_key")).distinct()
 
 
-def _nowhere() -> Column:
-    """A key that no row has. References that do not parse would otherwise all share the
-    null key, and a table full of them would land in one task of a left join."""
-    return F.concat(F.lit("\x00"), F.xxhash64("reference", "text").cast("string"))
+def _nowhere(rows: DataFrame) -> Column:
+    """A key that no passage has, different for different rows. References that do not parse
+    would otherwise all share the null key, and a table full of them would land in one task
+    of a left join."""
+    return F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))
 
 
 def resolve_books(refs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def resolve_books(refs: DataFrame, passages: DataFrame) -> DataFrame:
     it case-insensitively, else null. ``refs`` has a ``parsed`` struct."""
     book = web_trim(F.lower(F.col("parsed.book")))
     return (
-        refs.withColumn("book_key", F.coalesce(book, _nowhere()))
+        refs.withColumn("book_key", F.coalesce(book, _nowhere(refs)))
         .join(book_names(passages), F.col("book_key") == F.col("name_key"), "left")
         .join(abbreviations(passages), F.col("book_key") == F.col("abbr_key"), "left")
         .withColumn(
@@ -85,7 +86,7 @@ def validate(quotes: DataFrame, passages: DataFrame) -> DataFrame:
     resolved = resolve_books(parsed, passages).withColumn(
         "ref",
         F.coalesce(
-            ref_key(F.col("abbr"), F.col("parsed.chapter"), F.col("parsed.num")), _nowhere()
+            ref_key(F.col("abbr"), F.col("parsed.chapter"), F.col("parsed.num")), _nowhere(quotes)
         ),
     )
     # only quoted passages take part in the shuffle that keeps the last of each key
@@ -125,20 +126,13 @@ def apply_to_answers(answers: DataFrame, passages: DataFrame) -> DataFrame:
     passage passes.
     """
     others = [c for c in answers.columns if c not in ("answer_id", "reference", "text", "response")]
-    checked = validate(answers.filter("reference is not null"), passages).select(
+    quoted = F.col("reference").isNotNull()
+    warning = F.concat(F.lit(fixed.WARNING_PREFIX), F.col("reason"))
+    return validate(answers, passages).select(
         "answer_id",
         F.col("found_reference").alias("reference"),
         F.col("found_text").alias("text"),
         "response",
         *others,
-        F.when(~F.col("ok"), F.concat(F.lit(fixed.WARNING_PREFIX), F.col("reason"))).alias("warning"),
+        F.when(quoted & ~F.col("ok"), warning).alias("warning"),
     )
-    plain = answers.filter("reference is null").select(
-        "answer_id",
-        F.lit(None).cast("string").alias("reference"),
-        F.lit(None).cast("string").alias("text"),
-        "response",
-        *others,
-        F.lit(None).cast("string").alias("warning"),
-    )
-    return checked.unionByName(plain)
