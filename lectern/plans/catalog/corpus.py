@@ -316,7 +316,7 @@ SQL = {
     "a08_vector_store": f"""with {QUANTIZED} select cast(pos as varchar) as ref, '{MODEL}' as model, cast(len(q) as int) as dim,
   (select count(*) from embeddings) as count, round(scale, 6) as scale, {CHECKSUM} from quantized""",
     "a09_frame_text": "select event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) as frame from events",
-    "a10_parse_frames": """select event_id as stream_id, 0 as seq, event_type as event, props as data from events
+    "a10_parse_frames": """select event_id as stream_id, 0::bigint as seq, event_type as event, props as data from events
   union all select event_id, 3, 'message', cast(user_id as varchar) from events""",
     "a11_parse_places": f"""with {PLACES_SQL} select request, id, name, lat, cast(n + 1 as int) as photos, 'martes: cerrado' as second_line from raw""",
     "d01_sections": _chunks(
@@ -338,15 +338,15 @@ SQL = {
     ),
     "d03_hymn_chapters": _chunks([("'Sal' as abbr, 5 as chapter", [" ", None, "\n"])]),
     "d04_single_chapter": _chunks([("'Abd' as abbr, 1 as chapter", [None])]),
-    "d05_split_passages": f"with {_L}, {_V} select doc_id, num, md5(text) as digest from clean where text <> ''",
+    "d05_split_passages": f"with {_L}, {_V} select doc_id, num::int as num, md5(text) as digest from clean where text <> ''",
     "d06_coverage": f"""with {inputs.PASSAGES}, f as (select abbr, count(distinct chapter) as found, count(*) as passages from passages group by abbr),
-  b as (select 'Source ' || i as name, coalesce(found, 0) as found, 20 as expected, coalesce(passages, 0) as passages, found is null as missing
+  b as (select 'Source ' || i as name, coalesce(found, 0) as found, 20::bigint as expected, coalesce(passages, 0) as passages, found is null as missing
     from (select unnest(generate_series(0, 24)) as i) left join f on abbr = 'src' || i)
   select 'book' as level, name, found, expected, passages, cast(missing as bigint) as missing, cast(found >= expected as bigint) as complete from b
-  union all select 'total', null, sum(found), sum(expected), sum(passages), sum(missing::int), sum((found >= expected)::int) from b""",
+  union all select 'total', null, sum(found)::bigint, sum(expected)::bigint, sum(passages)::bigint, sum(missing::int)::bigint, sum((found >= expected)::int)::bigint from b""",
     "d07_structure": f"""with {_L}, {_V}, k(book, abbr, chapter) as (values ('Génesis', 'Gén', 1), ('Génesis', 'Gén', 2), ('Rut', 'Rut', 1),
     ('1 Samuel', '1 Sam', 7), ('Salmos', 'Sal', 5), ('Abdías', 'Abd', 1))
-  select doc_id, book, abbr, chapter, num, md5(text) as digest from clean, k where text <> ''""",
+  select doc_id, book, abbr, chapter, num::int as num, md5(text) as digest from clean, k where text <> ''""",
     "d08_questions_answers": f"""with lines as (select doc_id, string_split(text, chr(10)) as l from documents),
   v as (select doc_id, unnest(generate_series(1, len(l))) - 1 as id, unnest(l) as line from lines),
   body as (select doc_id, id, {block_sql('line')} as t from v),
