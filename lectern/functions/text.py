@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -270,7 +269,3 @@ def passage_pair(reference: Column, text: Column) -> Column:
 def title_or_default(title: Column, default: str = fixed.UNTITLED) -> Column:
     """B23."""
     return F.coalesce(F.nullif(title, F.lit("")), F.lit(default))
-
-
-def pattern_quote(text: str) -> str:
-    return re.escape(text)

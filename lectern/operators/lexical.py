@@ -156,11 +156,6 @@ def query_vectors(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     )
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0]
-
-
 def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For lists of the given lengths: owner of each element, and its place in the list."""
     owner = np.repeat(np.arange(len(counts)), counts)

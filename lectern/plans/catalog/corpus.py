@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.text import RAW_SPACE
-from lectern.functions.vectors import quantize
 from lectern.operators import passages, places, segment, vector_search
 from lectern.plans.catalog import inputs
 from lectern.plans.catalog.text import block_sql

@@ -9,7 +9,6 @@ from lectern.functions.text import ref_key
 from lectern.operators import answers, passages, quotes
 from lectern.plans.catalog import inputs
 from lectern.plans.catalog.text import compare_sql
-from lectern.sources.tables import read_table
 
 c = F.col
 PIECE = 32

@@ -21,7 +21,7 @@ def value(spark):
     from pyspark.sql import functions as F
 
     def run(build, *args):
-        row = spark.createDataFrame([(a,) for a in [1]], "one int")
+        row = spark.createDataFrame([(1,)], "one int")
         columns = [F.lit(a) if not hasattr(a, "alias") else a for a in args]
         return row.select(build(*columns).alias("v")).first()["v"]
 

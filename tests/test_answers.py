@@ -220,7 +220,7 @@ def test_streamed_frames_equal_batch(spark, tmp_path):
     whole = spark.createDataFrame([("s", text), ("t", text * 2)], "stream_id string, text string")
     rng = random.Random(5)
     rows = [
-        (k, i, "2024-01-01 00:00:00", p, i % 3 if False else min(2, i * 3 // 40))
+        (k, i, "2024-01-01 00:00:00", p, min(2, i * 3 // 40))
         for k, t in (("s", text), ("t", text * 2)) for i, p in enumerate(pieces_of(t, rng))
     ]
     stream = as_stream(spark, rows, "stream_id string, seq bigint, at string, text string, batch int", str(tmp_path / "f"))
