@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,14 +30,36 @@ def local_session(cores: str | int = 8, name: str = "lectern", **conf: str) -> S
     return prepare(spark)
 
 
+_shipped: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the plans of this package need on any session; call it once.
+    """What the plans of this package need on any session; calling it again does nothing.
 
-    Spark 4.1 lets a union report the partitioning its children share. When adaptive
+    The numpy kernels and stateful functions run in Python workers, so the package goes to
+    them. And one setting is changed: Spark 4.1 lets a union report the partitioning its children share. When adaptive
     execution then gives the children different partition counts, the query fails with
     "Can't zip RDDs with unequal numbers of partitions". Without the report a later step
     that needs the partitioning shuffles as in earlier versions.
     """
+    _ship_package(spark)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 
