@@ -22,9 +22,13 @@ OPEN_RESPONSE = _field("response", r"\z")
 RESPONSE_HEAD = rf'"response"{WEB_SPACE}*+:{WEB_SPACE}*+"'
 
 
+# The escapes that are decoded, in this order.
+ESCAPES = (("\\n", "\n"), ("\\t", "\t"), ("\\r", ""), ('\\"', '"'), ("\\\\", "\\"))
+
+
 def unescape(c: Column) -> Column:
     """Decode the simple escapes, one kind after the other."""
-    for escaped, plain in (("\\n", "\n"), ("\\t", "\t"), ("\\r", ""), ('\\"', '"'), ("\\\\", "\\")):
+    for escaped, plain in ESCAPES:
         c = F.replace(c, F.lit(escaped), F.lit(plain))
     return c
 

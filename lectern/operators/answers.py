@@ -233,59 +233,66 @@ def results(deltas: DataFrame, passages: DataFrame) -> DataFrame:
 EVENT_DATA = "struct<reference: string, text: string, response: string, message: string, verse: struct<reference: string, text: string>>"
 
 
-def fold_turns(frames: DataFrame) -> DataFrame:
-    """Final state ``(stream_id, reference, text, response, status, error)`` of each turn.
+def turn_state(events: Column) -> Column:
+    """struct(reference, text, response, status, error) of the events of one turn.
 
-    ``frames`` (stream_id, seq, event, data). Everything the fold keeps depends on the place
-    of the last ``result``: the passage and response before it are overwritten, deltas after
-    it are appended. So one aggregation with the last event of each kind and the deltas of
-    the turn says it all.
+    ``events`` is an array of (seq, event, data). Everything depends on the place of the last
+    ``result``: the passage and response before it are overwritten, deltas after it are
+    appended. Data that is no JSON object counts as one without fields. The batch and the
+    streaming fold both use this.
     """
-    rows = frames.select("stream_id", "seq", "event", F.from_json("data", EVENT_DATA).alias("d"))
+    parsed = F.transform(
+        F.array_sort(events),
+        lambda e: F.struct(e["seq"].alias("seq"), e["event"].alias("event"), F.from_json(e["data"], EVENT_DATA).alias("d")),
+    )
+    return let(parsed, _turn_state)
 
-    def at(event: str) -> Column:
-        return F.when(F.col("event") == event, F.col("seq"))
 
-    def last(value: Column, event: str) -> Column:
-        return F.max_by(value, at(event))
+def _turn_state(events: Column) -> Column:
+    def last(kind: str) -> Column:
+        return F.try_element_at(F.filter(events, lambda e: e["event"] == kind), F.lit(-1))
 
-    pieces = F.when(
-        F.col("event") == "response_delta", F.struct("seq", F.col("d.text").alias("text"))
-    )
-    turns = rows.groupBy("stream_id").agg(
-        F.max(at("result")).alias("result_at"),
-        F.max(at("verse")).alias("verse_at"),
-        F.max(at("response_delta")).alias("delta_at"),
-        F.max(at("error")).alias("error_at"),
-        last(F.struct("d.verse", "d.response"), "result").alias("result"),
-        last(F.struct("d.reference", "d.text"), "verse").alias("verse"),
-        last(F.struct("d.message"), "error").alias("failure"),
-        F.sort_array(F.collect_list(pieces)).alias("pieces"),
-    )
-    r, v, d, e = (
-        F.coalesce(c, F.lit(-1)) for c in ("result_at", "verse_at", "delta_at", "error_at")
-    )
-    tail = F.filter("pieces", lambda p: p["seq"] > r)
-    verse = F.when(v > r, F.col("verse")).otherwise(F.col("result.verse"))
+    def at(kind: str) -> Column:
+        return F.coalesce(last(kind)["seq"], F.lit(-1))
+
+    r, v, d, e = (at(kind) for kind in ("result", "verse", "response_delta", "error"))
+    result = last("result")["d"]
+    tail = F.filter(events, lambda x: (x["event"] == "response_delta") & (x["seq"] > r))
+    verse = F.when(v > r, F.struct(last("verse")["d"]["reference"].alias("reference"), last("verse")["d"]["text"].alias("text")))
+    verse = verse.otherwise(F.struct(result["verse"]["reference"].alias("reference"), result["verse"]["text"].alias("text")))
     response = F.when(
-        F.col("result.response").isNotNull() | (F.size(tail) > 0),
-        F.concat(
-            F.coalesce("result.response", F.lit("")),
-            F.array_join(F.transform(tail, lambda p: p["text"]), ""),
-        ),
+        result["response"].isNotNull() | (F.size(tail) > 0),
+        F.concat(F.coalesce(result["response"], F.lit("")), F.array_join(F.transform(tail, lambda x: x["d"]["text"]), "")),
     )
     newest = F.greatest(r, v, d, e)
-    status = (
-        F.when((r < 0) | (newest == e), "error").when(newest == r, "done").otherwise("streaming")
-    )
-    error = F.when(r < 0, F.lit(fixed.NO_ANSWER)).when(
-        e >= 0, F.coalesce("failure.message", F.lit(fixed.SOMETHING_WRONG))
-    )
-    return turns.select(
-        "stream_id",
+    status = F.when(e == newest, F.when(e >= 0, "error").otherwise("loading")).when(r == newest, "done").otherwise("streaming")
+    error = F.when(e >= 0, F.coalesce(last("error")["d"]["message"], F.lit(fixed.SOMETHING_WRONG)))
+    return F.struct(
         verse["reference"].alias("reference"),
         verse["text"].alias("text"),
         response.alias("response"),
         status.alias("status"),
         error.alias("error"),
+        (r < 0).alias("unanswered"),
     )
+
+
+def ended(turn: Column) -> Column:
+    """The state of a turn to which nothing more will come: one without a result is an error."""
+    lost = turn["unanswered"]
+    return F.struct(
+        *[turn[name].alias(name) for name in ("reference", "text", "response")],
+        F.when(lost, "error").otherwise(turn["status"]).alias("status"),
+        F.when(lost, F.lit(fixed.NO_ANSWER)).otherwise(turn["error"]).alias("error"),
+    )
+
+
+def fold_turns(frames: DataFrame) -> DataFrame:
+    """Final state ``(stream_id, reference, text, response, status, error)`` of each turn.
+
+    ``frames`` (stream_id, seq, event, data); a turn is one answer and meets in one row.
+    """
+    events = F.collect_list(F.struct("seq", "event", "data"))
+    turns = frames.groupBy("stream_id").agg(events.alias("events"))
+    states = turns.select("stream_id", turn_state(F.col("events")).alias("t"))
+    return states.select("stream_id", ended(F.col("t")).alias("t")).select("stream_id", "t.*")

@@ -16,14 +16,17 @@ def ask_filter(questions: DataFrame, text: str = "question") -> tuple[DataFrame,
     return trimmed.filter(F.col(text) != ""), trimmed.filter(F.col(text) == "")
 
 
-def with_fallback(vector_hits: DataFrame, lexical_hits: DataFrame) -> DataFrame:
-    """G1: a query's vector hits when it has any, else its lexical hits."""
-    answered = vector_hits.select("query_id").distinct()
-    return vector_hits.select("query_id", "pos", "score", "rank", F.lit("vector").alias("mode")).unionByName(
-        lexical_hits.join(answered, "query_id", "left_anti").select(
-            "query_id", "pos", "score", "rank", F.lit("bm25").alias("mode")
-        )
-    )
+def with_fallback(vector_hits: DataFrame, lexical_hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """G1: a query's vector hits when any of them has a passage, else its lexical hits.
+
+    Hits are looked up in ``passages`` (pos, …) first: those without a passage are dropped, and a
+    query with nothing left counts as one without vector hits. Ranks are those of the search.
+    """
+    columns = ["query_id", "pos", "score", "rank"]
+    found = vector_hits.join(passages.select("pos"), "pos", "left_semi").select(*columns, F.lit("vector").alias("mode"))
+    answered = found.select("query_id").distinct()
+    words = lexical_hits.join(answered, "query_id", "left_anti").select(*columns, F.lit("bm25").alias("mode"))
+    return found.unionByName(words)
 
 
 def history_window(messages: DataFrame, size: int = fixed.HISTORY_LIMIT) -> DataFrame:

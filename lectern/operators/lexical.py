@@ -7,11 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
-from lectern.functions.binding import items
+from lectern.functions.binding import items, let
 from lectern.functions.text import tokens
 from lectern.operators import topk
 
@@ -24,12 +24,30 @@ def tokenized(docs: DataFrame, text: str = "text", stop_words: list[str] | None
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(pos, term, tf, len)``. Repeats are combined before the shuffle."""
-    return (
-        items(tokenized(docs, text), ["pos", "len"], "tokens", "term")
-        .groupBy("pos", "term")
-        .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
+    """``(pos, term, tf, len)``. A document is one row, so its repeats are counted there:
+    equal tokens stand together once sorted, and nothing is shuffled at any size."""
+    counted = tokenized(docs, text).select("pos", "len", let(F.array_sort("tokens"), _runs).alias("runs"))
+    return items(counted, ["pos", "len"], "runs", "run").select("pos", "run.term", "run.tf", "len")
+
+
+def _runs(ordered: Column) -> Column:
+    """Array of struct(term, tf) of a sorted array."""
+
+    def begins(i: Column) -> Column:
+        return (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))
+
+    starts = F.filter(F.transform(ordered, lambda x, i: i), begins)
+
+    def counted(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, k: F.struct(
+                F.get(ordered, at).alias("term"),
+                (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - at).cast("bigint").alias("tf"),
+            ),
+        )
+
+    return let(starts, counted)
 
 
 def document_lengths(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -29,14 +29,13 @@ UPPER, LOWER = "A-ZÁÉÍÓÚÑ", "a-záéíóúñ"
 DIM = "ord int, name string, abbr string, header string, chapters int, kind string"
 
 
-def book_dimension(spark: SparkSession, lines: list[str] | None = None) -> DataFrame:
+def book_dimension(spark: SparkSession, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """Books in order. The header is the name in capitals; a book of one chapter is
     ``single``, the hymn book has its own markers, all others are ``standard``."""
     rows = []
-    for i, line in enumerate(fixed.BOOK_LINES if lines is None else lines):
-        name, abbr, chapters = line.split("|")
-        kind = "single" if chapters == "1" else "salmos" if abbr == "Sal" else "standard"
-        rows.append((i, name, abbr, name.upper(), int(chapters), kind))
+    for i, (name, abbr, chapters) in enumerate(fixed.BOOKS if books is None else books):
+        kind = "single" if chapters == 1 else "salmos" if abbr == "Sal" else "standard"
+        rows.append((i, name, abbr, name.upper(), chapters, kind))
     return spark.createDataFrame(rows, DIM)
 
 
@@ -74,13 +73,12 @@ def _between(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(F.lit(0), end - start))
 
 
-def sections(docs: DataFrame, books: list[str] | None = None) -> DataFrame:
+def sections(docs: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """``(doc_id, ord, chunk)`` for the headers found, in the order of the dimension.
 
     ``docs`` is ``(doc_id, value)``. The fold carries the end of the last header taken.
     """
-    lines = fixed.BOOK_LINES if books is None else books
-    headers = [line.split("|")[0].upper() for line in lines]
+    headers = [name.upper() for name, _, _ in (fixed.BOOKS if books is None else books)]
     dim = F.array(
         *[
             F.struct(
@@ -302,7 +300,7 @@ def passages(chapter_rows: DataFrame) -> DataFrame:
     ).select("doc_id", "ord", "book", "abbr", "chapter", "v.num", "v.text")
 
 
-def structure(docs: DataFrame, dim: DataFrame, books: list[str] | None = None) -> DataFrame:
+def structure(docs: DataFrame, dim: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """D1-D7 in a row: raw documents to passages."""
     return passages(chapters(sections(docs, books), dim))
 

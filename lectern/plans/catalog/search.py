@@ -156,7 +156,7 @@ def _vector_hits(spark, folder):
 
 
 def fallback_hits(spark, folder):
-    return assemble.with_fallback(_vector_hits(spark, folder), lexical_hits(spark, folder))
+    return assemble.with_fallback(_vector_hits(spark, folder), lexical_hits(spark, folder), inputs.passages(spark, folder))
 
 
 def _expanded(spark, folder):
@@ -257,8 +257,9 @@ def _nearest(asked: str, k: int, name: str = "hits", store: str = "quantized", c
 _ASKED_MEANS = "asked as (select label as query_id, v from means)"
 _ASKED_QUESTIONS = "asked as (select vec_id as query_id, embedding as v from embeddings join benchmark on item_id = vec_id where label > 4)"
 _FALLBACK = f"""{QUANTIZED}, {_ASKED_QUESTIONS}, {_nearest('asked', 8)}, {_LEXICAL},
-  fallback as (select query_id, pos, score, rank, 'vector' as mode from hits union all
-    select query_id, pos, score, rank, 'bm25' from lexical where query_id not in (select query_id from hits))"""
+  found as (select query_id, pos, score, rank from hits where pos in (select doc_id from documents)),
+  fallback as (select query_id, pos, score, rank, 'vector' as mode from found union all
+    select query_id, pos, score, rank, 'bm25' from lexical where query_id not in (select query_id from found))"""
 _QA = """qa as (select conversation_id as id, question, response as answer from live where ord = 0 and status = 'done')"""
 _BLOCKS = """blocks as (select query_id, string_agg('[' || book || ' ' || chapter || ':' || num || '] ' || text, chr(10) || chr(10) order by rank) as block
     from fallback join passages using (pos) group by query_id)"""

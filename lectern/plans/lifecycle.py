@@ -82,7 +82,7 @@ def ask(
     ).select(F.col("conv_id").alias("query_id"), F.col("query").alias("text"))
     hits = lexical.search(expanded, store.index, k).withColumn("mode", F.lit("bm25"))
     if query_vectors is not None:
-        hits = assemble.with_fallback(vector_search.nearest(query_vectors, store.vectors, k), hits)
+        hits = assemble.with_fallback(vector_search.nearest(query_vectors, store.vectors, k), hits, store.passages)
     context = assemble.passage_context(hits.join(store.passages, "pos"))
     spark = questions.sparkSession
     if qa_hits is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -54,24 +55,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     """What the plans of this package need on any session; calling it again does nothing.
 
     The numpy kernels and stateful functions run in Python workers, so the package goes to
-    them. And one setting is changed: Spark 4.1 lets a union report the partitioning its children share. When adaptive
-    execution then gives the children different partition counts, the query fails with
-    "Can't zip RDDs with unequal numbers of partitions". Without the report a later step
-    that needs the partitioning shuffles as in earlier versions.
+    them. Two settings are changed, once for a session:
+
+    * Spark 4.1 lets a union report the partitioning its children share. When adaptive execution
+      then gives the children different partition counts, the query fails with "Can't zip RDDs
+      with unequal numbers of partitions". Without the report a later step that needs the
+      partitioning shuffles as in earlier versions.
+    * Of a key that stands twice in a JSON object the last value counts, instead of the object
+      being unreadable.
     """
     _ship_package(spark)
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for key, value in (("unionOutputPartitioning", "false"), ("variant.allowDuplicateKeys", "true")):
+        if spark.conf.get(f"spark.sql.{key}", None) != value:
+            spark.conf.set(f"spark.sql.{key}", value)
     return spark
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a new temporary folder is made and
-    kept in the session, so every later call sees the same root.
+    Where the setting is absent and the master is local (tests on one machine) a new temporary
+    folder is made and kept in the session, so every later call sees the same root. On a cluster
+    executors could not see each other's folders, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{os.urandom(6).hex()}")

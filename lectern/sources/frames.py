@@ -15,7 +15,8 @@ def frame_text(event: Column, data: Column) -> Column:
 
 def _last_field(lines: Column, name: str) -> Column:
     marked = F.filter(lines, lambda l: F.startswith(l, F.lit(name)))
-    return web_trim(F.substring(F.get(marked, F.size(marked) - 1), len(name) + 1, 1 << 30))
+    line = F.get(marked, F.size(marked) - 1)
+    return web_trim(F.substring(line, F.lit(len(name) + 1), F.length(line)))
 
 
 def is_json(text: Column) -> Column:
@@ -41,10 +42,15 @@ def parse_frames(texts: DataFrame) -> DataFrame:
     """
     parts = F.split("text", "\n\n", -1)
     complete = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    numbered = texts.select("stream_id", F.posexplode(complete).alias("seq", "frame"))
+    return framed(numbered.withColumn("seq", F.col("seq").cast("bigint")))
+
+
+def framed(frames: DataFrame) -> DataFrame:
+    """``(stream_id, seq, event, data)`` of whole frame texts; the stream and the batch form share this."""
     return (
-        texts.select("stream_id", F.posexplode(complete).alias("seq", "frame"))
-        .filter(web_trim(F.col("frame")) != "")
-        .select("stream_id", F.col("seq").cast("bigint").alias("seq"), frame_fields(F.col("frame")).alias("f"))
+        frames.filter(web_trim(F.col("frame")) != "")
+        .select("stream_id", "seq", frame_fields(F.col("frame")).alias("f"))
         .select("stream_id", "seq", "f.event", "f.data")
         .filter((F.col("data") != "") & is_json(F.col("data")))
     )

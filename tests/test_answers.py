@@ -1,6 +1,5 @@
 import json
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,33 +7,6 @@ from pyspark.sql import functions as F
 from lectern.functions.answers import final_fields
 from lectern.operators import answers, passages
 
-BODY = r'((?:[^"\\]|\\.)*)'
-
-
-def plain(s):
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", ""), ('\\"', '"'), ("\\\\", "\\")):
-        s = s.replace(a, b)
-    return s
-
-
-def brute_emissions(pieces):
-    """Every prefix parsed from the start, as the answer would be followed by hand."""
-    raw, verse, sent, out = "", None, "", []
-    for seq, piece in enumerate(pieces):
-        raw += piece
-        r, t = (re.search(rf'"{n}"\s*:\s*"{BODY}"', raw) for n in ("reference", "text"))
-        if r and t and verse != (plain(r[1]), plain(t[1])):
-            verse = (plain(r[1]), plain(t[1]))
-            out.append((seq, "verse", *verse))
-        m = re.search(rf'"response"\s*:\s*"{BODY}"', raw) or re.search(rf'"response"\s*:\s*"{BODY}\Z', raw)
-        now = plain(m[1]) if m else ""
-        if now and now != sent:
-            grown, sent = now[len(sent) :], now
-            if grown:
-                out.append((seq, "response_delta", None, grown))
-    return out, verse, sent
-
-
 def pieces_of(text, rng):
     out = []
     while text:
@@ -44,21 +16,31 @@ def pieces_of(text, rng):
     return out
 
 
+# how a text is written in JSON, and what it stands for
+BITS = {"a": "a", "bc ": "bc ", '\\"': '"', "\\\\": "\\", "\\n": "\n", "\\t": "\t", "\\r": "", "ñ": "ñ", "é": "é", ",": ","}
+
+
 @pytest.fixture(scope="module")
-def streams():
+def made():
+    """Answers in pieces, with the passage and response that they were made from."""
     rng = random.Random(11)
-    bits = ["a", "bc ", '\\"', "\\\\", "\\n", "\\t", "\\\\n", "\\\\\\\\", "\\r", "ñ", "é", "\\u00e1", ","]
     out = {}
     for i in range(60):
-        body = "".join(rng.choices(bits, k=rng.randint(0, 30)))
-        verse = '{"reference" : "Sal %d:1", "text":"%s"}' % (i, "".join(rng.choices(bits, k=6)))
-        parts = ['"verse": ' + rng.choice(["null", verse]), '"response" :"' + body + '"']
+        body, words = rng.choices(list(BITS), k=rng.randint(1, 30)), rng.choices(list(BITS), k=6)
+        passage = '{"reference" : "Sal %d:1", "text":"%s"}' % (i, "".join(words)) if i % 3 else "null"
+        parts = ['"verse": ' + passage, '"response" :"' + "".join(body) + '"']
         if i % 5 == 0:
             parts.reverse()
-        text = "{" + ", ".join(parts) + "}"
-        if i % 4 == 0:
-            text = text[: rng.randint(5, len(text))]
-        out[f"a{i:02d}"] = pieces_of(text, rng)
+        truth = (f"Sal {i}:1", "".join(BITS[w] for w in words)) if i % 3 else None
+        out[f"a{i:02d}"] = (pieces_of("{" + ", ".join(parts) + "}", rng), truth, "".join(BITS[b] for b in body))
+    return out
+
+
+@pytest.fixture(scope="module")
+def streams(made):
+    out = {k: pieces for k, (pieces, _, _) in made.items()}
+    # cut off in the middle, or with runs of backslashes over the edges of pieces
+    out |= {f"{k}-cut": pieces[: len(pieces) // 2] for k, (pieces, _, _) in made.items() if len(pieces) > 3}
     out["lone"] = ['{"response": "abc', "def\\"]
     out["slashes"] = ['{"response": "x\\', "\\", "\\", '\\n"', "}"]
     out["none"] = ["no json at all"]
@@ -72,17 +54,48 @@ def deltas(spark, streams):
     return spark.createDataFrame(rows, "answer_id string, seq bigint, text string").repartition(4)
 
 
-def test_emissions_match_every_prefix(streams, deltas):
-    want = sorted((k, *e) for k, ps in streams.items() for e in brute_emissions(ps)[0])
-    got = sorted((r.answer_id, r.seq, r.event, r.reference, r.text) for r in answers.emissions(deltas).collect())
-    key = lambda e: tuple(str(x) for x in e)
-    assert sorted(got, key=key) == sorted(want, key=key)
+def test_emissions_add_up_to_the_answer(made, streams, deltas):
+    verses, grown, places = {}, {}, {}
+    for r in sorted(answers.emissions(deltas).collect(), key=lambda r: (r.answer_id, r.seq)):
+        if r.event == "verse":
+            assert r.answer_id not in verses
+            verses[r.answer_id] = (r.reference, r.text)
+            places[r.answer_id] = r.seq
+        else:
+            grown[r.answer_id] = grown.get(r.answer_id, "") + r.text
+    for k, (pieces, truth, response) in made.items():
+        assert verses.get(k) == truth and grown.get(k, "") == response
+        if truth:  # sent with the piece that closes the second of the two fields
+            before = "".join(pieces[: places[k]])
+            assert '"text":"' not in before or not before.split('"text":"')[1].replace('\\\\', "").replace('\\"', "").count('"')
+        assert response.startswith(grown.get(f"{k}-cut", ""))
+
+
+def test_emissions_by_hand(spark):
+    texts = {
+        "a": ['{"verse": {"reference": "r", "te', 'xt": "t"}, "resp', 'onse": "uno', " dos", '"}'],
+        "b": ['{"response": "x\\', "n", "y", '\\"z"', ', "verse": null}'],
+        "c": ['{"response": "x\\', "\\", "\\", '\\n"', "}"],
+    }
+    rows = [(k, i, p) for k, ps in texts.items() for i, p in enumerate(ps)]
+    found = answers.emissions(spark.createDataFrame(rows, "answer_id string, seq bigint, text string")).collect()
+    assert sorted(tuple(str(x) for x in r) for r in found) == [
+        ("a", "1", "verse", "r", "t"),
+        ("a", "2", "response_delta", "None", "uno"),
+        ("a", "3", "response_delta", "None", " dos"),
+        ("b", "1", "response_delta", "None", "x\n"),
+        ("b", "2", "response_delta", "None", "y"),
+        ("b", "3", "response_delta", "None", '"z'),
+        ("c", "1", "response_delta", "None", "x\\"),
+        ("c", "3", "response_delta", "None", "\\\n"),  # a line break is decoded before a backslash
+    ]
 
 
-def test_last_sent_matches(streams, deltas):
-    got = {r.answer_id: ((r.reference, r.text) if r.reference is not None else None, r.response) for r in answers.last_sent(deltas).collect()}
-    assert got == {k: brute_emissions(ps)[1:] for k, ps in streams.items()}
-    assert got["lone"][1] == "abc"
+def test_last_sent(made, deltas):
+    got = {r.answer_id: r for r in answers.last_sent(deltas).collect()}
+    for k, (_, truth, response) in made.items():
+        assert got[k].response == response and (got[k].reference, got[k].text) == (truth or (None, None))
+    assert got["lone"].response == "abc" and got["none"].response == ""
 
 
 def test_prefixes_and_whole(streams, deltas):
@@ -101,6 +114,7 @@ def test_prefixes_and_whole(streams, deltas):
         ('{"response": 3}', None),
         ('{"verse": null}', None),
         ('{"response": "c"', None),
+        ('{"response": "x", "response": "y"}', (None, None, "y")),
         ('{"response": "a"} y {"response": "b"}', None),
         ('{"response": "a"}, {"response": "b"}', None),
         ("nada", None),
@@ -246,3 +260,34 @@ def test_streamed_turns_end_like_batch(spark, tmp_path):
     assert seen[0][3:5] == ("a", "streaming") and seen[1][3:5] == ("ab", "streaming")
     assert seen[-1][3:] == ("ab", "error", "No se recibió respuesta. Intenta de nuevo.")
     assert [r.status for r in got if r.stream_id == "done"][:3] == ["streaming", "streaming", "done"]
+
+
+def test_streams_wait_for_late_pieces_and_survive_odd_data(spark, tmp_path):
+    from lectern.sources import frames
+    from lectern.streaming import answers as live
+
+    pieces = ['{"response": "uno', " dos", ' tres"}']
+    at = "2024-01-01 00:00:00"
+    rows = [("a", 0, at, pieces[0], 0), ("a", 2, at, pieces[2], 1), ("a", 1, at, pieces[1], 2), ("a", 1, at, pieces[1], 2), ("b", 0, at, None, 0)]
+    stream = as_stream(spark, rows, "answer_id string, seq bigint, at string, text string, batch int", str(tmp_path / "late"))
+    got = drain(live.follow_answers(stream.withColumn("ts", F.to_timestamp("at"))), "append", "late")
+    assert sorted((r.seq, r.text) for r in got) == [(0, "uno"), (1, " dos"), (2, " tres")]
+
+    text = 'data: {"a": 1, "a": 2}\n\ndata: NaN\n\ndata: [1]\n\nevent: e\u00a0\ndata:\u00a0{}\n\n'
+    want = frames.parse_frames(spark.createDataFrame([("s", text)], "stream_id string, text string")).collect()
+    assert [r.data for r in want] == ['{"a": 1, "a": 2}', "[1]", "{}"]
+    rows = [("s", 1, at, text[20:], 0), ("s", 0, at, text[:20], 1), ("z", 0, at, "", 2)]
+    stream = as_stream(spark, rows, "stream_id string, seq bigint, at string, text string, batch int", str(tmp_path / "odd"))
+    got = drain(live.parse_frames(stream.withColumn("ts", F.to_timestamp("at"))), "append", "odd")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+    result = '{"verse": null, "response": "fin"}'
+    rows = [
+        ("s", 0, "response_delta", "{}", 0), ("s", 1, "response_delta", "[3]", 0), ("s", 2, "verse", "7", 0), ("s", 4, "result", result, 1),
+        ("s", 3, "response_delta", '{"text": "x"}', 2), ("s", 5, "response_delta", '{"text": "+"}', 2),
+    ]
+    batch = spark.createDataFrame([r[:4] for r in rows], "stream_id string, seq bigint, event string, data string")
+    timed = [(*r[:2], at, *r[2:]) for r in rows]
+    stream = as_stream(spark, timed, "stream_id string, seq bigint, at string, event string, data string, batch int", str(tmp_path / "turn"))
+    got = drain(live.fold_turns(stream.withColumn("ts", F.to_timestamp("at"))), "update", "odd_turns")
+    assert tuple(got[-1]) == tuple(answers.fold_turns(batch).first()) == ("s", None, None, "fin+", "streaming", None)

@@ -142,10 +142,19 @@ def test_relevance_is_a_cut_after_the_top_k(spark):
 
 def test_fallback_is_per_query(spark):
     schema = "query_id int, pos bigint, score double, rank int"
-    vector = spark.createDataFrame([(1, 5, 0.9, 1)], schema)
-    words = spark.createDataFrame([(1, 6, 3.0, 1), (2, 7, 2.0, 1)], schema)
-    rows = assemble.with_fallback(vector, words).orderBy("query_id").collect()
-    assert [(r.query_id, r.pos, r.mode) for r in rows] == [(1, 5, "vector"), (2, 7, "bm25")]
+    vector = spark.createDataFrame([(1, 5, 0.9, 1), (1, 99, 0.8, 2), (3, 98, 0.7, 1)], schema)
+    words = spark.createDataFrame([(1, 6, 3.0, 1), (2, 7, 2.0, 1), (3, 6, 1.0, 1)], schema)
+    known = spark.createDataFrame([(5,), (6,), (7,)], "pos bigint")
+    rows = assemble.with_fallback(vector, words, known).orderBy("query_id").collect()
+    # hits of 1 and 3 that have no passage go, and 3 is left without any: it is searched by words
+    assert [(r.query_id, r.pos, r.mode) for r in rows] == [(1, 5, "vector"), (2, 7, "bm25"), (3, 6, "bm25")]
+
+
+def test_postings_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "casa casa perro"), (2, ""), (3, "perro")], "pos bigint, text string")
+    found = lexical.postings(docs)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "casa", 2, 3), (1, "perro", 1, 3), (3, "perro", 1, 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_expansion_uses_users_of_the_window_only(spark):
