@@ -53,11 +53,13 @@ def _grams(rows: DataFrame, order: int) -> DataFrame:
                 for depth in range(order + 1):
                     codes = []
                     for a in arrays:
-                        code = np.zeros(max(0, len(a) - depth), np.int64)
+                        if len(a) <= depth:
+                            continue
+                        code = np.zeros(len(a) - depth, np.int64)
                         for i in range(depth + 1):
                             code = code << 8 | a[i : len(a) - depth + i]
                         codes.append(code)
-                    seen, n = np.unique(np.concatenate(codes), return_counts=True)
+                    seen, n = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([lang] * len(seen), pa.string()),

@@ -1,7 +1,7 @@
 """Toxicity from document labels: sentences are the instances, noisy-or combines them.
 
-A sentence holding learned words is toxic with probability sigmoid(bias + sum of weights); one
-without is not. A document is toxic unless each of its sentences fails to be and the leak
+A sentence holding learned features (words and word beginnings) is toxic with probability
+sigmoid(bias + sum of weights); one without is not. A document is toxic unless each of its sentences fails to be and the leak
 fails too: ``1 - (1 - leak) * prod(1 - p)``. Labels are known for documents only; the gradient
 of the document likelihood tells which sentences they are about.
 """
@@ -28,25 +28,44 @@ VOCABULARY = 4096
 #: Least log-likelihood ratio (G2) of a feature.
 EVIDENCE = 20.0
 
+#: Lengths of the word beginnings that are features beside whole words: one stem has many forms.
+STEMS = (3, 4, 5, 6)
+
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
+def features(words: set[str]) -> set[str]:
+    """The words, and the beginnings of longer ones, marked by a hyphen."""
+    return words.union(*[{f"{w[:k]}-" for w in words if len(w) > k} for k in STEMS])
+
+
 @dataclass(frozen=True)
 class Model:
-    """Word weights, the bias of a sentence and the leak of a document."""
+    """Weights of features, the bias of a sentence and the leak of a document."""
 
     weights: dict[str, float]
     bias: float
     leak: float
 
+    def __post_init__(self):
+        stems = {k: {w[:-1] for w in self.weights if w.endswith("-") and len(w) == k + 1} for k in STEMS}
+        object.__setattr__(self, "stems", {k: s for k, s in stems.items() if s})
+
+    def may_hold(self, text: str) -> bool:
+        """False only if no feature of the model can be in the text."""
+        words = set(WORD.findall(text.lower()))
+        if not self.weights.keys().isdisjoint(words):
+            return True
+        return any(not stems.isdisjoint({w[:k] for w in words}) for k, stems in self.stems.items())
+
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences that hold learned words."""
-        if self.weights.keys().isdisjoint(WORD.findall(text.lower())):
+        if not self.may_hold(text):
             return []
         found = []
         for m in SENTENCE.finditer(text):
-            words = self.weights.keys() & set(WORD.findall(m[0].lower()))
+            words = self.weights.keys() & features(set(WORD.findall(m[0].lower())))
             if words:
                 z = self.bias + sum(self.weights[w] for w in sorted(words))
                 found.append((m.start(), m.end(), 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))))
@@ -60,13 +79,13 @@ class Model:
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    """(word, toxic, clean): documents of each label that hold the word, combined before the shuffle."""
+    """(word, toxic, clean): documents of each label that hold the feature, combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             counts = (Counter(), Counter())
             for t, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                counts[y].update(set(WORD.findall((t or "").lower())))
+                counts[y].update(features(set(WORD.findall((t or "").lower()))))
             words = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words, pa.string()), *(pa.array([counts[y][w] for w in words], pa.int64()) for y in (1, 0))],
@@ -101,7 +120,7 @@ def _bags(rows: DataFrame, words: list[str]) -> DataFrame:
             for t in part.column("text").to_pylist():
                 bags = set()
                 for m in SENTENCE.finditer(t or ""):
-                    bags.add(tuple(sorted(number[w] for w in number.keys() & set(WORD.findall(m[0].lower())))))
+                    bags.add(tuple(sorted(number[w] for w in number.keys() & features(set(WORD.findall(m[0].lower()))))))
                 out.append(sorted(bags - {()}))
             yield pa.RecordBatch.from_arrays(
                 [part.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["toxic", "bags"]
