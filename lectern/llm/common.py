@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.session import prepare, shared_folder
 
 #: Bytes of text that a Python step takes from an Arrow batch at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
