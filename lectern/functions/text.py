@@ -118,17 +118,41 @@ def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(listed))
 
 
+def _compositions() -> list[tuple[str, str]]:
+    """(letter + mark, composed) of every character that composition makes, those first whose
+    letter is plain, so that letters with several marks grow mark by mark."""
+    found = []
+    for code in range(0x00C0, 0x30000):
+        ch = chr(code)
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", ch) == ch:
+            pair = "".join(chr(int(p, 16)) for p in parts)
+            found.append((len(unicodedata.normalize("NFD", ch)), pair, ch))
+    return [(pair, ch) for _, pair, ch in sorted(found)]
+
+
+_COMPOSITIONS = _compositions()
+_COMBINING = "".join(sorted({pair[1] for pair, _ in _COMPOSITIONS}))
+# marks below their letter or attached to it come before marks above it
+_LOW_MARKS = "".join(m for m in _MARKS if 0 < unicodedata.combining(m) < 230)
+_HIGH_MARKS = "".join(m for m in _MARKS if unicodedata.combining(m) == 230)
+
+
 def _compose(c: Column) -> Column:
-    """Compose lower-case letter + mark pairs; texts without marks skip the work."""
-    pairs = []
-    for code in range(0x00E0, 0x0180):
-        pair = unicodedata.normalize("NFD", chr(code))
-        if chr(code).islower() and len(pair) == 2 and _is_mark(pair[1]):
-            pairs.append(F.struct(F.lit(pair).alias("pair"), F.lit(chr(code)).alias("letter")))
+    """Canonical composition of letters followed by their marks; other texts skip the work.
+
+    Marks above a letter go behind the others first. Marks that stand in no other canonical
+    order, and marks separated from their letter by one that it cannot take, are left as they are.
+    """
+    pairs = F.split(F.lit(" ".join(pair for pair, _ in _COMPOSITIONS)), " ")
+    letters = F.split(F.lit(" ".join(letter for _, letter in _COMPOSITIONS)), " ")
+    ordered = F.regexp_replace(c, f"([{_HIGH_MARKS}]+)([{_LOW_MARKS}]+)", "$2$1")
     composed = F.aggregate(
-        F.array(*pairs), c, lambda text, p: F.replace(text, p["pair"], p["letter"])
+        F.arrays_zip(pairs.alias("pair"), letters.alias("letter")),
+        ordered,
+        lambda text, p: F.replace(text, p["pair"], p["letter"]),
     )
-    return F.when(c.rlike(r"[\u0300-\u036f]"), composed).otherwise(c)
+    return F.when(c.rlike(f"[{_COMBINING}]"), composed).otherwise(c)
 
 
 def compare_fold(c: Column) -> Column:

@@ -165,7 +165,7 @@ def query_vectors(queries: DataFrame, index: LexicalIndex) -> DataFrame:
         query_terms(queries)
         .join(index.terms, "term")
         .groupBy("query_id")
-        .agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("parts"))
         .select(
             "query_id",
             F.col("parts.term").alias("terms"),
@@ -180,15 +180,13 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def bm25_kernel(rows: pa.Table, queries: pa.Table) -> np.ndarray:
-    """Scores of a batch of tokenized documents for a block of weighted queries."""
-    n_rows, n_queries = rows.num_rows, queries.num_rows
+def bm25_kernel(queries: pa.Table) -> topk.Prepared:
+    """Scores of batches of tokenized documents for a block of weighted queries."""
+    n_queries = queries.num_rows
     q_lists = queries.column("terms").combine_chunks()
     q_terms = q_lists.flatten()
     vocabulary = pc.unique(q_terms)
     v = len(vocabulary)
-    if v == 0 or n_rows == 0:
-        return np.full((n_rows, n_queries), np.nan)
     # the block as lists of (query, weight) per term
     q_of = _expand(np.diff(q_lists.offsets.to_numpy()))[0]
     term_at = pc.index_in(q_terms, value_set=vocabulary).to_numpy()
@@ -198,31 +196,37 @@ def bm25_kernel(rows: pa.Table, queries: pa.Table) -> np.ndarray:
     list_query = q_of[by_term]
     list_weight = queries.column("weights").combine_chunks().flatten().to_numpy()[by_term]
 
-    # the batch as (row, term, tf), terms outside the block left out
-    lists = rows.column("tokens").combine_chunks()
-    hit = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
-    row_ids = _expand(np.diff(lists.offsets.to_numpy()))[0]
-    found = hit >= 0
-    keys, tf = np.unique(row_ids[found] * v + hit[found], return_counts=True)
-    row_of, term_of = np.divmod(keys, v)
-    impact = saturation(
-        tf, rows.column("len").to_numpy()[row_of], rows.column("avg_len").to_numpy()[row_of]
-    )
-
-    scores = np.zeros(n_rows * n_queries)
-    fan_out = per_term[term_of]
-    done = np.cumsum(fan_out)
-    cuts = np.searchsorted(done, np.arange(topk.SCORE_CELLS, done[-1] if len(done) else 0, topk.SCORE_CELLS))
-    for s in np.split(np.arange(len(keys)), cuts):
-        owner, place = _expand(fan_out[s])
-        at = list_start[term_of[s]][owner] + place
-        scores += np.bincount(
-            row_of[s][owner] * n_queries + list_query[at],
-            weights=impact[s][owner] * list_weight[at],
-            minlength=len(scores),
+    def prepared(rows: pa.Table) -> np.ndarray:
+        n_rows = rows.num_rows
+        if v == 0 or n_rows == 0:
+            return np.full((n_rows, n_queries), np.nan)
+        # the batch as (row, term, tf), terms outside the block left out
+        lists = rows.column("tokens").combine_chunks()
+        hit = pc.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+        row_ids = _expand(np.diff(lists.offsets.to_numpy()))[0]
+        found = hit >= 0
+        keys, tf = np.unique(row_ids[found] * v + hit[found], return_counts=True)
+        row_of, term_of = np.divmod(keys, v)
+        impact = saturation(
+            tf, rows.column("len").to_numpy()[row_of], rows.column("avg_len").to_numpy()[row_of]
         )
-    scores = scores.reshape(n_rows, n_queries)
-    return np.where(scores > 0, scores, np.nan)
+        scores = np.zeros(n_rows * n_queries)
+        fan_out = per_term[term_of]
+        done = np.cumsum(fan_out)
+        last = done[-1] if len(done) else 0
+        cuts = np.searchsorted(done, np.arange(topk.SCORE_CELLS, last, topk.SCORE_CELLS))
+        for s in np.split(np.arange(len(keys)), cuts):
+            owner, place = _expand(fan_out[s])
+            at = list_start[term_of[s]][owner] + place
+            scores += np.bincount(
+                row_of[s][owner] * n_queries + list_query[at],
+                weights=impact[s][owner] * list_weight[at],
+                minlength=len(scores),
+            )
+        scores = scores.reshape(n_rows, n_queries)
+        return np.where(scores > 0, scores, np.nan)
+
+    return prepared
 
 
 def search(
@@ -233,17 +237,9 @@ def search(
 ) -> DataFrame:
     """``(query_id, pos, score, rank)``, positive scores only, ties in corpus order.
 
-    ``score`` is rounded to six digits and ranked in that form, so that results do not depend
-    on the order of a floating-point sum.
+    Ranked on the score to ten decimals, where the order of a floating-point sum does not show;
+    ``score`` is given to six.
     """
     rows = index.documents.withColumn("avg_len", _statistic(index, "avg_len"))
-    sizes = queries.select((F.length("text") * 8 + 64).alias("bytes"))
-    return topk.top_k(
-        rows,
-        query_vectors(queries, index),
-        bm25_kernel,
-        k,
-        query_sizes=sizes,
-        row_bytes=F.col("len") * 12 + 64,
-        block_bytes=block_bytes,
-    )
+    hits = topk.top_k(rows, query_vectors(queries, index), bm25_kernel, k, block_bytes)
+    return hits.withColumn("score", F.round("score", 6))

@@ -64,15 +64,19 @@ def keep(places: DataFrame, exclusion: str = fixed.PLACE_EXCLUSION) -> DataFrame
     )
 
 
-def distance_kernel(rows: pa.Table, queries: pa.Table) -> np.ndarray:
+def distance_kernel(centres: pa.Table) -> topk.Prepared:
     """Negative metres, so that the nearest place scores highest."""
-    lat1, lng1 = (np.radians(queries.column(c).to_numpy())[None, :] for c in ("lat", "lng"))
-    lat2, lng2 = (np.radians(rows.column(c).to_numpy())[:, None] for c in ("lat", "lng"))
-    x = (
-        np.sin((lat2 - lat1) / 2) ** 2
-        + np.cos(lat1) * np.cos(lat2) * np.sin((lng2 - lng1) / 2) ** 2
-    )
-    return -2 * fixed.EARTH_RADIUS_M * np.arctan2(np.sqrt(x), np.sqrt(1 - x))
+    lat1, lng1 = (np.radians(centres.column(c).to_numpy())[None, :] for c in ("lat", "lng"))
+
+    def prepared(places: pa.Table) -> np.ndarray:
+        lat2, lng2 = (np.radians(places.column(c).to_numpy())[:, None] for c in ("lat", "lng"))
+        x = (
+            np.sin((lat2 - lat1) / 2) ** 2
+            + np.cos(lat1) * np.cos(lat2) * np.sin((lng2 - lng1) / 2) ** 2
+        )
+        return -2 * fixed.EARTH_RADIUS_M * np.arctan2(np.sqrt(x), np.sqrt(1 - x))
+
+    return prepared
 
 
 def nearest(
@@ -94,12 +98,11 @@ def nearest(
         queries,
         distance_kernel,
         k,
-        query_sizes=queries.select(F.lit(64).alias("bytes")),
-        row_bytes=F.lit(64),
-        block_bytes=block_bytes,
+        block_bytes,
+        digits=6,
     )
     return hits.select(
-        F.col("query_id").alias("centre_id"), "pos", (-F.col("score")).alias("distance"), "rank"
+        F.col("query_id").alias("centre_id"), "pos", F.round(-F.col("score"), 6).alias("distance"), "rank"
     )
 
 

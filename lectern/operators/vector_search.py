@@ -34,25 +34,25 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), dim)
 
 
-def _cosine(rows: np.ndarray, queries: np.ndarray, factor: np.ndarray) -> np.ndarray:
-    bottom = np.outer(
-        np.sqrt(np.einsum("ij,ij->i", rows, rows)) * factor,
-        np.sqrt(np.einsum("ij,ij->i", queries, queries)),
-    )
-    bottom[bottom == 0] = 1.0
-    return (rows @ queries.T) * factor[:, None] / bottom
+def _scaled(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, their factor (the scale of int8 vectors) and their length."""
+    v = _matrix(table.column("q" if "q" in table.column_names else "v"), dim)
+    factor = table.column("scale").to_numpy() / 127 if "q" in table.column_names else np.ones(len(v))
+    return v, factor, np.sqrt(np.einsum("ij,ij->i", v, v)) * factor
 
 
-def float_kernel(rows: pa.Table, queries: pa.Table) -> np.ndarray:
-    dim = len(queries.column("v")[0])
-    v = _matrix(rows.column("v"), dim)
-    return _cosine(v, _matrix(queries.column("v"), dim), np.ones(len(v)))
+def cosine_kernel(shared: pa.Table) -> topk.Prepared:
+    """Cosines of batches of vectors with a block of vectors, float or int8 on either side."""
+    dim = len(shared.column("q" if "q" in shared.column_names else "v")[0])
+    block, block_factor, block_length = _scaled(shared, dim)
 
+    def prepared(batch: pa.Table) -> np.ndarray:
+        v, factor, length = _scaled(batch, dim)
+        bottom = np.outer(length, block_length)
+        bottom[bottom == 0] = 1.0
+        return (v @ block.T) * np.outer(factor, block_factor) / bottom
 
-def quantized_kernel(rows: pa.Table, queries: pa.Table) -> np.ndarray:
-    dim = len(queries.column("v")[0])
-    q = _matrix(rows.column("q"), dim)
-    return _cosine(q, _matrix(queries.column("v"), dim), rows.column("scale").to_numpy() / 127)
+    return prepared
 
 
 def _of_model(df: DataFrame, model: str | None, key: str) -> DataFrame:
@@ -69,26 +69,21 @@ def nearest(
     k: int,
     model: str | None = None,
     block_bytes: int = topk.BLOCK_BYTES,
+    small_store: bool = False,
 ) -> DataFrame:
     """``(query_id, pos, score, rank)``: the k vectors of highest cosine for each query.
 
     ``store`` holds ``pos`` and either ``q``/``scale`` or ``v``; ``queries`` hold
     ``query_id`` and ``v``. All vectors must share one dimension, and one ``model`` when one
-    is named.
+    is named. ``small_store`` says that the store is the smaller side: it is then the one that
+    goes to the tasks, and the queries stay where they are. Ranked on the cosine to ten
+    decimals; ``score`` is given to six.
     """
-    quantized = "q" in store.columns
-    columns = ["pos", "q", "scale"] if quantized else ["pos", "v"]
+    columns = ["pos", "q", "scale"] if "q" in store.columns else ["pos", "v"]
     rows = _of_model(store, model, "pos").select(*columns)
     asked = _of_model(queries, model, "query_id").select("query_id", "v")
-    return topk.top_k(
-        rows,
-        asked,
-        quantized_kernel if quantized else float_kernel,
-        k,
-        query_sizes=queries.select((F.size("v") * 8 + 64).alias("bytes")),
-        row_bytes=F.size(columns[1]) * 8 + 64,
-        block_bytes=block_bytes,
-    )
+    hits = topk.top_k(rows, asked, cosine_kernel, k, block_bytes, share_rows=small_store)
+    return hits.withColumn("score", F.round("score", 6))
 
 
 def with_refs(hits: DataFrame, store: DataFrame) -> DataFrame:

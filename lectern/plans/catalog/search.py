@@ -111,11 +111,13 @@ def _qa_search(spark, folder):
 
 
 def _relevant(spark, folder):
-    """Every vector asks for the two nearest of the label means; near ones are kept."""
-    means = _vector_queries(spark, folder).select(c("query_id").cast("bigint").alias("pos"), "v")
-    asking = inputs.vectors(spark, folder).select(c("pos").alias("query_id"), "v")
-    hits = vector_search.nearest(asking, means, fixed.DEFAULT_QA_K)
-    return vector_search.relevant(hits, 0.3).select("query_id", "pos", "rank", "score")
+    """Every vector asks for the two nearest of the means of four vectors; near ones are kept."""
+    rows = inputs.vectors(spark, folder)
+    fours = rows.withColumn("pos", F.floor(c("pos") / 4))
+    means = vector_search.mean_vectors(fours, "pos")
+    asking = rows.select(c("pos").alias("query_id"), "v")
+    hits = vector_search.nearest(asking, means, fixed.DEFAULT_QA_K, small_store=True)
+    return vector_search.relevant(hits).select("query_id", "pos", "rank", "score")
 
 
 def _hashed(spark, folder):
@@ -159,14 +161,25 @@ def fallback_hits(spark, folder):
     return assemble.with_fallback(_vector_hits(spark, folder), lexical_hits(spark, folder), inputs.passages(spark, folder))
 
 
+def _long_messages(spark, folder):
+    """Messages of eight conversations as one, longer than a history."""
+    return inputs.messages(spark, folder).withColumns(
+        {"turn": c("conv_id") % 8 * 1000 + c("turn"), "conv_id": F.floor(c("conv_id") / 8)}
+    )
+
+
 def _expanded(spark, folder):
-    rows = inputs.messages(spark, folder)
+    rows = _long_messages(spark, folder)
     first = rows.groupBy("conv_id").agg(F.min_by("content", "turn").alias("question"))
-    return assemble.expanded_queries(first, rows, size=3).select("conv_id", F.md5("query").alias("digest"))
+    return assemble.expanded_queries(first, rows).select("conv_id", F.md5("query").alias("digest"))
 
 
 def _turn_messages(spark, folder):
-    rows = assemble.turns_to_messages(inputs.live_turns(spark, folder), last=2)
+    conversation = c("conversation_id").cast("bigint")
+    turns = inputs.live_turns(spark, folder).withColumns(
+        {"ord": conversation % 8 * 1000 + c("ord"), "conversation_id": F.floor(conversation / 8).cast("string")}
+    )
+    rows = assemble.turns_to_messages(turns)
     return rows.select("conv_id", "turn", "role", F.md5("content").alias("digest"))
 
 
@@ -209,7 +222,7 @@ QUERIES = {
     "f10_size_report": lambda s, d: vector_search.size_report(inputs.vectors(s, d)),
     "f11_throughput": _throughput,
     "g01_search_with_fallback": fallback_hits,
-    "g02_history_window": lambda s, d: assemble.history_window(inputs.messages(s, d), 3).select("conv_id", "turn", "role", F.md5("content").alias("digest")),
+    "g02_history_window": lambda s, d: assemble.history_window(_long_messages(s, d)).select("conv_id", "turn", "role", F.md5("content").alias("digest")),
     "g03_expanded_query": _expanded,
     "g04_turns_to_messages": _turn_messages,
     "g05_passage_context": _digest(_passage_blocks, "query_id", "block"),
@@ -230,15 +243,15 @@ def bm25_sql(corpus: str, queries: str) -> str:
   stat as (select count(*) as n, avg(len(t)) as avg_len from toks),
   qtoks as (select query_id, term, count(*) as qtf from
     (select query_id, unnest({tokens_sql('text')}) as term from ({queries})) group by query_id, term),
-  scored as (select query_id, pos, round(sum(qtf * {_SCORE}), 6) as score
+  scored as (select query_id, pos, sum(qtf * {_SCORE}) as exact, round(exact, 6) as score
     from qtoks join freq using (term) join post using (term), stat group by query_id, pos)"""
 
 
 _CORPUS = "select doc_id as pos, text from documents"
 _QUESTIONS = "select item_id as query_id, text from benchmark"
 _LEXICAL = bm25_sql(_CORPUS, _QUESTIONS) + """,
-  lexical as (select * from (select query_id, pos, score, row_number() over (partition by query_id order by score desc, pos) as rank
-    from scored where score > 0) where rank <= 8)"""
+  lexical as (select * from (select query_id, pos, score, row_number() over (partition by query_id order by round(exact, 10) desc, pos) as rank
+    from scored where exact > 0) where rank <= 8)"""
 _DOT = "list_sum(list_transform(list_zip(%s, %s), lambda p: p[1]::double * p[2]::double))"
 _MEANS = """means as (select label, list(x order by i) as v from
   (select label, i, avg(x::double) as x from (select label, unnest(generate_series(1, len(embedding))) as i, unnest(embedding) as x from embeddings)
@@ -250,8 +263,8 @@ def _cos(a: str, b: str) -> str:
 
 
 def _nearest(asked: str, k: int, name: str = "hits", store: str = "quantized", column: str = "q") -> str:
-    return f"""{name} as (select * from (select query_id, pos, score, row_number() over (partition by query_id order by score desc, pos) as rank from
-    (select a.query_id, s.pos, round({_cos('a.v', 's.' + column)}, 6) as score from {asked} a, {store} s)) where rank <= {k})"""
+    return f"""{name} as (select * from (select query_id, pos, score, row_number() over (partition by query_id order by round(exact, 10) desc, pos) as rank from
+    (select a.query_id, s.pos, {_cos('a.v', 's.' + column)} as exact, round(exact, 6) as score from {asked} a, {store} s)) where rank <= {k})"""
 
 
 _ASKED_MEANS = "asked as (select label as query_id, v from means)"
@@ -272,6 +285,7 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+_LONG_MESSAGES = inputs.MESSAGES.replace("select conv_id, turn,", "select conv_id // 8 as conv_id, conv_id % 8 * 1000 + turn as turn,")
 _RECENT = """recent as (select * from (select *, row_number() over (partition by conv_id order by turn desc) as n from messages) where n <= %d)"""
 ESCAPED = "replace(replace(replace(%s, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n')"
 
@@ -297,8 +311,8 @@ SQL = {
   select query_id, cast(rank as int) as rank, ref as key, score from hits join passages using (pos) where lang <> 'fr'""",
     "f06_qa_top_k": f"""with {inputs.LIVE_TURNS}, {_QA}, {QUANTIZED}, {_MEANS}, {_ASKED_MEANS}, {_nearest('asked', 2)}
   select query_id, cast(rank as int) as rank, id, score, md5(answer) as answer from hits join qa on id = cast(pos as varchar)""",
-    "f07_relevant_only": f"""with {_MEANS}, store as (select label as pos, v from means), asked as (select vec_id as query_id, embedding as v from embeddings),
-  {_nearest('asked', 2, 'hits', 'store', 'v')} select query_id, cast(pos as bigint) as pos, cast(rank as int) as rank, score from hits where score >= 0.3""",
+    "f07_relevant_only": f"""with {_MEANS.replace('select label, unnest', 'select vec_id // 4 as label, unnest')}, store as (select label as pos, v from means), asked as (select vec_id as query_id, embedding as v from embeddings),
+  {_nearest('asked', 2, 'hits', 'store', 'v')} select query_id, cast(pos as bigint) as pos, cast(rank as int) as rank, score from hits where score >= 0.5""",
     "f08_hashed_embedding": f"select doc_id as ref, 64 as dim, cast(len({tokens_sql('text')}) as bigint) as total from documents",
     "f09_unembedded": """select doc_id as ref, cast(length(text) as int) as chars from documents
   where doc_id not in (select vec_id from embeddings where label < 5)""",
@@ -308,14 +322,16 @@ SQL = {
   select done, round(seconds, 4) as seconds, round(done / seconds, 4) as rows_per_second,
     round(((select count(*) from lineitem) - done) / (done / seconds), 4) as remaining_seconds from l""",
     "g01_search_with_fallback": f"with {_FALLBACK} select query_id, pos, score, cast(rank as int) as rank, mode from fallback",
-    "g02_history_window": f"with {inputs.MESSAGES}, {_RECENT % 3} select conv_id, turn, role, md5(content) as digest from recent",
-    "g03_expanded_query": f"""with {inputs.MESSAGES}, {_RECENT % 3}, last2 as (select * from
+    "g02_history_window": f"with {_LONG_MESSAGES}, {_RECENT % 10} select conv_id, turn, role, md5(content) as digest from recent",
+    "g03_expanded_query": f"""with {_LONG_MESSAGES}, {_RECENT % 10}, last2 as (select * from
     (select *, row_number() over (partition by conv_id order by turn desc) as m from recent where role = 'user') where m <= 2),
   joined as (select conv_id, string_agg(content, ' ' order by turn) as r from last2 group by conv_id)
   select f.conv_id, md5(case when r is null then q else r || ' ' || q end) as digest from
     (select conv_id, arg_min(content, turn) as q from messages group by conv_id) f left join joined using (conv_id)""",
     "g04_turns_to_messages": f"""with {inputs.LIVE_TURNS}, k as (select * from
-    (select *, row_number() over (partition by conversation_id order by ord desc) as n from live where status = 'done' and response <> '') where n <= 2)
+    (select *, row_number() over (partition by conversation_id order by ord desc) as n from (select * replace
+      (cast(cast(conversation_id as bigint) // 8 as varchar) as conversation_id, cast(conversation_id as bigint) % 8 * 1000 + ord as ord)
+      from live) where status = 'done' and response <> '') where n <= 10)
   select conversation_id as conv_id, ord * 2 as turn, 'user' as role, md5(question) as digest from k
   union all select conversation_id, ord * 2 + 1, 'assistant', md5('{{"verse":' || case when verse_reference is null then 'null' else
     '{{"reference":"' || verse_reference || '","text":"' || {ESCAPED % 'verse_text'} || '"}}' end || ',"response":"' || {ESCAPED % 'response'} || '"}}') from k""",

@@ -74,10 +74,10 @@ def _users(spark, folder):
 
 def _recent(spark, folder):
     rows = read_table(spark, folder, "orders").select(
-        c("o_orderkey").alias("id"), c("o_custkey").alias("user_id"), c("o_orderpriority").alias("title"),
+        c("o_orderkey").alias("id"), (c("o_custkey") % 10).alias("user_id"), c("o_orderpriority").alias("title"),
         c("o_orderdate").alias("created_at"), c("o_orderdate").alias("updated_at"),
     )
-    return conversations.recent(rows, 5).select("user_id", "position", "id", "title", inputs.seconds("updated_at"))
+    return conversations.recent(rows).select("user_id", "position", "id", "title", inputs.seconds("updated_at"))
 
 
 def _loaded(spark, folder):
@@ -266,8 +266,8 @@ SQL = {
     "j08_owned_turns": f"""with {_T}, {_USERS} select t.id, t.conversation_id, t.ord from turns t
   where exists (select 1 from headers h where h.id = t.conversation_id and h.user_id in (select user_id from users))""",
     "j09_recent_conversations": """select user_id, cast(position as int) as position, id, title, strftime(changed, '%Y-%m-%d %H:%M:%S') as updated_at from (
-  select o_custkey as user_id, o_orderkey as id, o_orderpriority as title, o_orderdate as changed,
-    row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as position from orders) where position <= 5""",
+  select o_custkey % 10 as user_id, o_orderkey as id, o_orderpriority as title, o_orderdate as changed,
+    row_number() over (partition by o_custkey % 10 order by o_orderdate desc, o_orderkey) as position from orders) where position <= 100""",
     "j10_load_conversations": f"""with {_T} select cast(c_custkey as varchar) as id, h.id is not null as found, h.title, {inputs.sql_seconds('h.created_at')},
   t.ord, md5(t.question) as question, t.verse_reference, md5(t.response) as response
   from customer left join headers h on h.id = cast(c_custkey as varchar) left join turns t on t.conversation_id = cast(c_custkey as varchar)""",

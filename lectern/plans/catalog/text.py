@@ -35,7 +35,7 @@ def block_sql(x: str) -> str:
 
 def compare_sql(x: str) -> str:
     names = "|".join(fixed.COMPARE_LETTER_NAMES)
-    first = rf"""regexp_replace(lower({x}), '[«»"''()\[\]]', '', 'g')"""
+    first = rf"""regexp_replace(nfc_normalize(lower({x})), '[«»"''()\[\]]', '', 'g')"""
     words = rf"regexp_replace(replace({first}, '|', ' '), '\b(?:{names})\b', '', 'g')"
     marks = f"regexp_replace({words}, '[.,;:¿?¡!—–-]', '', 'g')"
     return rf"trim(regexp_replace({marks}, '\s+', ' ', 'g'), ' ' || chr(10))"
@@ -79,6 +79,8 @@ def _cross_reference_lines(spark, folder):
     return rows.select("l_orderkey", "l_linenumber", text.is_cross_reference(c("line")).alias("is_cross"))
 
 
+#: Letters taken apart: one mark, two marks, two marks in the other order.
+MARKED = (("e ", "e\u0301 "), ("o ", "o\u031b\u0301 "), ("a ", "a\u0302\u0323 "), (" t", " t\u0326"))
 NOISY = (("\n", "\n1: Gén 2,4-25; Sal 8 | 3: Is 1,2\n"), (", ", "\n55,1; Ap 21,6 | 20: Hch 3,20s\n"), (" la ", "\n*1,1-2,4a Nota "))
 
 
@@ -225,7 +227,7 @@ QUERIES = {
     "b06_tokens": lambda s, d: inputs.documents(s, d).select("doc_id", text.tokens(c("text")).alias("t")).select(
         "doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest")
     ),
-    "b07_compare_fold": _documents(lambda: [F.md5(text.compare_fold(c("text"))).alias("digest")]),
+    "b07_compare_fold": _documents(lambda: [F.md5(text.compare_fold(_replaced(c("text"), *MARKED))).alias("digest")]),
     "b08_display_text": _documents(lambda: [
         F.md5(text.display_text(_replaced(c("text"), (" the ", " (Pe)  "), (" la ", " (sámec) | "), (". ", " | ")))).alias("shown"),
         F.md5(text.export_text(_replaced(c("text"), (" the ", " (Pe)  "), (" la ", " (sámec) | "), (". ", " | ")))).alias("exported"),
@@ -262,6 +264,9 @@ QUERIES = {
 }
 
 _BROKEN = "replace(replace(text, '. ', '-' || chr(10) || '  '), 'qu', 'q' || chr(173) || 'u')"
+_MARKED = "text"
+for _old, _new in MARKED:
+    _MARKED = f"replace({_MARKED}, '{_old}', '{_new}')"
 _SHOWN = "replace(replace(replace(text, ' the ', ' (Pe)  '), ' la ', ' (sámec) | '), '. ', ' | ')"
 _NOISE = (
     "replace(replace(replace(text, chr(10), chr(10) || '1: Gén 2,4-25; Sal 8 | 3: Is 1,2' || chr(10)),"
@@ -288,7 +293,7 @@ SQL = {
     "b05_search_fold": f"select doc_id, md5({fold_sql('text')}) as digest from documents",
     "b06_tokens": f"""with t as (select doc_id, {tokens_sql('text')} as t from documents)
   select doc_id, cast(len(t) as int) as n, md5(array_to_string(t, ' ')) as digest from t""",
-    "b07_compare_fold": f"select doc_id, md5({compare_sql('text')}) as digest from documents",
+    "b07_compare_fold": f"select doc_id, md5({compare_sql(_MARKED)}) as digest from documents",
     "b08_display_text": f"select doc_id, md5({display_sql(_SHOWN)}) as shown, md5({export_sql(_SHOWN)}) as exported from documents",
     "b09_unescape": f"""with e as (select doc_id, replace(replace(replace(text, '. ', '.\\n'), ', ', '\\\\n\\"'), ' la ', '\\t\\r') as e from documents)
   select doc_id, md5({_UNESCAPED}) as digest from e""",

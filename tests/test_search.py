@@ -29,8 +29,8 @@ def brute_bm25(docs, queries, k):
                     idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                     s += idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avg))
             if s > 0:
-                scored.append((-round(s, 6), p))
-        out += [(q, p, -s, i + 1) for i, (s, p) in enumerate(sorted(scored)[:k])]
+                scored.append((-round(s, 10), p, round(s, 6)))
+        out += [(q, p, s, i + 1) for i, (_, p, s) in enumerate(sorted(scored)[:k])]
     return sorted(out)
 
 
@@ -46,7 +46,7 @@ def corpus():
 
 
 @pytest.mark.parametrize("block_bytes", [topk.BLOCK_BYTES, 2_000])
-def test_bm25_is_exact_in_both_plans(spark, corpus, block_bytes):
+def test_bm25_is_exact_for_any_block_size(spark, corpus, block_bytes):
     docs, queries = corpus
     index = lexical.LexicalIndex.build(spark.createDataFrame(docs, "pos bigint, text string").repartition(5))
     asked = spark.createDataFrame(queries, "query_id int, text string")
@@ -96,17 +96,18 @@ def vector_table(spark, n=300, dim=8, seed=3):
     return data, spark.createDataFrame(rows, "pos bigint, ref string, v array<float>").repartition(3)
 
 
-@pytest.mark.parametrize("block_bytes", [topk.BLOCK_BYTES, 1_000])
-def test_nearest_is_exact_in_both_plans(spark, block_bytes):
-    data, store = vector_table(spark)
+@pytest.mark.parametrize("small_store", [False, True])
+@pytest.mark.parametrize("block_bytes", [topk.BLOCK_BYTES, 300])
+def test_nearest_is_exact_for_any_block_size(spark, block_bytes, small_store):
+    data, store = vector_table(spark, 60)
     asked = store.filter("pos < 10").select(F.col("pos").alias("query_id"), "v")
-    rows = vector_search.nearest(asked, store, 4, block_bytes=block_bytes).collect()
+    rows = vector_search.nearest(asked, store, 4, block_bytes=block_bytes, small_store=small_store).collect()
     v = data.astype("float64")
     norms = np.linalg.norm(v, axis=1)
     want = []
     for q in range(10):
         bottom = norms * norms[q]
-        s = np.round((v @ v[q]) / np.where(bottom == 0, 1, bottom), 6)
+        s = np.round((v @ v[q]) / np.where(bottom == 0, 1, bottom), 10)
         best = sorted(range(len(v)), key=lambda i: (-s[i], i))[:4]
         want += [(q, i, float(s[i]), k + 1) for k, i in enumerate(best)]
     got = sorted((r.query_id, r.pos, r.score + 0.0, r["rank"]) for r in rows)
@@ -114,6 +115,21 @@ def test_nearest_is_exact_in_both_plans(spark, block_bytes):
     assert [s for *_, s, _ in got] == pytest.approx([s for *_, s, _ in sorted(want)], abs=2e-6)
 
 
+def test_ranks_follow_the_seventh_decimal(spark):
+    store = spark.createDataFrame([(0, [1.0, 4e-4]), (1, [1.0, 1e-4]), (2, [1.0, 2e-4])], "pos bigint, v array<double>")
+    asked = spark.createDataFrame([(5, [1.0, 0.0])], "query_id int, v array<double>")
+    rows = vector_search.nearest(asked, store, 2).orderBy("rank").collect()
+    assert [(r.pos, r.score) for r in rows] == [(1, 1.0), (2, 1.0)]
+
+
+def test_a_block_that_no_query_fills_gives_no_rows(spark):
+    _, store = vector_table(spark, 20)
+    none = store.filter("pos < 0").select(F.col("pos").alias("query_id"), "v")
+    assert vector_search.nearest(none, store, 4).count() == 0
+    some = store.select(F.col("pos").alias("query_id"), "v")
+    assert vector_search.nearest(some, store.filter("pos < 0"), 4, small_store=True).count() == 0
+
+
 def test_k_is_taken_before_the_lookup(spark):
     _, store = vector_table(spark)
     quantized = vector_search.quantize_store(store)
