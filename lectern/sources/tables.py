@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-SMALL_BYTES = 256 << 20
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it from file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
     """One table of a folder.
 
-    A small table often sits in a single row group and so in a single task. With
-    ``spread_by`` such a table is hashed over all cores before costly text work; a table above
-    ``SMALL_BYTES`` has splits enough and is left where it is.
+    A table of fewer splits than there are cores (often a single row group) leaves cores idle.
+    With ``spread_by`` its rows are dealt over all cores before costly text work. They are dealt by
+    a hash of the key, not by the key, so that no later step can count on it: steps that group
+    or join by the key are planned alike whether the table was dealt or not.
     """
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    if spread_by is not None and planned_bytes(df) <= SMALL_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism, spread_by)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is not None and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, F.xxhash64(spread_by))
     return df
