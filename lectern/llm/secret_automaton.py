@@ -45,12 +45,23 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]+", 16),
     Rule("hex", "", "[0-9a-f]{24}[0-9a-f]*", 24),
 )
+#: What follows the first line of a PEM key: header lines and base64 through the END marker. Line breaks may be
+#: written out as in JSON, and lines be quoted, indented or joined. Without the marker the tail is header lines, then
+#: base64 at the beginnings of lines and in runs of 16 characters or more behind spaces.
+_BREAK = "[ \t\"'+,;\\\\]*(\r?\n|\r|[\\\\]r[\\\\]n|[\\\\]n)[ \t\"'>#*|+]*-?[ \t]*"
+_VALUE = " *: *[ !#-~\t]*"
+_HEADER = f"([A-Z][A-Za-z0-9]*-[A-Za-z0-9-]+|Comment|Subject|Version){_VALUE}"
+_LONG = "[A-Za-z0-9+/]{16}[A-Za-z0-9+/]*=*"
+KEY_BODY = (
+    f"([A-Za-z0-9+/= \t\r\n\\\\\"'>,;#*|]|\n-|[A-Za-z0-9-]+{_VALUE}(\r|\n|[\\\\]n))*-----END [A-Z ]*PRIVATE KEY-----"
+    f"|(({_BREAK})+{_HEADER})*(({_BREAK})+[A-Za-z0-9+/]+=*| *{_LONG}| +[A-Za-z0-9+/]+==?)*"
+)
 #: Further kinds; their tails follow a fixed prefix.
 MORE = (
     Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10),
     Rule("google", "AIza", "[A-Za-z0-9_-]+", 35),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "", 0),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", KEY_BODY, 0),
 )
 RULES = BASE + MORE
 
@@ -266,13 +277,15 @@ class Scanner:
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Scanner:
     heads = [parse(r.head, r.nocase) for r in rules]
     tails = [parse(r.tail, False) for r in rules]
-    whole = [("cat", h, t) for h, t in zip(heads, tails)]
+    ends = [determinise([t], False) for t in tails]
+    # where the tail may be empty, the head alone says that and where a match begins
+    whole = [h if e.start >= e.accepting else ("cat", h, t) for h, t, e in zip(heads, tails, ends)]
     return Scanner(
         rules,
         determinise(whole, True),
         tuple(determinise([turned(t)], False) for t in whole),
         tuple(determinise([h], False) for h in heads),
-        tuple(determinise([t], False) for t in tails),
+        tuple(ends),
     )
 
 
