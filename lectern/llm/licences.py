@@ -1,9 +1,14 @@
 """Licences in texts: Dice coefficient of word bigrams against templates, in DataFrame functions.
 
-The parts of a text that are compared are its lines, its paragraphs (between blank lines) and
-the whole text, each normalised to lower-case words. A part can reach ``dice`` with a template
-only if their numbers of bigrams are near enough, so its size picks the few templates it is
-compared with. Templates are a fixed list and stand in the plan as literals.
+The parts of a text that are compared are its lines, its paragraphs (between blank lines), the
+whole text, and windows over its word sequence that find what lies across or inside those, each
+normalised to lower-case words. A part can reach ``dice`` with a template only if their numbers
+of bigrams are near enough, so its size picks the few templates it is compared with. Templates
+are a fixed list and stand in the plan as literals.
+
+A window begins where a template would begin, and ends where it would end, as reckoned from two
+of its bigrams in the text (cut off where the text begins or ends). So words may be put in or
+left out between them, but a changed end, such as another version number, counts.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.binding import let
 from lectern.llm.common import ready
 
 DICE = 0.8
@@ -98,13 +104,31 @@ def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
     return found
 
 
+def laid_out(templates: dict[str, str], dice: float) -> list[dict]:
+    """Per template: its bigrams in order and where each stands first, and what a window must reach."""
+    found = []
+    for rank, name in enumerate(sorted(templates)):
+        tokens = [w for w in re.split(BREAK, templates[name].lower()) if w]
+        first: dict[str, int] = {}
+        for i, pair in enumerate(zip(tokens, tokens[1:])):
+            first.setdefault(" ".join(pair), i)
+        m = len(first)
+        least, most = math.ceil(m * dice / (2 - dice)), math.floor(m * (2 - dice) / dice)
+        found.append({"licence": name, "rank": rank, "pairs": list(first), "first": list(first.values())}
+                     | {"length": len(tokens) - 1, "least": least, "most": most})
+    return found
+
+
 def find_licences(
     docs: DataFrame, dice: float = DICE, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """key, part, number, n_bigrams, licence, dice: the parts of each text that match a template.
 
-    ``part`` is line, paragraph or text; ``number`` counts the parts of a kind from 0. A text of one
-    line is a line only, a text without blank lines has no paragraphs. Of the templates with which a
+    ``part`` is line, paragraph, text or window; ``number`` counts the parts of a kind from 0, of a
+    window it is the word with which it begins. A text of one line is a line only, a text without
+    blank lines has no paragraphs. A window is a row where neither a matching part nor a better
+    window (by shared bigrams beyond those needed) has any of its bigrams for the same licence, or
+    half of them for another. Of the templates with which a
     part reaches ``dice`` the best counts, ties to the name that sorts last. Parts may hold one
     another, and each that matches is a row. Null, empty and one-word texts have no rows; repeated
     rows have theirs each. Other columns of ``docs`` are not read. Nothing is shuffled.
@@ -134,17 +158,158 @@ def find_licences(
         F.col("n_bigrams").between(math.ceil(min(sizes) * low), math.floor(max(sizes) * high))
     )
 
-    def against(name: str, held: list[str]) -> Column:
-        shared = F.size(F.array_intersect("pairs", F.array(*map(F.lit, held))))
-        value = 2.0 * shared / (F.col("n_bigrams") + len(held))
-        near = F.col("n_bigrams").between(math.ceil(len(held) * low), math.floor(len(held) * high))
-        return F.when(near, F.struct(value.alias("dice"), F.lit(name).alias("licence")))
+    def best_of(pairs: Column, n_bigrams: Column) -> Column:
+        def against(name: str, held: list[str]) -> Column:
+            shared = F.size(F.array_intersect(pairs, F.array(*map(F.lit, held))))
+            value = 2.0 * shared / (n_bigrams + len(held))
+            near = n_bigrams.between(math.ceil(len(held) * low), math.floor(len(held) * high))
+            return F.when(near, F.struct(value.alias("dice"), F.lit(name).alias("licence")))
+
+        return F.array_max(F.array(*[against(name, held) for name, held in sets.items()]))
 
-    best = F.array_max(F.array(*[against(name, held) for name, held in sets.items()]))
+    best = best_of(F.col("pairs"), F.col("n_bigrams"))
     found = sized.select("key", "part", "number", "n_bigrams", F.explode(F.array(best)).alias("best"))
-    return found.where(F.col("best.dice") >= dice).select(
-        F.col("key").alias(key), "part", "number", "n_bigrams", "best.licence", "best.dice"
+    matched = found.where(F.col("best.dice") >= dice).select(
+        "key", "part", "number", "n_bigrams", "best.licence", "best.dice"
     )
+    whole = matched.unionByName(_windows(rows, laid_out(templates, dice), dice, best_of, blank))
+    return whole.withColumnRenamed("key", key)
+
+
+def _windows(rows: DataFrame, laid: list[dict], dice: float, best_of, blank: str) -> DataFrame:
+    """The windows of ``rows`` that match, all of a row within the row."""
+    anchors = sorted({p for t in laid for p in t["pairs"]})
+    known = F.array(
+        *[
+            F.struct(
+                *[F.lit(t[n]).alias(n) for n in ("licence", "rank", "length", "least", "most")],
+                *[F.array(*map(F.lit, t[n])).alias(n) for n in ("pairs", "first")],
+            )
+            for t in laid
+        ]
+    )
+
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+    def pairs_of(tokens: Column) -> Column:
+        rest = F.greatest(F.size(tokens) - 1, F.lit(0))
+        return F.zip_with(F.slice(tokens, 1, rest), F.slice(tokens, 2, rest), lambda a, b: F.concat_ws(" ", a, b))
+
+    # texts with bigrams enough of some template
+    df = once(rows.where(F.col("text").isNotNull()), "tokens", words(F.col("text")))
+    df = once(df, "pairs", pairs_of(F.col("tokens"))).drop("tokens")
+    df = once(df, "met", F.filter("pairs", lambda p: p.isin(*anchors))).where(F.size("met") >= min(t["least"] for t in laid))
+    near = F.filter(known, lambda t: F.size(F.array_intersect(F.col("met"), t["pairs"])) >= t["least"])
+    df = once(df, "near", near).where(F.size("near") > 0).drop("met")
+
+    # each bigram with its place and the one before at which it stood (-1: none)
+    df = once(df, "sorted", F.array_sort(F.transform("pairs", lambda b, i: F.struct(b.alias("b"), i.alias("i"))))).drop("pairs")
+    earlier = F.concat(F.array(F.lit(None).cast("struct<b:string,i:int>")), F.slice("sorted", 1, F.size("sorted") - 1))
+    before = F.zip_with(
+        "sorted", earlier, lambda x, y: F.struct(x["i"].alias("i"), F.when(x["b"] == y["b"], y["i"]).otherwise(-1).alias("prev"), x["b"].alias("b"))
+    )
+    df = once(df, "seq", F.array_sort(before)).drop("sorted")
+    df = once(df, "hits", F.filter("seq", lambda x: x["b"].isin(*anchors)))
+    last = F.size("seq") - 1
+
+    def of_template(t: Column) -> Column:
+        def reach(hits: Column) -> Column:
+            def begin(h: Column) -> Column:
+                return h["i"] - F.element_at(t["first"], F.array_position(t["pairs"], h["b"]).cast("int"))
+
+            starts = F.array_distinct(F.transform(hits, lambda h: F.greatest(F.lit(0), begin(h))))
+            ends = F.array_distinct(F.transform(hits, lambda h: F.least(last, begin(h) + t["length"] - 1)))
+
+            def from_start(p: Column) -> Column:
+                # no window holds more than `most` distinct bigrams
+                tail = F.slice(F.filter(F.slice("seq", p + 1, last + 1), lambda x: x["prev"] < p), F.lit(1), t["most"] + 1)
+                marked = F.transform(tail, lambda x: F.struct(x["i"].alias("i"), F.array_contains(t["pairs"], x["b"]).alias("hit")))
+
+                def windows(new: Column) -> Column:
+                    stop = F.when(F.size(new) > t["most"], F.element_at(new, -1)["i"]).otherwise(last + 1)
+                    possible = F.filter(ends, lambda q: (q >= p) & (q < stop))
+
+                    def window(q: Column) -> Column:
+                        n = F.size(F.filter(new, lambda x: x["i"] <= q))
+                        shared = F.size(F.filter(new, lambda x: (x["i"] <= q) & x["hit"]))
+                        m = F.size(t["pairs"])
+                        return F.struct(
+                            (dice / 2 * (n + m) - shared).alias("short"),
+                            (-t["rank"]).alias("rank"),
+                            p.alias("number"),
+                            q.alias("last"),
+                            n.alias("n_bigrams"),
+                            t["licence"].alias("licence"),
+                            (2.0 * shared / (n + m)).alias("dice"),
+                            F.transform(F.filter(hits, lambda h: h["i"].between(p, q)), lambda h: h["i"]).alias("at"),
+                        )
+
+                    enough = F.size(F.filter(new, lambda x: x["hit"])) >= t["least"]
+                    none = F.filter(possible, lambda q: F.lit(False))
+                    return F.filter(F.transform(F.when(enough, possible).otherwise(none), window), lambda w: w["dice"] >= dice)
+
+                return let(marked, windows)
+
+            return F.flatten(F.transform(starts, from_start))
+
+        return let(F.filter("hits", lambda h: F.array_contains(t["pairs"], h["b"])), reach)
+
+    df = once(df, "windows", F.array_sort(F.flatten(F.transform("near", of_template)))).where(F.size("windows") > 0)
+    df = df.drop("near", "seq")
+
+    # what matching lines, paragraphs and the text itself already hold
+    def taken(df: DataFrame, name: str, separator: str) -> DataFrame:
+        df = once(df, "pieces", F.split("text", separator) if separator else F.array("text"))
+        owner = F.flatten(F.transform("pieces", lambda x, i: F.transform(words(x), lambda w: i)))
+        df = once(df, "owner", owner)
+        touched = F.array_distinct(
+            F.flatten(F.transform("windows", lambda w: F.slice("owner", w["number"] + 1, w["last"] - w["number"] + 2)))
+        )
+
+        def entry(i: Column) -> Column:
+            def scored(pairs: Column) -> Column:
+                def kept(best: Column) -> Column:
+                    held = F.element_at(F.filter(known, lambda t: t["licence"] == best["licence"]), 1)["pairs"]
+                    inside = F.filter(
+                        "hits",
+                        lambda h: (F.get("owner", h["i"]) == i) & (F.get("owner", h["i"] + 1) == i) & F.array_contains(held, h["b"]),
+                    )
+                    return F.when(
+                        best["dice"] >= dice,
+                        F.struct(best["licence"].alias("licence"), F.transform(inside, lambda h: h["i"]).alias("at")),
+                    )
+
+                return let(best_of(pairs, F.size(pairs)), kept)
+
+            return let(bigrams(words(F.get("pieces", i))), scored)
+
+        return once(df, name, F.filter(F.transform(touched, entry), lambda e: e.isNotNull())).drop("pieces", "owner")
+
+    for name, separator in (("by_line", "\n"), ("by_paragraph", blank), ("by_text", "")):
+        df = taken(df, name, separator)
+
+    kind = "array<struct<licence:string,at:array<int>,number:int,n_bigrams:int,dice:double>>"
+
+    def as_entry(e: Column, window: bool) -> Column:
+        rest = [e[n] if window else F.lit(None) for n in ("number", "n_bigrams", "dice")]
+        kinds = ("int", "int", "double")
+        return F.struct(
+            e["licence"].alias("licence"),
+            e["at"].alias("at"),
+            *[x.cast(k).alias(n) for x, k, n in zip(rest, kinds, ("number", "n_bigrams", "dice"))],
+        )
+
+    def add(held: Column, w: Column) -> Column:
+        same = lambda a: (a["licence"] == w["licence"]) & F.arrays_overlap(a["at"], w["at"])
+        half = lambda a: 2 * F.size(F.array_intersect(a["at"], w["at"])) >= F.size(w["at"])
+        new = F.array(as_entry(w, True)).cast(kind)
+        return F.when(F.exists(held, lambda a: same(a) | half(a)), held).otherwise(F.concat(held, new))
+
+    parts = F.transform(F.concat("by_line", "by_paragraph", "by_text"), lambda e: as_entry(e, False)).cast(kind)
+    chosen = F.filter(F.aggregate("windows", parts, add), lambda e: e["number"].isNotNull())
+    out = df.select("key", F.explode(chosen).alias("w"))
+    return out.select("key", F.lit("window").alias("part"), "w.number", "w.n_bigrams", "w.licence", "w.dice")
 
 
 def sql(templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> str:

@@ -501,3 +501,34 @@ def test_licences(spark, odd):
     assert got == want
     plan = licences.find_licences(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_licences_across_and_inside_parts(spark):
+    """The MIT text with its blank lines in a longer file, notices with text around, sentences in longer lines."""
+    mit, apache = licences.TEMPLATES["MIT"], licences.TEMPLATES["Apache-2.0 notice"]
+    spaced = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    wrapped = "\n".join("# " + apache[i : j + 1] for i, j in [(0, 69), (70, 139), (140, 209), (210, 299), (300, len(apache))])
+    words = mit.split()
+    prose = " ".join(f"w{i} v{i}" for i in range(300))
+    texts = [
+        f"{prose}\n\nMIT License\n\nCopyright (c) 2020 Somebody\n\n{spaced}\n\n{prose}",
+        f"{wrapped}\nimport os\n{prose}",
+        "Licensed under the MIT License. See LICENSE in the project root.",
+        "This project is released under the MIT License.",
+        f"{prose} {' '.join(words[:60] + words[80:])} {prose}\n{prose}",
+        f"{prose} {mit} {prose} {mit} {prose}",
+        f"x {prose} licensed under the Apache License, version 1.1. {prose}",
+        f"{' '.join(words[:70])} {prose} {mit} {prose}",
+    ]
+    rows = licences.find_licences(documents(spark, texts)).collect()
+    got = {(r["doc_id"], r["part"], r["licence"], r["number"]) for r in rows}
+    dices = {(r["doc_id"], r["number"]): r["dice"] for r in rows}
+    assert {g for g in got if g[0] == 0} == {(0, "window", "MIT", 606)} and dices[0, 606] == 1.0
+    assert (1, "window", "Apache-2.0 notice", 0) in got
+    assert {g for g in got if g[0] == 2} == {(2, "window", "MIT line, licensed", 0)}
+    assert {g for g in got if g[0] == 3} == {(3, "window", "MIT line", 3)}
+    assert {g for g in got if g[0] == 4} == {(4, "window", "MIT", 600)} and 0.8 < dices[4, 600] < 1
+    length = len([w for w in re.split(licences.BREAK, mit.lower()) if w])
+    assert {g[3] for g in got if g[0] == 5} == {600, 1200 + length} and len(rows) == len(got)
+    assert not [g for g in got if g[0] == 6]
+    assert len({g for g in got if g[0] == 7}) == 1 and max(d for (k, _), d in dices.items() if k == 7) == 1.0
