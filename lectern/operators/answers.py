@@ -34,21 +34,13 @@ def accumulate(deltas: DataFrame) -> DataFrame:
 def prefixes(deltas: DataFrame) -> DataFrame:
     """``(answer_id, seq, raw)``: the text received up to each piece.
 
-    The answer is gathered once and its prefixes are cut from it by running length. The rows
-    hold the square of an answer's pieces, so this is for looking at; ``emissions`` and
-    ``last_sent`` work from pieces and positions.
+    The answer is gathered once, and its prefixes are cut from it where each piece stops, behind
+    the last shuffle. The rows hold the square of an answer's pieces, so this is for looking at;
+    ``emissions``, ``fields_so_far`` and ``last_sent`` work from pieces and positions.
     """
-    gathered = deltas.groupBy("answer_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("p")
-    ).select(
-        "answer_id",
-        "p",
-        F.array_join(F.transform("p", lambda x: x["text"]), "").alias("full"),
-    )
-    one = gathered.select("answer_id", "full", F.explode("p").alias("p"))
-    w = Window.partitionBy("answer_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return one.select("answer_id", "full", F.col("p.seq").alias("seq"), F.length("p.text").alias("n")).select(
-        "answer_id", "seq", F.substring("full", F.lit(1), F.sum("n").over(w).cast("int")).alias("raw")
+    placed = _placed(deltas).select("answer_id", "seq", "stop")
+    return placed.join(accumulate(deltas), "answer_id").select(
+        "answer_id", "seq", F.substring("raw", F.lit(1), F.col("stop").cast("int")).alias("raw")
     )
 
 
@@ -79,6 +71,44 @@ def _landmarks(raw: Column) -> Column:
     )
 
 
+def _placed(deltas: DataFrame) -> DataFrame:
+    """Each piece with where it starts and stops, and the run of backslashes in which the text up to it ends."""
+    upto = Window.partitionBy("answer_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.length("text")
+    plain = F.length(F.rtrim("text", F.lit("\\")))
+    return (
+        deltas.withColumn("stop", F.sum(n).over(upto))
+        .withColumn("start", F.col("stop") - n)
+        .withColumn(
+            "run",
+            F.col("stop")
+            - F.coalesce(F.max(F.when(plain > 0, F.col("start") + plain)).over(upto), F.lit(0)),
+        )
+    )
+
+
+def fields_so_far(deltas: DataFrame) -> DataFrame:
+    """I2 at each piece: ``(answer_id, seq, reference, text, response)``.
+
+    The same as ``partial_fields`` of every prefix, from positions in the whole answer as in
+    ``emissions``: each answer is parsed once. Only the response shown is cut at each piece.
+    """
+    marks = accumulate(deltas).select("answer_id", "raw", let(F.col("raw"), _landmarks).alias("m"))
+    placed = _placed(deltas).select("answer_id", "seq", "stop", "run").join(marks, "answer_id")
+    stop, begin, end = F.col("stop"), F.col("m.begin"), F.col("m.end")
+    finished = F.col("m.closed") & (stop > end)
+    shown = (stop > begin) & (finished | (F.least(F.col("run"), stop - begin) % 2 == 0))
+    share = F.substring("raw", (begin + 1).cast("int"), (F.least(stop, end) - begin).cast("int"))
+    versed = stop >= F.col("m.verse_end")
+    return placed.select(
+        "answer_id",
+        "seq",
+        F.when(versed, F.col("m.reference")).alias("reference"),
+        F.when(versed, F.col("m.text")).alias("text"),
+        F.when(shown, unescape(share)).otherwise(F.lit("")).alias("response"),
+    )
+
+
 def emissions(deltas: DataFrame) -> DataFrame:
     """``(answer_id, seq, event, reference, text)``: what is sent on at each piece.
 
@@ -96,20 +126,8 @@ def emissions(deltas: DataFrame) -> DataFrame:
     marks = accumulate(deltas).select("answer_id", let(F.col("raw"), _landmarks).alias("m"))
     places = marks.select("answer_id", "m.verse_end", "m.begin", "m.end", "m.closed")
     w = Window.partitionBy("answer_id").orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length("text")
-    plain = F.length(F.rtrim("text", F.lit("\\")))
-    placed = (
-        deltas.join(places, "answer_id")
-        .withColumn("stop", F.sum(n).over(upto))
-        .withColumn("start", F.col("stop") - n)
-        .withColumn(
-            "run",
-            F.col("stop")
-            - F.coalesce(F.max(F.when(plain > 0, F.col("start") + plain)).over(upto), F.lit(0)),
-        )
-    )
+    placed = _placed(deltas).join(places, "answer_id")
     low, high = F.greatest("start", "begin"), F.least("stop", "end")
     share = F.substring(
         "text",

@@ -120,6 +120,15 @@ def _partial(spark, folder):
     return rows.select("answer_id", "seq", "f.reference", F.md5("f.text").alias("text"), F.md5("f.response").alias("response"))
 
 
+def _prefixes_of_pieces(spark, folder):
+    return answers.prefixes(deltas(spark, folder)).select("answer_id", "seq", F.md5("raw").alias("digest"))
+
+
+def _partial_of_pieces(spark, folder):
+    rows = answers.fields_so_far(deltas(spark, folder))
+    return rows.select("answer_id", "seq", "reference", F.md5("text").alias("text"), F.md5("response").alias("response"))
+
+
 def _emitted(spark, folder):
     return answers.emissions(deltas(spark, folder)).select("answer_id", "seq", "event", "reference", F.md5("text").alias("digest"))
 
@@ -164,7 +173,9 @@ QUERIES = {
     "h06_apply_to_answers": _applied,
     "i01_accumulate": _accumulated,
     "i01_prefixes": _prefixes,
+    "i01_prefixes_of_pieces": _prefixes_of_pieces,
     "i02_partial_fields": _partial,
+    "i02_fields_of_pieces": _partial_of_pieces,
     "i03_emit_on_change": _emitted,
     "i04_final_fields": _final,
     "i05_results": _results,
@@ -238,6 +249,8 @@ SQL = {
     "i01_accumulate": f"with {_RAW} select answer_id, md5(raw) as digest from raws",
     "i01_prefixes": f"with {_EIGHTHS} select answer_id, seq, md5(prefix) as digest from prefixes",
     "i02_partial_fields": f"with {_EIGHTHS}, {_FIELDS} select answer_id, seq, reference, md5(text) as text, md5(response) as response from partial",
+    "i01_prefixes_of_pieces": f"with {_RAW} select answer_id, seq, md5(prefix) as digest from prefixes",
+    "i02_fields_of_pieces": f"with {_PARTIAL} select answer_id, seq, reference, md5(text) as text, md5(response) as response from partial",
     "i03_emit_on_change": f"""with {_PARTIAL}, steps as (select *, lag(reference) over w as before,
     coalesce(last_value(nullif(response, '') ignore nulls) over (partition by answer_id order by seq rows between unbounded preceding and 1 preceding), '') as sent
     from partial window w as (partition by answer_id order by seq))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.answers import final_fields
+from lectern.functions.answers import final_fields, partial_fields
 from lectern.operators import answers, passages
 
 def pieces_of(text, rng):
@@ -105,6 +105,18 @@ def test_prefixes_and_whole(streams, deltas):
     assert whole == {k: "".join(ps) for k, ps in streams.items()}
 
 
+def test_fields_so_far_equal_every_prefix(spark, streams, deltas):
+    """At each piece what the prefix holds; pieces of 32 characters of a long answer, too."""
+    long = '{"verse": {"reference": "Sal 1:1", "text": "t"}, "response": "' + "ab\\\\n\\\\\\\\ c" * 400 + '"}'
+    every = streams | {"long": [long[i : i + 32] for i in range(0, len(long), 32)]}
+    rows = [("long", i, p) for i, p in enumerate(every["long"])]
+    got = answers.fields_so_far(deltas.union(spark.createDataFrame(rows, deltas.schema))).collect()
+    prefixes = [(k, i, "".join(ps[: i + 1])) for k, ps in every.items() for i in range(len(ps))]
+    brute = spark.createDataFrame(prefixes, "answer_id string, seq bigint, raw string")
+    want = brute.select("answer_id", "seq", partial_fields(F.col("raw")).alias("f")).select("answer_id", "seq", "f.*").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(every["long"]) > 100
+
+
 @pytest.mark.parametrize(
     "raw, want",
     [
