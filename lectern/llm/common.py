@@ -62,3 +62,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+#: Rows of a side that may be broadcast whole.
+BROADCAST_ROWS = 100_000
+
+
+def attach(rows: DataFrame, side: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a ``key``; null keys meet.
+
+    The side is written and counted. Up to BROADCAST_ROWS rows it is broadcast. A longer one is
+    repeated ``salts`` times, and the rows of a key are dealt over the copies by a hash of
+    ``spread``, so that no key, however frequent, lands in one task.
+    """
+    side = written(side, "side").withColumnRenamed(key, "_side")
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), rows[key].eqNullSafe(F.col("_side"))).drop("_side")
+    copies = side.withColumn("_copy", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    met = dealt.join(copies, dealt[key].eqNullSafe(F.col("_side")) & (F.col("_salt") == F.col("_copy")))
+    return met.drop("_side", "_salt", "_copy")

@@ -17,6 +17,7 @@ from lectern.llm import (
     secret_automaton,
     simhash_covering,
     toxicity,
+    walsh_codes,
 )
 from lectern.llm.common import fold, table
 
@@ -110,6 +111,11 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes and errors of every usable vector."""
+    return walsh_codes.compress(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_repair": chat,
     "op2_bit_sliced_top_k": top_k,
@@ -121,6 +127,7 @@ QUERIES = {
     "op8_ppm_language": language,
     "op9_simhash_covering": near_duplicates,
     "op10_byte_bpe": tokens,
+    "op11_walsh_codes": vector_codes,
 }
 
 SQL = {
@@ -138,4 +145,5 @@ SQL = {
         from s qualify rank <= 20
     """,
     "op4_licence_dice": licences.sql(),
+    "op11_walsh_codes": walsh_codes.sql(),
 }
