@@ -16,6 +16,7 @@ from lectern.llm import (
     ppm_language,
     secret_automaton,
     simhash_covering,
+    spelling_trie,
     toxicity,
     walsh_codes,
 )
@@ -116,6 +117,11 @@ def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return walsh_codes.compress(table(spark, folder, "embeddings"))
 
 
+def spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with the spelling they are a variant of."""
+    return spelling_trie.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_chat_repair": chat,
     "op2_bit_sliced_top_k": top_k,
@@ -128,6 +134,7 @@ QUERIES = {
     "op9_simhash_covering": near_duplicates,
     "op10_byte_bpe": tokens,
     "op11_walsh_codes": vector_codes,
+    "op13_spelling_trie": spelling,
 }
 
 SQL = {
@@ -146,4 +153,5 @@ SQL = {
     """,
     "op4_licence_dice": licences.sql(),
     "op11_walsh_codes": walsh_codes.sql(),
+    "op13_spelling_trie": spelling_trie.sql(),
 }
