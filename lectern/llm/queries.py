@@ -16,6 +16,7 @@ from lectern.llm import (
     ppm_language,
     secret_automaton,
     simhash_covering,
+    span_crf,
     spelling_trie,
     toxicity,
     walsh_codes,
@@ -36,14 +37,16 @@ def top_k(spark: SparkSession, folder: str) -> DataFrame:
     return bit_sliced.search(vectors, F.col("id") % 20 == 0)
 
 
+def joined(spans):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digests of the secrets of every document."""
     found = secret_automaton.find_secrets(spark, table(spark, folder, "documents"))
     base = [r.kind for r in secret_automaton.BASE]
 
-    def joined(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
     def of(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
@@ -117,6 +120,24 @@ def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return walsh_codes.compress(table(spark, folder, "embeddings"))
 
 
+def personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digests of the personal data of every document."""
+    docs = table(spark, folder, "documents")
+    found = span_crf.find_personal(spark, docs, span_crf.train(docs))
+    based = F.filter("spans", lambda s: s["base"])
+
+    def of(kind):
+        return F.size(F.filter(based, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[of(k) for k in span_crf.KINDS],
+        F.sha2(joined(based), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("bigint").alias("n_added"),
+    )
+
+
 def spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents with the spelling they are a variant of."""
     return spelling_trie.variants(table(spark, folder, "documents"))
@@ -134,6 +155,7 @@ QUERIES = {
     "op9_simhash_covering": near_duplicates,
     "op10_byte_bpe": tokens,
     "op11_walsh_codes": vector_codes,
+    "op12_span_crf": personal,
     "op13_spelling_trie": spelling,
 }
 

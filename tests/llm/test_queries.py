@@ -11,7 +11,7 @@ from lectern.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-KEYS = {"op1": "conversations", "op3": "documents", "op5": "documents", "op6": "pages", "op8": "documents", "op9": "documents", "op10": "documents"}
+KEYS = {"op1": "conversations", "op3": "documents", "op5": "documents", "op6": "pages", "op8": "documents", "op9": "documents", "op10": "documents", "op11": "embeddings", "op12": "documents"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
