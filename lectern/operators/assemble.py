@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import fixed
+from lectern.session import written
 
 
 def ask_filter(questions: DataFrame, text: str = "question") -> tuple[DataFrame, DataFrame]:
@@ -29,6 +32,20 @@ def with_fallback(vector_hits: DataFrame, lexical_hits: DataFrame, passages: Dat
     return found.unionByName(words)
 
 
+def search_with_fallback(
+    queries: DataFrame, vector_hits: DataFrame, passages: DataFrame, words: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """G1: as ``with_fallback``, with ``words`` (a lexical search) asked only for queries without vector hits.
+
+    The vector hits that have a passage are written once; what follows reads them twice.
+    """
+    columns = ["query_id", "pos", "score", "rank"]
+    found = vector_hits.join(passages.select("pos"), "pos", "left_semi").select(*columns, F.lit("vector").alias("mode"))
+    found = written(found, "vector-hits")
+    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(words(left).select(*columns, F.lit("bm25").alias("mode")))
+
+
 def history_window(messages: DataFrame, size: int = fixed.HISTORY_LIMIT) -> DataFrame:
     """The last ``size`` messages of each conversation.
 

@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions import vectors as vx
-from lectern.operators import assemble, embedding, lexical, vector_search
+from lectern.operators import assemble, block_max, embedding, lexical, vector_search
 from lectern.plans.catalog import inputs
 from lectern.plans.catalog.corpus import CHECKSUM, QUANTIZED, _weighted_sum
 from lectern.plans.catalog.text import tokens_sql
+from lectern.session import shared_folder
 from lectern.sources.tables import read_table
 
 c = F.col
 
 
 def _index(spark, folder):
-    return lexical.LexicalIndex.build(inputs.corpus(spark, folder))
+    """The index of all documents, written and read again."""
+    return block_max.BlockIndex.write(inputs.corpus(spark, folder), shared_folder(spark, "index"))
 
 
 def lexical_hits(spark, folder, k=fixed.DEFAULT_K):
-    return lexical.search(inputs.questions(spark, folder), _index(spark, folder), k)
+    return block_max.search(inputs.questions(spark, folder), _index(spark, folder), k)
 
 
 def flagship(spark, folder):
@@ -158,7 +160,13 @@ def _vector_hits(spark, folder):
 
 
 def fallback_hits(spark, folder):
-    return assemble.with_fallback(_vector_hits(spark, folder), lexical_hits(spark, folder), inputs.passages(spark, folder))
+    index = _index(spark, folder)
+    return assemble.search_with_fallback(
+        inputs.questions(spark, folder),
+        _vector_hits(spark, folder),
+        inputs.passages(spark, folder),
+        lambda left: block_max.search(left, index),
+    )
 
 
 def _long_messages(spark, folder):

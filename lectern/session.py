@@ -7,7 +7,7 @@ import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, name: str = "lectern", **conf: str) -> SparkSession:
@@ -85,3 +85,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{os.urandom(6).hex()}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` written once below the shared folder and read back.
+
+    Later steps read the files: nothing above is computed twice, and a lost executor costs its own
+    tasks only.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
