@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions.geo import haversine
 from lectern.functions.text import clamp, maps_link, web_trim
-from lectern.operators import topk
+from lectern.operators import pivots
 
 RAW_PLACE = (
     "struct<id: string, displayName: struct<text: string>, formattedAddress: string,"
@@ -64,42 +62,25 @@ def keep(places: DataFrame, exclusion: str = fixed.PLACE_EXCLUSION) -> DataFrame
     )
 
 
-def distance_kernel(centres: pa.Table) -> topk.Prepared:
-    """Negative metres, so that the nearest place scores highest."""
-    lat1, lng1 = (np.radians(centres.column(c).to_numpy())[None, :] for c in ("lat", "lng"))
-
-    def prepared(places: pa.Table) -> np.ndarray:
-        lat2, lng2 = (np.radians(places.column(c).to_numpy())[:, None] for c in ("lat", "lng"))
-        x = (
-            np.sin((lat2 - lat1) / 2) ** 2
-            + np.cos(lat1) * np.cos(lat2) * np.sin((lng2 - lng1) / 2) ** 2
-        )
-        return -2 * fixed.EARTH_RADIUS_M * np.arctan2(np.sqrt(x), np.sqrt(1 - x))
-
-    return prepared
-
-
 def nearest(
-    centres: DataFrame,
-    places: DataFrame,
-    k: int = fixed.MAX_PLACES,
-    block_bytes: int = topk.BLOCK_BYTES,
+    centres: DataFrame, places: DataFrame, k: int = fixed.MAX_PLACES, block_bytes: int = pivots.STORE_BYTES
 ) -> DataFrame:
     """K4: ``(centre_id, pos, distance, rank)``: the k nearest places of each centre.
 
-    A search radius biases a service's ranking but excludes nothing, so none is applied.
-    Ties go to the lower ``pos``.
+    Places lie in cells around pivots, cells in rings of bounded size; a centre meets the rings that may
+    hold one of its k nearest, none beyond. A search radius biases a service's ranking but
+    excludes nothing, so none is applied. Ties (to a micrometre) go to the lower ``pos``. Places or
+    centres without a position take no part.
     """
-    queries = centres.select(
-        F.col("centre_id").alias("query_id"), F.col("lat").cast("double"), F.col("lng").cast("double")
-    )
-    hits = topk.top_k(
-        places.select("pos", F.col("lat").cast("double"), F.col("lng").cast("double")),
-        queries,
-        distance_kernel,
+    point = F.array(F.col("lat").cast("double"), F.col("lng").cast("double")).alias("v")
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    hits = pivots.nearest(
+        centres.where(placed).select(F.col("centre_id").alias("query_id"), point),
+        places.where(placed).select("pos", point),
         k,
-        block_bytes,
-        digits=6,
+        pivots.EARTH,
+        store_bytes=block_bytes,
+        query_bytes=block_bytes // 8,
     )
     return hits.select(
         F.col("query_id").alias("centre_id"), "pos", F.round(-F.col("score"), 6).alias("distance"), "rank"

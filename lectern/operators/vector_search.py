@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions.vectors import quantize
-from lectern.operators import topk
+from lectern.operators import pivots, topk
 
 
 def quantize_store(store: DataFrame, vector: str = "v") -> DataFrame:
@@ -86,6 +86,16 @@ def nearest(
     return hits.withColumn("score", F.round("score", 6))
 
 
+def nearest_pruned(queries: DataFrame, store: DataFrame, k: int, model: str | None = None, **sizes) -> DataFrame:
+    """As ``nearest``, by pivots: neither side passes through the driver, and blocks out of reach are not read."""
+    # a scale turns no vector, but a scale of zero makes it zero
+    parts = F.transform("q", lambda x: F.when(F.col("scale") == 0, 0.0).otherwise(x.cast("double")))
+    v = parts if "q" in store.columns else F.col("v").cast("array<double>")
+    rows = _of_model(store, model, "pos").select("pos", v.alias("v"))
+    asked = _of_model(queries, model, "query_id").select("query_id", F.col("v").cast("array<double>").alias("v"))
+    return pivots.nearest(asked, rows, k, **sizes).withColumn("score", F.round("score", 6))
+
+
 def with_refs(hits: DataFrame, store: DataFrame) -> DataFrame:
     """Give each hit its store key back."""
     return hits.join(store.select("pos", "ref"), "pos")
@@ -98,13 +108,13 @@ def search(
     k: int = fixed.DEFAULT_K,
     key: str = "ref",
     model: str | None = None,
-    block_bytes: int = topk.BLOCK_BYTES,
+    **sizes: int,
 ) -> DataFrame:
     """vector top-k, then the passages by key.
 
     k is taken before the lookup: a ref without a passage leaves a shorter result.
     """
-    hits = with_refs(nearest(queries, store, k, model, block_bytes), store).drop("pos")
+    hits = with_refs(nearest_pruned(queries, store, k, model, **sizes), store).drop("pos")
     return hits.join(passages.withColumnRenamed(key, "ref") if key != "ref" else passages, "ref")
 
 

@@ -112,13 +112,31 @@ def _qa_search(spark, folder):
     )
 
 
+def _every_twentieth(spark, folder):
+    """Every vector whose number is divisible by 20 asks the whole store."""
+    return inputs.vectors(spark, folder).filter("pos % 20 = 0").select(c("pos").alias("query_id"), "v")
+
+
+def _vector_search_all(spark, folder):
+    known = inputs.passages(spark, folder).select(c("pos").cast("string").alias("ref"), c("ref").alias("key"))
+    return vector_search.search(_every_twentieth(spark, folder), _quantized_store(spark, folder), known).select(
+        "query_id", "rank", "key", "score"
+    )
+
+
+def _qa_search_all(spark, folder):
+    return qa_hits(spark, folder, _every_twentieth(spark, folder)).select(
+        "query_id", "rank", c("ref").alias("id"), "score", F.md5("answer").alias("answer")
+    )
+
+
 def _relevant(spark, folder):
     """Every vector asks for the two nearest of the means of four vectors; near ones are kept."""
     rows = inputs.vectors(spark, folder)
     fours = rows.withColumn("pos", F.floor(c("pos") / 4))
     means = vector_search.mean_vectors(fours, "pos")
     asking = rows.select(c("pos").alias("query_id"), "v")
-    hits = vector_search.nearest(asking, means, fixed.DEFAULT_QA_K, small_store=True)
+    hits = vector_search.nearest_pruned(asking, means, fixed.DEFAULT_QA_K)
     return vector_search.relevant(hits).select("query_id", "pos", "rank", "score")
 
 
@@ -156,7 +174,7 @@ def question_vectors(spark, folder):
 
 
 def _vector_hits(spark, folder):
-    return vector_search.nearest(question_vectors(spark, folder), _quantized_store(spark, folder), fixed.DEFAULT_K)
+    return vector_search.nearest_pruned(question_vectors(spark, folder), _quantized_store(spark, folder), fixed.DEFAULT_K)
 
 
 def fallback_hits(spark, folder):
@@ -224,6 +242,8 @@ QUERIES = {
     "f04_cosine_quantized": _quantized_cosines,
     "f05_vector_top_k": _vector_search,
     "f06_qa_top_k": _qa_search,
+    "f05_vector_top_k_of_store": _vector_search_all,
+    "f06_qa_top_k_of_store": _qa_search_all,
     "f07_relevant_only": _relevant,
     "f08_hashed_embedding": _hashed,
     "f09_unembedded": _unembedded,
@@ -276,6 +296,7 @@ def _nearest(asked: str, k: int, name: str = "hits", store: str = "quantized", c
 
 
 _ASKED_MEANS = "asked as (select label as query_id, v from means)"
+_ASKED_TWENTIETH = "asked as (select vec_id as query_id, embedding as v from embeddings where vec_id % 20 = 0)"
 _ASKED_QUESTIONS = "asked as (select vec_id as query_id, embedding as v from embeddings join benchmark on item_id = vec_id where label > 4)"
 _FALLBACK = f"""{QUANTIZED}, {_ASKED_QUESTIONS}, {_nearest('asked', 8)}, {_LEXICAL},
   found as (select query_id, pos, score, rank from hits where pos in (select doc_id from documents)),
@@ -318,6 +339,10 @@ SQL = {
     "f05_vector_top_k": f"""with {inputs.PASSAGES}, {QUANTIZED}, {_MEANS}, {_ASKED_MEANS}, {_nearest('asked', 8)}
   select query_id, cast(rank as int) as rank, ref as key, score from hits join passages using (pos) where lang <> 'fr'""",
     "f06_qa_top_k": f"""with {inputs.LIVE_TURNS}, {_QA}, {QUANTIZED}, {_MEANS}, {_ASKED_MEANS}, {_nearest('asked', 2)}
+  select query_id, cast(rank as int) as rank, id, score, md5(answer) as answer from hits join qa on id = cast(pos as varchar)""",
+    "f05_vector_top_k_of_store": f"""with {inputs.PASSAGES}, {QUANTIZED}, {_ASKED_TWENTIETH}, {_nearest('asked', 8)}
+  select query_id, cast(rank as int) as rank, ref as key, score from hits join passages using (pos)""",
+    "f06_qa_top_k_of_store": f"""with {inputs.LIVE_TURNS}, {_QA}, {QUANTIZED}, {_ASKED_TWENTIETH}, {_nearest('asked', 2)}
   select query_id, cast(rank as int) as rank, id, score, md5(answer) as answer from hits join qa on id = cast(pos as varchar)""",
     "f07_relevant_only": f"""with {_MEANS.replace('select label, unnest', 'select vec_id // 4 as label, unnest')}, store as (select label as pos, v from means), asked as (select vec_id as query_id, embedding as v from embeddings),
   {_nearest('asked', 2, 'hits', 'store', 'v')} select query_id, cast(pos as bigint) as pos, cast(rank as int) as rank, score from hits where score >= 0.5""",
