@@ -118,47 +118,145 @@ def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(listed))
 
 
-def _compositions() -> list[tuple[str, str]]:
-    """(letter + mark, composed) of every character that composition makes, those first whose
-    letter is plain, so that letters with several marks grow mark by mark."""
-    found = []
-    for code in range(0x00C0, 0x30000):
-        ch = chr(code)
-        parts = unicodedata.decomposition(ch).split()
-        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", ch) == ch:
-            pair = "".join(chr(int(p, 16)) for p in parts)
-            found.append((len(unicodedata.normalize("NFD", ch)), pair, ch))
-    return [(pair, ch) for _, pair, ch in sorted(found)]
+class _Canonical:
+    """Tables of canonical composition, from the character database, without Hangul."""
+
+    def __init__(self) -> None:
+        # a character whose composed form is several (or a mark's) is taken apart, others of one character are translated
+        self.single: dict[str, str] = {}
+        self.apart: dict[str, str] = {}
+        self.several: list[str] = []
+        self.classes: dict[str, int] = {}
+        pairs = []
+        for code in [*range(0xC0, 0xAC00), *range(0xF900, 0x30000)]:
+            ch = chr(code)
+            if unicodedata.combining(ch):
+                self.classes[ch] = unicodedata.combining(ch)
+            nfd, nfc = unicodedata.normalize("NFD", ch), unicodedata.normalize("NFC", ch)
+            if len(nfc) == 1 and nfc != ch:
+                self.single[ch] = nfc
+            elif len(nfd) > 1:
+                self.apart[ch] = nfd
+                if nfc != ch:
+                    self.several.append(ch)
+                two = unicodedata.decomposition(ch).split()
+                if nfc == ch and len(two) == 2 and not two[0].startswith("<"):
+                    pairs.append("".join(chr(int(p, 16)) for p in two) + ch)
+        # (letter, mark, composed) and (character, decomposition), each behind a sign that no text holds
+        self.pairs = "".join("\uffff" + p for p in pairs)
+        self.marks = "".join(self.classes)
+        # classes as characters of the same order
+        self.order = "".join(chr(0x100 + k) for k in self.classes.values())
+        self.forms = "".join("\uffff" + ch + form.ljust(4, "\ufffe") for ch, form in self.apart.items())
+
+
+def _ranges(characters: str) -> str:
+    """The characters as ranges of a pattern's class."""
+    found: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if found and found[-1][1] == code - 1:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in found)
+
+
+_CANONICAL = _Canonical()
+# most characters are below the first mark and are told by one comparison
+_LOW = r"\x{0}-\x{2ff}"
+_MARK_CLASS = rf"[[^{_LOW}]&&[{_ranges(_CANONICAL.marks)}]]"
+_SEVERAL_CLASS = rf"[[^{_LOW}]&&[{_ranges(''.join(_CANONICAL.several))}]]"
+_MARK_RUN = rf"[{_LOW}[^{_ranges(_CANONICAL.marks)}]]{_MARK_CLASS}+|{_SEVERAL_CLASS}"
+_NOT_COMPOSED = rf"[[^{_LOW}]&&[{_ranges(_CANONICAL.marks + ''.join(_CANONICAL.several) + ''.join(_CANONICAL.single))}]]"
+
+
+def _taken_apart(ch: Column) -> Column:
+    """The canonical decomposition of one character."""
+
+    def form(at: Column) -> Column:
+        padded = F.substring(F.lit(_CANONICAL.forms), at + 2, F.lit(4))
+        return F.when(at > 0, F.translate(padded, "\ufffe", "")).otherwise(ch)
+
+    return F.when(ch < "\u00c0", ch).otherwise(let(F.instr(F.lit(_CANONICAL.forms), F.concat(F.lit("\uffff"), ch)), form))
+
+
+def _composed_run(run: Column) -> Column:
+    """A letter and its marks: marks in order of their classes, then taken into the letter one by one."""
+
+    def composed(run: Column) -> Column:
+        places = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: i)
+        parts = F.transform(places, lambda i: F.substring(run, i, F.lit(1)))
+        # what stands before the marks has no class
+        classed = F.transform(
+            parts,
+            lambda ch, i: F.struct(
+                F.when((ch >= "\u0300") & (F.instr(F.lit(_CANONICAL.marks), ch) > 0), F.translate(ch, _CANONICAL.marks, _CANONICAL.order)).otherwise("").alias("rank"),
+                i.alias("at"),
+                ch.alias("ch"),
+            ),
+        )
+
+        def folded(ordered: Column) -> Column:
+            start = _state(F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+
+            def step(state: Column, mark: Column) -> Column:
+                letter, rest = state["letter"], state["rest"]
+
+                def taken(at: Column) -> Column:
+                    made = F.substring(F.lit(_CANONICAL.pairs), at + 3, F.lit(1))
+                    # a mark behind one of its own class or a higher one, or anything behind marks that stay, is blocked
+                    free = (at > 0) & F.when(mark["rank"] == "", rest == "").otherwise(state["last"] < mark["rank"])
+                    return (
+                        F.when(free, _state(state["done"], made, rest, state["last"]))
+                        .when(mark["rank"] == "", _state(F.concat(state["done"], letter, rest), mark["ch"], F.lit(""), F.lit("")))
+                        .otherwise(_state(state["done"], letter, F.concat(rest, mark["ch"]), mark["rank"]))
+                    )
+
+                pair = F.instr(F.lit(_CANONICAL.pairs), F.concat(F.lit("\uffff"), letter, mark["ch"]))
+                return let(F.when(F.length(letter) == 1, pair).otherwise(0), taken)
+
+            return F.aggregate(ordered, start, step, lambda s: F.concat(s["done"], s["letter"], s["rest"]))
 
+        return let(F.array_sort(classed), folded)
 
-_COMPOSITIONS = _compositions()
-_COMBINING = "".join(sorted({pair[1] for pair, _ in _COMPOSITIONS}))
-# marks below their letter or attached to it come before marks above it
-_LOW_MARKS = "".join(m for m in _MARKS if 0 < unicodedata.combining(m) < 230)
-_HIGH_MARKS = "".join(m for m in _MARKS if unicodedata.combining(m) == 230)
+    return let(F.concat(_taken_apart(F.substring(run, F.lit(1), F.lit(1))), F.substring(run, F.lit(2), F.length(run))), composed)
 
 
-def _compose(c: Column) -> Column:
-    """Canonical composition of letters followed by their marks; other texts skip the work.
+def _state(done: Column, letter: Column, rest: Column, last: Column) -> Column:
+    """What is finished, the current letter, its marks that stay, and the class of the last of them."""
+    return F.struct(done.alias("done"), letter.alias("letter"), rest.alias("rest"), last.alias("last"))
 
-    Marks above a letter go behind the others first. Marks that stand in no other canonical
-    order, and marks separated from their letter by one that it cannot take, are left as they are.
+
+def compose(c: Column) -> Column:
+    """Canonical composition (NFC). Texts without a mark skip the work, others do it for their marks only.
+
+    Conjoining jamo, and the few signs of class 0 that compose with a letter before them, stay as
+    they are.
     """
-    pairs = F.split(F.lit(" ".join(pair for pair, _ in _COMPOSITIONS)), " ")
-    letters = F.split(F.lit(" ".join(letter for _, letter in _COMPOSITIONS)), " ")
-    ordered = F.regexp_replace(c, f"([{_HIGH_MARKS}]+)([{_LOW_MARKS}]+)", "$2$1")
-    composed = F.aggregate(
-        F.arrays_zip(pairs.alias("pair"), letters.alias("letter")),
-        ordered,
-        lambda text, p: F.replace(text, p["pair"], p["letter"]),
-    )
-    return F.when(c.rlike(f"[{_COMBINING}]"), composed).otherwise(c)
+
+    def text(t: Column) -> Column:
+        # each distinct run once, longer ones first: a run that begins like a longer one does not meet it again
+        runs = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({_MARK_RUN})"), F.lit(1)))
+        ordered = F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("size"), r.alias("run"))))
+        made = F.transform(ordered, lambda r: F.struct(r["run"].alias("run"), _composed_run(r["run"]).alias("composed")))
+        return F.aggregate(made, t, lambda text, r: F.replace(text, r["run"], r["composed"]))
+
+    def parts(t: Column) -> Column:
+        marks = F.length(F.regexp_extract(t, f"^({_MARK_CLASS}+)", 1))
+        alone = F.when(marks > 0, _composed_run(F.substring(t, F.lit(1), marks))).otherwise("")
+        return F.concat(alone, let(F.substring(t, marks + 1, F.length(t)), text))
+
+    whole = F.translate(c, "".join(_CANONICAL.single), "".join(_CANONICAL.single.values()))
+    for mark, form in _CANONICAL.apart.items():
+        if form[0] in _CANONICAL.classes:
+            whole = F.replace(whole, F.lit(mark), F.lit(form))
+    return F.when(c.rlike(_NOT_COMPOSED), let(whole, parts)).otherwise(c)
 
 
 def compare_fold(c: Column) -> Column:
     """The form in which a quotation and a passage are compared; accents stay."""
     names = "|".join(fixed.COMPARE_LETTER_NAMES)
-    c = _compose(F.lower(c))
+    c = compose(F.lower(c))
     c = F.translate(c, "|" + fixed.COMPARE_DELETED_FIRST, " ")
     c = F.regexp_replace(c, f"{_ASCII_WORD_START}(?:{names}){_ASCII_WORD_END}", "")
     c = F.translate(c, fixed.COMPARE_DELETED_LAST, "")

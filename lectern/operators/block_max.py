@@ -31,8 +31,8 @@ from lectern.operators.lexical import _expand
 from lectern.operators.topk import DIGITS
 from lectern.session import written
 
-#: Documents of a range, folders of the index, ranges that give a query its floor, queries that a task holds.
-RANGE_DOCS, BUCKETS, SEEDS, QUERY_GROUP = 1024, 64, 2, 2048
+#: Documents of a range, folders of the index, ranges that give a query its floor, terms of queries that a task holds.
+RANGE_DOCS, BUCKETS, SEEDS, GROUP_TERMS = 4096, 64, 2, 100_000
 #: Names of blocks that may be broadcast; of more, blocks are shuffled to them.
 NEEDED_ROWS = 500_000
 _BLOCK = "term string, range bigint, top double, pos array<bigint>, tf array<int>, len array<int>"
@@ -93,25 +93,25 @@ def _range_maker(avg_len: float, size: int):
 class BlockIndex:
     """The stored index of a corpus."""
 
+    STATISTICS = "n bigint, avg_len double, ranges bigint"  # ranges: at most
     blocks: DataFrame  # term, range, top, pos, tf, len, bucket
     terms: DataFrame  # term, df
-    statistics: DataFrame  # n, avg_len
+    statistics: DataFrame  # n, avg_len, ranges
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, text: str = "text", range_docs: int = RANGE_DOCS) -> BlockIndex:
         """Index a corpus (pos, text) below ``path`` and read the index.
 
-        The corpus is tokenized once. Posting rows are made where the documents lie; the one
-        shuffle brings rows of a folder together, a million documents a file.
+        Texts are tokenized twice: for the lengths, and for the postings, whose ``top`` needs the mean
+        length. Posting rows are made where the documents lie; the one shuffle brings rows of a
+        folder together, a million documents a file.
         """
         spark = docs.sparkSession
-        lexical.tokenized(docs, text).write.mode("overwrite").parquet(f"{path}/documents")
-        documents = spark.read.parquet(f"{path}/documents")
-        documents.agg(
-            F.count("*").alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("avg_len")
-        ).write.mode("overwrite").parquet(f"{path}/statistics")
-        known = spark.read.parquet(f"{path}/statistics").first()
-        rows = documents.mapInArrow(_range_maker(known["avg_len"] or 1.0, range_docs), _BLOCK)
+        known = lexical.corpus_statistics(docs, text).first()
+        # every partition may end in a range that is not full
+        ranges = known["n"] // range_docs + docs.rdd.getNumPartitions()
+        spark.createDataFrame([(*known, ranges)], cls.STATISTICS).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+        rows = lexical.tokenized(docs, text).mapInArrow(_range_maker(known["avg_len"] or 1.0, range_docs), _BLOCK)
         part = F.pmod(F.xxhash64("range"), F.lit(1 + known["n"] // 1_000_000))
         rows.withColumn("bucket", _bucket()).repartition("bucket", part).sortWithinPartitions("bucket", "term", "range").write.partitionBy(
             "bucket"
@@ -123,7 +123,8 @@ class BlockIndex:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> BlockIndex:
         blocks = spark.read.schema(f"{_BLOCK}, bucket int").parquet(f"{path}/blocks")
-        return cls(blocks, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/statistics"))
+        terms = spark.read.schema("term string, df bigint").parquet(f"{path}/terms")
+        return cls(blocks, terms, spark.read.schema(cls.STATISTICS).parquet(f"{path}/statistics"))
 
     def of_buckets(self, numbers: list[int]) -> BlockIndex:
         """The index with the rows of some folders only; the others are not read."""
@@ -179,13 +180,14 @@ def _scorer(k: int, avg_len: float, query_type: pa.DataType):
     return run
 
 
-def _scored(pairs: DataFrame, asked: DataFrame, vectors: DataFrame, groups: int, index: BlockIndex, k: int, avg_len: float) -> DataFrame:
-    """The k best documents of each (query_id, range). Only blocks that some pair needs are read."""
+def _scored(pairs: DataFrame, asked: DataFrame, vectors: DataFrame, groups: int, index: BlockIndex, k: int, avg_len: float, most_needed: int) -> DataFrame:
+    """The k best documents of each (query_id, range). Only blocks that some pair needs are read;
+    their names are broadcast if there can be no more than NEEDED_ROWS."""
     kind = vectors.schema["query_id"].dataType
     group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group")
-    needed = written(pairs.join(asked, "query_id").select("bucket", "term", "range").distinct(), "bm25-needed")
-    if needed.count() <= NEEDED_ROWS:
-        needed = F.broadcast(needed)
+    needed = pairs.join(asked, "query_id").select("bucket", "term", "range")
+    if most_needed <= NEEDED_ROWS:
+        needed = F.broadcast(needed.distinct())
     blocks = index.blocks.join(needed, ["bucket", "term", "range"], "left_semi").drop("bucket", "top")
     blocks = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     queries = pairs.select("query_id", "range").join(vectors, "query_id").withColumn("group", group)
@@ -204,7 +206,7 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, index: BlockIndex, k: int = fixed.DEFAULT_K, seeds: int = SEEDS, query_group: int = QUERY_GROUP
+    queries: DataFrame, index: BlockIndex, k: int = fixed.DEFAULT_K, seeds: int = SEEDS, group_terms: int = GROUP_TERMS
 ) -> DataFrame:
     """``(query_id, pos, score, rank)``, positive scores only, ties in corpus order.
 
@@ -216,16 +218,17 @@ def search(
     avg_len = known["avg_len"] or 1.0
     asked = written(weighted_terms(queries, index), "bm25-terms")
     # at most BUCKETS numbers
-    index = index.of_buckets([r["bucket"] for r in asked.select("bucket").distinct().collect()])
+    counted = {r["bucket"]: r["count"] for r in asked.groupBy("bucket").count().collect()}
+    index, n_terms = index.of_buckets(sorted(counted)), sum(counted.values())
     vectors = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("p"))
-    vectors = written(vectors.select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")), "bm25-queries")
-    groups = 1 + vectors.count() // query_group
+    vectors = vectors.select("query_id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights"))
+    groups = 1 + n_terms // group_terms
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
     bounded = written(bounds(asked, index), "bm25-bounds")
     first = bounded.withColumn("_n", F.row_number().over(by_bound)).where(F.col("_n") <= seeds).drop("_n")
-    seen = written(_scored(first, asked, vectors, groups, index, k, avg_len), "bm25-seeds")
+    seen = written(_scored(first, asked, vectors, groups, index, k, avg_len, n_terms * seeds), "bm25-seeds")
     floor = _ranked(seen, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     rest = bounded.join(first.select("query_id", "range"), ["query_id", "range"], "left_anti").join(floor, "query_id", "left")
     reach = rest.where(F.col("floor").isNull() | (F.col("bound") * (1 + 1e-12) + 1e-9 >= F.col("floor")))
-    hits = seen.unionByName(_scored(reach.select("query_id", "range"), asked, vectors, groups, index, k, avg_len))
+    hits = seen.unionByName(_scored(reach.select("query_id", "range"), asked, vectors, groups, index, k, avg_len, n_terms * known["ranges"]))
     return _ranked(hits, k).withColumn("score", F.round("score", 6))

@@ -77,9 +77,9 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), width)
 
 
-def choose_pivots(rows: DataFrame, count: int = PIVOTS) -> np.ndarray | None:
+def choose_pivots(rows: DataFrame, count: int = PIVOTS, n: int | None = None) -> np.ndarray | None:
     """Vectors of ``count`` rows at most, by a hash of ``id``; None without rows."""
-    n = rows.count()
+    n = rows.count() if n is None else n
     thin = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (16 * count)))) == 0)
     for sample in (thin, rows):
         chosen = sample.orderBy(F.xxhash64("id"), "id").limit(count).collect()
@@ -176,7 +176,10 @@ def _best_scores(asked: DataFrame, store: DataFrame, space: Space, pivots: np.nd
 
 
 def _scored(pairs: DataFrame, asked: DataFrame, store: DataFrame, space: Space, k: int, groups: int, width: int) -> DataFrame:
-    """The k best rows of each query in each store block that its block is paired with."""
+    """The k best rows of each query in each store block that its block is paired with.
+
+    Where ``asked`` holds the queries' floors, rows below them are left out.
+    """
     kind = asked.schema["ids"].dataType.elementType
     arrow = to_arrow_type(kind)
 
@@ -189,6 +192,8 @@ def _scored(pairs: DataFrame, asked: DataFrame, store: DataFrame, space: Space,
                 ids = queries.column("ids")[q].values
                 centre = np.asarray(queries.column("points")[q].values).reshape(-1, width)
                 best, step = _Best(len(ids), k, space.digits), max(1, SCORE_CELLS // len(ids))
+                if "floors" in queries.column_names:
+                    best.floor = np.array(queries.column("floors")[q].values)
                 for start in range(0, len(pos), step):
                     best.add(space.score(centre, points[start : start + step]), pos[start : start + step])
                 out.append(best.rows(ids).drop_columns(["_key"]))
@@ -200,7 +205,8 @@ def _scored(pairs: DataFrame, asked: DataFrame, store: DataFrame, space: Space,
     blocks = store.select("block", "ids", "points").join(wanted.select("block", "group").distinct(), "block")
     # new names, since both sides come from the same pairs
     to = wanted.select("query_block", F.col("block").alias("to_block"), F.col("group").alias("to_group"))
-    queries = asked.select(F.col("block").alias("query_block"), "ids", "points").join(to, "query_block").drop("query_block")
+    kept = [c for c in ("ids", "points", "floors") if c in asked.columns]
+    queries = asked.select(F.col("block").alias("query_block"), *kept).join(to, "query_block").drop("query_block")
     return (
         blocks.groupBy("block", "group")
         .cogroup(queries.groupBy("to_block", "to_group"))
@@ -231,25 +237,35 @@ def nearest(
     spark = rows.sparkSession
     store_rows = rows.select(F.col("pos").alias("id"), "v")
     asked_rows = queries.select(F.col("query_id").alias("id"), "v")
-    chosen = choose_pivots(store_rows, pivots)
-    if chosen is None:
-        kind = queries.schema["query_id"].dataType.simpleString()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    n = store_rows.count()
+    width = len(store_rows.first()["v"] or []) if n else 0
+    if not width:
         return spark.createDataFrame([], f"query_id {kind}, pos bigint, score double, rank int")
-    store = _packed(store_rows, space, chosen, store_bytes, "pivots-store", True)
+    # as many pivots as the rows fill blocks; with a single block there is nothing to leave out
+    count = min(pivots, -(-n * 8 * width // store_bytes))
+    chosen = choose_pivots(store_rows, count, n)
+    store = _packed(store_rows if count > 1 else store_rows.coalesce(1), space, chosen, store_bytes, "pivots-store", count > 1)
     asked = _packed(asked_rows, space, chosen, query_bytes, "pivots-queries", False)
     groups = 1 + asked.count() // query_blocks
-    pairs = written(_best_scores(asked, store, space, chosen), "pivots-pairs")
+    pairs = _best_scores(asked, store, space, chosen)
+    if count == 1:
+        return _ranked(_scored(pairs.select("query_block", "block"), asked, store, space, k, groups, width), k, space.digits)
+    pairs = written(pairs, "pivots-pairs")
     by_best = Window.partitionBy("query_block").orderBy(F.desc("best"), "block")
     before = F.sum("n").over(by_best.rowsBetween(Window.unboundedPreceding, -1))
     first = pairs.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < k).select("query_block", "block")
-    width = chosen.shape[1]
     seen = written(_scored(first, asked, store, space, k, groups, width), "pivots-seeds")
     kth = _ranked(seen, k, space.digits).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    members = asked.select(F.col("block").alias("query_block"), F.explode("ids").alias("query_id"))
+    # floors by query and, as the least of them, by block; a query with fewer than k rows so far has none
+    floor = F.coalesce(F.round("kth", space.digits), F.lit(float("-inf")))
+    members = asked.select(F.col("block").alias("query_block"), F.posexplode("ids").alias("at", "query_id"))
     floors = members.join(kth, "query_id", "left").groupBy("query_block").agg(
-        F.when(F.count("kth") == F.count("*"), F.min("kth")).alias("floor")
+        F.transform(F.array_sort(F.collect_list(F.struct("at", floor.alias("floor")))), lambda x: x["floor"]).alias("floors")
     )
+    floors = written(floors, "pivots-floors")
     rest = pairs.join(first, ["query_block", "block"], "left_anti").join(floors, "query_block")
-    rest = rest.where(F.col("floor").isNull() | (F.col("best") + 10.0**-space.digits >= F.col("floor")))
+    rest = rest.where(F.col("best") + 10.0**-space.digits >= F.array_min("floors"))
+    asked = asked.join(floors.withColumnRenamed("query_block", "block"), "block")
     hits = seen.unionByName(_scored(rest.select("query_block", "block"), asked, store, space, k, groups, width))
     return _ranked(hits, k, space.digits)

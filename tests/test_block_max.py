@@ -18,7 +18,7 @@ def rows_of(hits):
     return sorted((r.query_id, r.pos, r.score, r["rank"]) for r in hits.collect())
 
 
-@pytest.mark.parametrize("k, seeds, group", [(8, 2, 2048), (3, 1, 5), (400, 1, 2048)])
+@pytest.mark.parametrize("k, seeds, group", [(8, 2, 100_000), (3, 1, 20), (400, 1, 100_000)])
 def test_equals_scoring_everything(spark, corpus, index, k, seeds, group):  # noqa: F811
     docs, queries = corpus
     asked = spark.createDataFrame(queries, "query_id int, text string")

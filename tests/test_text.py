@@ -120,3 +120,19 @@ def test_calendar(value):
     assert value(lambda d: dates.pool_index(F.to_date(d), 50), "2024-01-01") == 1
     assert value(lambda d: dates.pool_index(F.to_date(d), 50), "2024-02-19") == 0
     assert value(lambda d: dates.long_date(F.to_date(d), True), "2024-03-05") == "martes, 5 de marzo de 2024"
+
+
+def test_composition_equals_the_unicode_library(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(1)
+    tables = text._CANONICAL
+    letters = [chr(c) for c in range(0x41, 0x250)] + list("ẹṩḗǖΐᾂ각漢\n 𝅗𐐀") + list(tables.apart) + list(tables.single)[:200]
+    common, marks = "\u0300\u0301\u0304\u0308\u031b\u0323\u0327\u0328\u0338\u0345", list(tables.classes)
+    rows = [("",), (None,), ("\u0301",), ("plain",), ("e\u0301e\u0301\u0323 e\u0323\u0301" * 50,), ("a" + "\u0301" * 3000,)]
+    for _ in range(3000):
+        some = [rng.choice(letters) + "".join(rng.choices(common if rng.random() < 0.8 else marks, k=rng.choice([0, 0, 1, 2, 3]))) for _ in range(6)]
+        rows.append((rng.choice(["", "\u0323\u0301"]) + "".join(some),))
+    found = spark.createDataFrame(rows, "t string").select("t", text.compose(F.col("t")).alias("c")).collect()
+    assert [r.c for r in found] == [None if r.t is None else unicodedata.normalize("NFC", r.t) for r in found]
