@@ -22,6 +22,11 @@ PIECE = 1 << 16
 #: No match goes from a letter or digit to white space, from a letter to a digit, or back.
 SAFE = regex.compile(r"(?<=[A-Za-z0-9])(?=[ \n])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
+#: Runs of white space that are too long for the tokenizer's own matching, which recurses.
+BLANK = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{65536,}+")
+#: Fixed value: how a pattern ends that gives such a run one match, less a last character that something follows.
+BLANK_END = r"|\s+(?!\S)|\s+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The rank file: one base64 token and its rank in a line. Its size bounds the broadcast."""
@@ -50,16 +55,27 @@ class Codec:
     _made: dict[str, tiktoken.Encoding] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        name = hashlib.sha256(repr((len(ranks), sorted(ranks.items())[:64], pattern)).encode()).hexdigest()
+        name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
         if name not in self._made:
             self._made[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encoding = self._made[name]
+        self.blanks = pattern.endswith(BLANK_END)
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
+        start = 0
+        for run in BLANK.finditer(text) if self.blanks else ():
+            # the last character may begin the next match; the others are a match of their own
+            end = run.end() - (run.end() < len(text))
+            self._add(text[start : run.start()], out)
+            out += self.encoding._encode_single_piece(text[run.start() : end])
+            start = end
+        self._add(text[start:], out)
+        return out
+
+    def _add(self, text: str, out: list[int]) -> None:
         for piece in pieces(text):
             out += self.encoding.encode_ordinary(piece)
-        return out
 
     def raw(self, ids: list[int]) -> bytes:
         return self.encoding.decode_bytes(ids)
@@ -70,7 +86,7 @@ def encode(
 ) -> DataFrame:
     """``key``, ``ids`` (array<int>) and ``decoded`` (binary) of every row of ``df``.
 
-    Null text counts as empty: no ids, no bytes. Rows are neither merged nor dropped, repeated
+    Null text counts as empty: no ids, no bytes; texts and white space of any length are encoded. Rows are neither merged nor dropped, repeated
     keys included; other columns of ``df`` are not read. Special tokens are never produced.
     The rank file is read on the driver and broadcast, a bounded table.
     """

@@ -63,6 +63,17 @@ def test_bpe_round_trip_and_cuts(spark, odd, ranks):
     assert byte_bpe.encode(spark, odd.limit(0), *ranks).count() == 0
 
 
+def test_bpe_long_white_space(ranks):
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(ranks[0]), ranks[1])
+    plain = codec.encoding.encode_ordinary
+    rng = random.Random(8)
+    for run in (" " * 70_000, "\n" * 100_000, "\t \n" * 30_000, "\u3000 " * 40_000, " " * 65_535, "".join(rng.choices(" \n\t\r\xa0", k=90_000))):
+        for text in (run, "a" + run, run + "b", "x." + run + "\nb", run + "\x1cb", "1" + run + ".", run + "é" + run + "!" + run):
+            assert codec.ids(text) == plain(text)
+    for run in (" " * 1_000_000, "\n" * 1_000_000, " \n\t" * 340_000):
+        assert codec.raw(codec.ids(run + "word" + run)).decode() == run + "word" + run
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
