@@ -37,6 +37,8 @@ from lectern.llm.common import ready, slices
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most; characters kept around a trigger; stretches learned from and their length at most.
 TOKENS, AROUND, SAMPLE, STRETCH = 24, 96, 1000, 600
+#: Texts that the stretches are looked for in.
+TEXTS = 20_000
 #: Runs of digits of an entity at most.
 GROUPS = 7
 #: What an entity must score above the outside labelling.
@@ -446,10 +448,11 @@ def examples(found: list[tuple[str, list[Span]]], seed: int = 5) -> list[tuple[s
     return made
 
 
-def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
-    """The field, learned from ``sample`` stretches at most of the texts, those of least hash.
+def train(df: DataFrame, text: str = "text", sample: int = SAMPLE, texts: int = TEXTS) -> Field:
+    """The field, learned from ``sample`` stretches at most, those of least hash, of ``texts`` texts or so.
 
-    Stretches of more than STRETCH characters are not learned from. Null and empty texts have
+    The texts are chosen by their hash, at a rate of ``texts`` to the rows, so what the tasks send to
+    the driver does not grow with the table; copies count once. Stretches of more than STRETCH characters are not learned from. Null and empty texts have
     none; a table without any still gives the model of the carrier sentences.
     """
     ready(df.sparkSession)
@@ -459,7 +462,10 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
             parts = [t[a:b] for t in part.column("text").to_pylist() if t for a, b in stretches(t) if b - a <= STRETCH]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], ["part"])
 
-    parts = df.select(df[text].alias("text")).mapInArrow(run, "part string")
+    rows = df.select(df[text].alias("text"))
+    rate = min(1.0, texts / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < int(rate * (1 << 32)))
+    parts = some.mapInArrow(run, "part string").distinct()
     rows = parts.orderBy(F.xxhash64("part"), "part").limit(sample).collect()
     return fit(examples([(p, base_spans(p)) for p in sorted({r["part"] for r in rows})]))
 
