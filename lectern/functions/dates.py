@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
@@ -48,22 +48,35 @@ def capital(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
+def _line_parts(line: Column, date: Column) -> dict[str, Column]:
+    colon = F.instr(line, ":")
+    day = F.when(colon > 0, F.substring(line, F.lit(1), colon - 1)).otherwise(line)
+    hours = F.when(
+        colon > 0, web_trim(F.substring(line, colon + 1, F.length(line)))
+    ).otherwise(F.lit(""))
+    return {
+        "day": capital(day),
+        "hours": F.when(hours == "", F.lit("—")).otherwise(hours),
+        "is_today": F.lower(day) == weekday_name(date),
+    }
+
+
 def split_hours(lines: Column, date: Column) -> Column:
     """Array of struct(day, hours, is_today), one per line."""
+    return F.transform(
+        lines, lambda line: F.struct(*[part.alias(name) for name, part in _line_parts(line, date).items()])
+    )
+
+
+def hours_rows(rows: DataFrame, keep: list[str], lines: str = "lines", date: str = "date") -> DataFrame:
+    """C5 as rows: ``keep``, ``line`` (from 0), ``day``, ``hours``, ``is_today`` of every line.
 
-    def one(line: Column) -> Column:
-        colon = F.instr(line, ":")
-        day = F.when(colon > 0, F.substring(line, F.lit(1), colon - 1)).otherwise(line)
-        hours = F.when(
-            colon > 0, web_trim(F.substring(line, colon + 1, F.length(line)))
-        ).otherwise(F.lit(""))
-        return F.struct(
-            capital(day).alias("day"),
-            F.when(hours == "", F.lit("—")).otherwise(hours).alias("hours"),
-            (F.lower(day) == weekday_name(date)).alias("is_today"),
-        )
-
-    return F.transform(lines, one)
+    Lines are exploded first, so that the rest is compiled instead of evaluated in a lambda.
+    """
+    # the outer form keeps the optimizer from computing the lines a second time for their size
+    each = rows.select(*keep, F.col(date).alias("_date"), F.posexplode_outer(lines).alias("line", "_line"))
+    parts = _line_parts(F.col("_line"), F.col("_date"))
+    return each.where(F.col("line").isNotNull()).select(*keep, "line", *[part.alias(name) for name, part in parts.items()])
 
 
 def long_date(date: Column, weekday: bool = False) -> Column:

@@ -198,8 +198,7 @@ def _hours_today(spark, folder):
 
 
 def _hours_week(spark, folder):
-    rows = _with_hours(spark, folder).select("o_orderkey", F.posexplode(dates.split_hours(c("lines"), c("date"))).alias("line", "h"))
-    return rows.select("o_orderkey", "line", "h.day", "h.hours", "h.is_today")
+    return dates.hours_rows(_with_hours(spark, folder), ["o_orderkey"])
 
 
 WEEK = "[" + inputs.sql_list(fixed.WEEKDAYS_ES) + "]"

@@ -136,3 +136,11 @@ def test_composition_equals_the_unicode_library(spark):
         rows.append((rng.choice(["", "\u0323\u0301"]) + "".join(some),))
     found = spark.createDataFrame(rows, "t string").select("t", text.compose(F.col("t")).alias("c")).collect()
     assert [r.c for r in found] == [None if r.t is None else unicodedata.normalize("NFC", r.t) for r in found]
+
+
+def test_hours_rows_equal_the_array_form(spark):
+    rows = spark.sql("select * from values (1, array('lunes: 9–20', 'Martes:', 'cerrado', null, ':x'), date'2024-01-01'), (2, array(), date'2024-01-02'), (3, null, null) t(id, lines, date)")
+    flat = dates.hours_rows(rows, ["id"]).collect()
+    nested = rows.select("id", dates.split_hours(F.col("lines"), F.col("date")).alias("h")).collect()
+    want = [(r.id, i, *h) for r in nested if r.h is not None for i, h in enumerate(r.h)]
+    assert [tuple(r) for r in flat] == want and len(want) == 5
