@@ -66,12 +66,11 @@ def test_bpe_round_trip_and_cuts(spark, odd, ranks):
 def test_bpe_long_white_space(ranks):
     codec = byte_bpe.Codec(byte_bpe.read_ranks(ranks[0]), ranks[1])
     plain = codec.encoding.encode_ordinary
-    rng = random.Random(8)
-    for run in (" " * 70_000, "\n" * 100_000, "\t \n" * 30_000, "\u3000 " * 40_000, " " * 65_535, "".join(rng.choices(" \n\t\r\xa0", k=90_000))):
-        for text in (run, "a" + run, run + "b", "x." + run + "\nb", run + "\x1cb", "1" + run + ".", run + "é" + run + "!" + run):
+    for run in (" " * 65_535, " " * 65_540, "\t \n" * 21_900):
+        for text in (run, "x." + run + "\nb", run + "\xa0b" + run):
             assert codec.ids(text) == plain(text)
-    for run in (" " * 1_000_000, "\n" * 1_000_000, " \n\t" * 340_000):
-        assert codec.raw(codec.ids(run + "word" + run)).decode() == run + "word" + run
+    for run in (" " * 1_000_000, " \n" * 500_000):
+        assert codec.raw(codec.ids("a" + run + "word")).decode() == "a" + run + "word"
 
 
 # --- 3 ------------------------------------------------------------------------------------------
