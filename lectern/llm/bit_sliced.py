@@ -12,6 +12,7 @@ rows of a DataFrame.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,16 @@ SCALE = 64
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """``id`` and ``q`` (array<bigint>): floor(scale * x) of each component x as double.
+    """``row``, ``id`` and ``q`` (array<bigint>): floor(scale * x) of each component x as double.
 
-    Vectors that are null or empty, or hold null or non-finite components, and rows without a key
-    take no part. Of several rows with one key the least vector counts.
+    Vectors that are null or hold null or non-finite components take no part; empty ones do, and
+    score 0. Rows are never merged: ``row`` tells those with one key, or without a key, apart.
     """
-    x = F.col("x").cast("double")
-    v = F.col(vector)
-    finite = F.forall(v, lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float("inf")) & ~F.isnan(e))
-    rows = df.where(F.col(key).isNotNull() & (F.size(v) > 0) & finite)
-    values = F.transform(v, lambda e: F.floor(e.cast("double") * scale))
-    return rows.select(F.col(key).cast("bigint").alias("id"), values.alias("q")).groupBy("id").agg(F.min("q").alias("q"))
+    x = F.col(vector)
+    finite = F.forall(x, lambda e: e.isNotNull() & (F.abs(e.cast("double")) < float("inf")) & ~F.isnan(e))
+    values = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
+    kept = df.where(x.isNotNull() & finite)
+    return kept.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("id"), values.alias("q"))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -50,30 +50,60 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Labels:
+    """Number and id of the rows of a block; ``known`` is false where there is no id."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    known: np.ndarray
+
+    FIELDS = "rows binary, ids binary, known binary"
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Labels:
+        ids = batch.column("id")
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        return cls(batch.column("row").to_numpy(), ids.fill_null(0).to_numpy(), known)
+
+    @classmethod
+    def read(cls, row: dict) -> Labels:
+        return cls(np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool))
+
+    def packed(self) -> dict:
+        return {"rows": self.rows.tobytes(), "ids": self.ids.tobytes(), "known": self.known.tobytes()}
+
+    def at(self, places) -> Labels:
+        return Labels(self.rows[places], self.ids[places], self.known[places])
+
+    def names(self) -> list[int | None]:
+        return [i if k else None for i, k in zip(self.ids.tolist(), self.known.tolist())]
+
+
 def _blocks(size: int, pack):
-    """mapInArrow body: ``pack(ids, cells)`` of up to ``size`` rows at a time, in order of id."""
+    """mapInArrow body: ``pack(labels, cells)`` of up to ``size`` rows at a time, in order of id, no id last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(ids, parts):
-            width = max(p.shape[1] for p in parts)
-            cells = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
-            ids = np.concatenate(ids)
-            order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pylist([pack(ids[order], cells[order])])
-
-        ids, parts, held = [], [], 0
+        def packed(parts):
+            width = max(c.shape[1] for _, c in parts)
+            cells = np.concatenate([np.pad(c, ((0, 0), (0, width - c.shape[1]))) for _, c in parts])
+            labels = Labels(*[np.concatenate([getattr(p, n) for p, _ in parts]) for n in ("rows", "ids", "known")])
+            order = np.lexsort((labels.rows, labels.ids, ~labels.known))
+            labels = labels.at(order)
+            return pa.RecordBatch.from_pylist([labels.packed() | pack(cells[order])])
+
+        parts, held = [], 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 part = batch.slice(at, size - held)
-                ids.append(part.column("id").to_numpy())
-                parts.append(_matrix(part))
+                parts.append((Labels.of(part), _matrix(part)))
                 at, held = at + part.num_rows, held + part.num_rows
                 if held == size:
-                    yield packed(ids, parts)
-                    ids, parts, held = [], [], 0
+                    yield packed(parts)
+                    parts, held = [], 0
         if held:
-            yield packed(ids, parts)
+            yield packed(parts)
 
     return run
 
@@ -81,13 +111,13 @@ def _blocks(size: int, pack):
 class Slices:
     """The bit slices of one block of rows."""
 
-    def __init__(self, ids: np.ndarray, low: list[int], size: list[int], planes: np.ndarray):
-        self.ids, self.low, self.size = ids, low, size
-        self.words = (len(ids) + 63) // 64
+    def __init__(self, labels: Labels, low: list[int], size: list[int], planes: np.ndarray):
+        self.labels, self.low, self.size = labels, low, size
+        self.words = (len(labels.rows) + 63) // 64
         self.first = np.cumsum([0, *size]).tolist()
         self.flip = len(planes)
         self.planes = np.concatenate([planes, ~planes])
-        self.all = _bitmap(np.ones(len(ids), bool))
+        self.all = _bitmap(np.ones(len(labels.rows), bool))
 
     def rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
@@ -132,12 +162,11 @@ class Slices:
             at += 1
         return out, constant
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
-        """Ids and scores of the k best rows other than ``own``, ties to smaller ids."""
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[list[int | None], list[int]]:
+        """Ids and scores of the k best rows other than row ``own``, ties to smaller ids, no id last."""
         slices, constant = self.scores(query)
         tied = self.all.copy()
-        at = np.searchsorted(self.ids, own)
-        if at < len(self.ids) and self.ids[at] == own:
+        for at in np.flatnonzero(self.labels.rows == own).tolist():
             tied[at >> 6] &= ~(np.uint64(1) << np.uint64(at & 63))
         sure = np.zeros(self.words, np.uint64)
         count = 0
@@ -159,7 +188,7 @@ class Slices:
         for b, plane in enumerate(slices):
             bits = plane[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1)
             values = [v + (int(x) << b) for v, x in zip(values, bits)]
-        return self.ids[rows], values
+        return self.labels.at(rows).names(), values
 
 
 def _bitmap(bits: np.ndarray) -> np.ndarray:
@@ -169,47 +198,50 @@ def _bitmap(bits: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def sliced(ids: np.ndarray, cells: np.ndarray) -> dict:
+def sliced(cells: np.ndarray) -> dict:
     """One index block: for each component its least value and the digits of what is above it."""
     low, size, planes = cells.min(0).tolist(), [], []
     for d, least in enumerate(low):
         above = cells[:, d].astype(np.uint64) - np.uint64(least & (1 << 64) - 1)
         size.append(int(above.max()).bit_length())
         planes += [_bitmap((above >> np.uint64(b) & np.uint64(1)).astype(bool)) for b in range(size[d])]
-    return {"ids": ids.tobytes(), "low": low, "size": size, "planes": b"".join(p.tobytes() for p in planes)}
+    return {"low": low, "size": size, "planes": b"".join(p.tobytes() for p in planes)}
 
 
 def _index_block(row: dict) -> Slices:
-    ids = np.frombuffer(row["ids"], np.int64)
-    planes = np.frombuffer(row["planes"], np.uint64).reshape(-1, (len(ids) + 63) // 64)
-    return Slices(ids, row["low"], row["size"], planes)
+    labels = Labels.read(row)
+    planes = np.frombuffer(row["planes"], np.uint64).reshape(-1, (len(labels.rows) + 63) // 64)
+    return Slices(labels, row["low"], row["size"], planes)
 
 
-def _query_block(ids: np.ndarray, cells: np.ndarray) -> dict:
-    return {"ids": ids.tobytes(), "width": cells.shape[1], "cells": cells.tobytes()}
+def _query_block(cells: np.ndarray) -> dict:
+    return {"width": cells.shape[1], "cells": cells.tobytes()}
 
 
-def _queries(row: dict) -> Iterator[tuple[int, np.ndarray]]:
-    ids = np.frombuffer(row["ids"], np.int64)
-    return zip(ids.tolist(), np.frombuffer(row["cells"], np.int64).reshape(len(ids), row["width"]))
+def _queries(row: dict) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    labels = Labels.read(row)
+    cells = np.frombuffer(row["cells"], np.int64).reshape(len(labels.rows), row["width"])
+    return zip(labels.rows.tolist(), labels.names(), cells)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best other rows of each row that ``is_query`` selects.
 
-    ``vectors`` (id, q) has unique ids (see ``quantised``); ``is_query`` is a condition on ``id``.
-    Scores are integer inner products, missing components count as zero; ties go to the smaller
-    id. A score beyond 64 bits is given as the nearest such number. Fewer than ``k`` other rows:
-    all of them. An empty table gives no rows.
+    ``vectors`` (row, id, q) is what ``quantised`` gives; ``is_query`` is a condition on ``id``.
+    Every row but the query's own is a candidate, also one with the query's id or without an id;
+    each row of a repeated id that ``is_query`` selects asks, and has its ranks. Scores are integer
+    inner products, missing components count as zero; ties go to the smaller id, rows without
+    one come last. A score beyond 64 bits is given as the nearest such number. Fewer than ``k``
+    other rows: all of them. An empty table gives no rows.
     """
     spark = ready(vectors.sparkSession)
     held = written(vectors, "vectors")
     total = held.count()
     kept = held.coalesce(max(1, -(-total // rows)))
     number = F.monotonically_increasing_id()
-    index = kept.mapInArrow(_blocks(rows, sliced), "ids binary, low array<bigint>, size array<bigint>, planes binary")
+    index = kept.mapInArrow(_blocks(rows, sliced), f"{Labels.FIELDS}, low array<bigint>, size array<bigint>, planes binary")
     index = written(index.withColumn("block", number), "index")
-    asked = kept.where(is_query).mapInArrow(_blocks(queries, _query_block), "ids binary, width bigint, cells binary")
+    asked = kept.where(is_query).mapInArrow(_blocks(queries, _query_block), f"{Labels.FIELDS}, width bigint, cells binary")
     asked = written(asked.withColumn("part", number), "queries")
     # each index block meets each query block once: the numbers of the blocks are two short lists
     numbers = [r["part"] for r in asked.select("part").collect()]
@@ -220,22 +252,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, rows: int = ROWS,
     right = asked.withColumn("block", F.explode(F.array(*[F.lit(n).cast("bigint") for n in blocks])))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        columns = ([], [], [])
+        columns = ([], [], [], [])
         if a.num_rows and b.num_rows:
             slices = _index_block(a.to_pylist()[0])
             limit = 1 << 63
-            for own, query in _queries(b.to_pylist()[0]):
+            for own, name, query in _queries(b.to_pylist()[0]):
                 ids, values = slices.top(query, own, k)
                 columns[0].extend([own] * len(ids))
-                columns[1].extend(ids.tolist())
-                columns[2].extend(max(-limit, min(limit - 1, v)) for v in values)
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+                columns[1].extend([name] * len(ids))
+                columns[2].extend(ids)
+                columns[3].extend(max(-limit, min(limit - 1, v)) for v in values)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["own", "query_id", "vec_id", "score"])
 
     best = (
         left.groupBy("block", "part")
         .cogroup(right.groupBy("block", "part"))
-        .applyInArrow(pair, "query_id bigint, vec_id bigint, score bigint")
+        .applyInArrow(pair, "own bigint, query_id bigint, vec_id bigint, score bigint")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("own").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -162,15 +162,16 @@ QUERIES = {
 SQL = {
     "op2_bit_sliced_top_k": """
         with v as (
-            select vec_id, min(list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint))) as q
+            select row_number() over () as r, vec_id,
+                list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as q
             from embeddings
-            where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-            group by vec_id),
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
-            select a.vec_id as query_id, b.vec_id,
+            select a.r, a.vec_id as query_id, b.vec_id,
                 cast(list_inner_product(a.q::double[], b.q::double[]) as bigint) as score
-            from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
-        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+            from v a join v b on a.vec_id % 20 = 0 and a.r <> b.r)
+        select query_id, vec_id, score,
+            cast(row_number() over (partition by r order by score desc, vec_id nulls last) as int) as rank
         from s qualify rank <= 20
     """,
     "op4_licence_dice": licences.sql(),
