@@ -4,7 +4,8 @@ The parts of a text that are compared are its lines, its paragraphs (between bla
 whole text, and windows over its word sequence that find what lies across or inside those, each
 normalised to lower-case words. A part can reach ``dice`` with a template only if their numbers
 of bigrams are near enough, so its size picks the few templates it is compared with. Templates
-are a fixed list and stand in the plan as literals.
+are a fixed list and stand in the plan as literals. Most texts lack the words of every template and are left
+out before anything is split, by a count that can't leave out a match.
 
 A window begins where a template would begin, and ends where it would end, as reckoned from two
 of its bigrams in the text (cut off where the text begins or ends). So words may be put in or
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.binding import let
-from lectern.llm.common import ready
+from lectern.llm.common import ready, written
 
 DICE = 0.8
 
@@ -104,6 +105,11 @@ def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
     return found
 
 
+def sizes_near(m: int, dice: float) -> tuple[int, int]:
+    """Least and greatest number of bigrams with which a part can reach ``dice`` against ``m``; the least is also shared."""
+    return math.ceil(round(m * dice / (2 - dice), 9)), math.floor(round(m * (2 - dice) / dice, 9))
+
+
 def laid_out(templates: dict[str, str], dice: float) -> list[dict]:
     """Per template: its bigrams in order and where each stands first, and what a window must reach."""
     found = []
@@ -113,12 +119,70 @@ def laid_out(templates: dict[str, str], dice: float) -> list[dict]:
         for i, pair in enumerate(zip(tokens, tokens[1:])):
             first.setdefault(" ".join(pair), i)
         m = len(first)
-        least, most = math.ceil(m * dice / (2 - dice)), math.floor(m * (2 - dice) / dice)
+        least, most = sizes_near(m, dice)
         found.append({"licence": name, "rank": rank, "pairs": list(first), "first": list(first.values())}
                      | {"length": len(tokens) - 1, "least": least, "most": most})
     return found
 
 
+def probes(templates: dict[str, str], dice: float) -> list[tuple[int, list[tuple[str, int]]]]:
+    """For each template how many of its bigrams a match may miss, and its words with weights.
+
+    ``dice`` or more with a template of m bigrams needs m * dice / (2 - dice) of them. Each bigram
+    belongs to the longer of its two words; a word that a text lacks costs all that belong to it.
+    Words come longest first, because long words are rarer.
+    """
+    found = []
+    for laid in laid_out(templates, dice):
+        owned: dict[str, int] = {}
+        for pair in laid["pairs"]:
+            owner = max(pair.split(" "), key=lambda w: (len(w), w))
+            owned[owner] = owned.get(owner, 0) + 1
+        missing = len(laid["pairs"]) - laid["least"]
+        found.append((missing, sorted(owned.items(), key=lambda e: (-len(e[0]), e[0]))))
+    return found
+
+
+def heads(weighed: list[tuple[str, int]], missing: int) -> list[str]:
+    """The words at the head of the list that own more bigrams than a match may miss: it has one of them."""
+    found, held = [], 0
+    for word, weight in weighed:
+        if held > missing:
+            break
+        found.append(word)
+        held += weight
+    return found
+
+
+def one_of(found: set[str]) -> str:
+    """A pattern for one of some words between separators; words that begin alike share the letter."""
+    rest: dict[str, list[str]] = {}
+    for word in sorted(found):
+        rest.setdefault(word[0], []).append(word[1:])
+    tails = "|".join(f"{letter}(?:{'|'.join(words)})" for letter, words in rest.items())
+    edge = BREAK[:-1]
+    return f"{edge}(?:{tails}){edge}"
+
+
+def possible(lowered: Column, templates: dict[str, str], dice: float) -> Column:
+    """False only where no part or window of a lower-cased text can reach ``dice`` with a template.
+
+    One pattern looks for the words of which a match has at least one, all templates together.
+    Where it finds any, the words of each template are weighed against what a match may miss.
+    """
+    known = probes(templates, dice)
+    any_template = F.lit(False)
+    for missing, weighed in known:
+        head, lacking = F.lit(False), F.lit(0)
+        for word in heads(weighed, missing):
+            head = head | lowered.contains(word)
+        for word, weight in weighed:
+            lacking = lacking + F.when(lowered.contains(word), 0).otherwise(weight)
+        any_template = any_template | (head & (lacking <= missing))
+    framed = F.concat(F.lit(" "), lowered, F.lit(" "))
+    return framed.rlike(one_of({w for missing, weighed in known for w in heads(weighed, missing)})) & any_template
+
+
 def find_licences(
     docs: DataFrame, dice: float = DICE, templates: dict[str, str] = TEMPLATES, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -131,10 +195,10 @@ def find_licences(
     half of them for another. Of the templates with which a
     part reaches ``dice`` the best counts, ties to the name that sorts last. Parts may hold one
     another, and each that matches is a row. Null, empty and one-word texts have no rows; repeated
-    rows have theirs each. Other columns of ``docs`` are not read. Nothing is shuffled.
+    rows have theirs each. Other columns of ``docs`` are not read. Nothing is shuffled. The texts
+    that can match at all (see ``possible``) are written to the shared folder when this is called.
     """
     sets = template_sets(templates)
-    low, high = dice / (2 - dice), (2 - dice) / dice
     sizes = [len(b) for b in sets.values()]
     body = F.col("text")
     lines = F.split(body, "\n")
@@ -150,19 +214,22 @@ def find_licences(
         F.when(body.rlike(blank), parts("paragraph", F.split(body, blank))).otherwise(none),
         F.when(many, parts("text", F.array(body))).otherwise(none),
     )
-    rows = ready(docs.sparkSession) and docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    ready(docs.sparkSession)
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).where(F.col("text").isNotNull())
+    lowered = rows.select("key", "text", F.explode(F.array(F.lower("text"))).alias("lowered"))
+    rows = written(lowered.where(possible(F.col("lowered"), templates, dice)).drop("lowered"), "texts")
     # exploded, an array is computed once however often it is used above
     split = rows.select("key", F.explode(every).alias("p")).select("key", "p.part", "p.number", "p.body")
     pairs = split.select("key", "part", "number", F.explode(F.array(bigrams(words(F.col("body"))))).alias("pairs"))
     sized = pairs.select("key", "part", "number", "pairs", F.size("pairs").alias("n_bigrams")).where(
-        F.col("n_bigrams").between(math.ceil(min(sizes) * low), math.floor(max(sizes) * high))
+        F.col("n_bigrams").between(sizes_near(min(sizes), dice)[0], sizes_near(max(sizes), dice)[1])
     )
 
     def best_of(pairs: Column, n_bigrams: Column) -> Column:
         def against(name: str, held: list[str]) -> Column:
             shared = F.size(F.array_intersect(pairs, F.array(*map(F.lit, held))))
             value = 2.0 * shared / (n_bigrams + len(held))
-            near = n_bigrams.between(math.ceil(len(held) * low), math.floor(len(held) * high))
+            near = n_bigrams.between(*sizes_near(len(held), dice))
             return F.when(near, F.struct(value.alias("dice"), F.lit(name).alias("licence")))
 
         return F.array_max(F.array(*[against(name, held) for name, held in sets.items()]))
@@ -334,7 +401,8 @@ def sql(templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> str:
         m as (
             select doc_id, part, number, len(g.b) as n_bigrams, licence,
                 2.0::double * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) as dice
-            from g join t on len(g.b) between ceil(len(t.b) * {dice / (2 - dice)!r}) and floor(len(t.b) * {(2 - dice) / dice!r}))
+            from g join t on len(g.b) between ceil(round(len(t.b) * {dice / (2 - dice)!r}, 9))
+                and floor(round(len(t.b) * {(2 - dice) / dice!r}, 9)))
         select doc_id, part, cast(number as int) as number, cast(n_bigrams as int) as n_bigrams, licence, dice
         from m where dice >= {dice}
         qualify row_number() over (partition by doc_id, part, number order by dice desc, licence desc) = 1
