@@ -40,6 +40,11 @@ INLINE = frozenset(
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 NEVER = RAW | frozenset("head nav footer aside form button select svg canvas object dialog menu audio video".split())
 CONTENT = frozenset({"article", "main"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that lay out running text; where no labelled page has one, it costs nothing.
+PLAIN = (INLINE - {"a"}) | frozenset(
+    "table caption colgroup col thead tbody tfoot tr td th pre blockquote figure figcaption dl dt dd".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 #: Words of class or id that mark what is not content …
 HINTS = frozenset(
@@ -49,6 +54,8 @@ HINTS = frozenset(
     " commentlist disqus reply replies respond share sharing social related recommended recommendations trending"
     " pagination pager login search hidden toolbar skip".split()
 )
+#: Of these the ones that mark a section of an article by its id; other ids there are names to link to.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: … unless the element also says that it is.
 HOLDERS = frozenset("content main article post entry story body page wrapper wrap container layout has with no".split())
 
@@ -66,7 +73,10 @@ DEFAULT = Weights({}, {}, 1.0)
 
 
 def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not content; ``inside``: it stands in an article or main element."""
+    """Whether an element is not content; ``inside``: it stands in an article or main element.
+
+    The id of a heading says nothing, that of a section inside only whether readers comment there.
+    """
     if name in NEVER:
         return True
     if name in ("html", "body", *CONTENT):
@@ -87,6 +97,10 @@ def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
             hints = {h.lower() for h in HINT.findall(value)}
             if inside:
                 hints -= {"header"}
+            if key == "id" and name in HEADINGS:
+                continue
+            if key == "id" and inside and name == "section":
+                hints &= READERS
             if hints & HINTS and not hints & HOLDERS:
                 return True
     return False
@@ -100,14 +114,17 @@ def pieces(page: str) -> list[tuple[str, str, str, int, bool]]:
     ``inside`` tells whether an article or main element is open.
     """
     out: list[tuple[str, str, str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
+    # name, whether it is dropped, and the place of the innermost block element (-1: none)
+    stack: list[tuple[str, bool, int]] = []
+    opened: Counter[str] = Counter()
     dropping = content = block = at = 0
 
     def text(end: int) -> None:
         part = page[at:end]
         if part and not part.isspace():
-            context = next((n for n, _ in reversed(stack) if n not in INLINE), "body")
-            if any(n == "a" for n, _ in stack[-4:]):
+            holder = stack[-1][2] if stack else -1
+            context = stack[holder][0] if holder >= 0 else "body"
+            if any(e[0] == "a" for e in stack[-4:]):
                 context += " a"
             out.append(("drop" if dropping else "text", context, part, block, content > 0))
         elif part:
@@ -115,7 +132,8 @@ def pieces(page: str) -> list[tuple[str, str, str, int, bool]]:
 
     def pop(size: int) -> None:
         nonlocal dropping, content
-        for name, dropped in stack[size:]:
+        for name, dropped, _ in stack[size:]:
+            opened[name] -= 1
             dropping -= dropped
             content -= name in CONTENT
         del stack[size:]
@@ -131,17 +149,14 @@ def pieces(page: str) -> list[tuple[str, str, str, int, bool]]:
         elif name == "br":
             out.append(("space", "", " ", block, content > 0))
         if m[1]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             out.append(("tag", name, "", block, content > 0))
-            if place >= 0:
-                pop(place)
+            if opened[name]:  # what lies above it goes too, so the search costs what is removed
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name not in INLINE:  # a new block ends an open paragraph
-            place = len(stack)
-            while place and stack[place - 1][0] in INLINE:
-                place -= 1
-            if place and (stack[place - 1][0] == "p" or stack[place - 1][0] == name == "li"):
-                pop(place - 1)
+            holder = stack[-1][2] if stack else -1
+            if holder >= 0 and (stack[holder][0] == "p" or stack[holder][0] == name == "li"):
+                pop(holder)
         attributes = m[3] or ""
         if name == "body":
             pop(0)
@@ -152,7 +167,9 @@ def pieces(page: str) -> list[tuple[str, str, str, int, bool]]:
             continue
         if name not in VOID and not attributes.endswith("/>"):
             dropped = _boilerplate(name, attributes, content > 0)
-            stack.append((name, dropped))
+            holder = stack[-1][2] if stack else -1
+            stack.append((name, dropped, holder if name in INLINE else len(stack)))
+            opened[name] += 1
             dropping += dropped
             content += name in CONTENT
         out.append(("tag", name, "", block, content > 0))
@@ -171,7 +188,7 @@ def best_run(parts: list, weights: Weights) -> tuple[int, int]:
         if kind == "text":
             total += len(text.split()) * weights.words.get(name, 0.5)
         elif kind == "tag":
-            total -= weights.scale * (1 - weights.tags.get(name, 0.5))
+            total -= weights.scale * (1 - weights.tags.get(name, 1.0 if name in PLAIN else 0.5))
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -357,6 +358,31 @@ def test_main_text(spark):
     assert content_region.extract(pages.limit(0), content_region.DEFAULT).count() == 0
 
 
+def test_main_text_keeps_tables_code_and_slugs():
+    """Weights of pages without tables or code, all scales."""
+    rows = "".join(f"<tr><td>{i}</td><td><b>v{i}</b></td></tr>" for i in range(30))
+    cells = "\n".join(f"{i}\nv{i}" for i in range(30))
+    code = "".join(f"<span class='k'>x{i}</span> " for i in range(60))
+    bodies = {
+        f"<p>First of all.</p><table>{rows}</table><p>Last words.</p>": f"First of all.\n{cells}\nLast words.",
+        f"<p>Look here.</p><pre><code>{code}</code></pre><p>End.</p>": f"Look here.\n{' '.join(f'x{i}' for i in range(60))}\nEnd.",
+        "<h2 id='search'>Search</h2><p>How to look.</p><section id='menu'><h2 id='comments'>Menu</h2><p>What to eat.</p></section>"
+        "<section id='comments'><p>First!</p></section>": "Search\nHow to look.\nMenu\nWhat to eat.",
+    }
+    for scale in content_region.SCALES:
+        weights = content_region.Weights(
+            {"p": 0.97, "h1": 0.9, "h2": 0.9, "li a": 0.02, "footer": 0.01},
+            {"p": 0.95, "h1": 0.9, "h2": 0.95, "section": 0.9, "article": 0.99, "nav": 0.01, "ul": 0.05, "li": 0.05, "footer": 0.01, "body": 0.01},
+            scale,
+        )
+        for body, want in bodies.items():
+            assert content_region.main_text(page(f"<article>{body}</article>"), weights) == want
+    for deep in ("<b>x" * 40_000, "<b>x</i>" * 40_000, "<b>" * 20_000 + "<div>x</div>" * 20_000):
+        begin = time.process_time()
+        content_region.main_text(deep, content_region.DEFAULT)
+        assert time.process_time() - begin < 5
+
+
 def test_best_run_is_the_best_of_all():
     rng = random.Random(8)
     weights = content_region.Weights({"p": 0.9, "li": 0.1}, {"p": 0.8, "li": 0.0}, 1.5)
