@@ -23,8 +23,8 @@ from lectern.llm.common import ready, slices, written
 ORDER = 4
 #: Training documents of a language: those with the smallest hash of their id.
 SAMPLE = 400
-#: Contexts kept of a language, the most frequent ones; this bounds the broadcast model.
-CONTEXTS = 8192
+#: Contexts whose code lengths are worked out at a time.
+ROWS = 2048
 #: Bytes of a text that one lane reads.
 LANE = 512
 
@@ -75,14 +75,14 @@ def _grams(rows: DataFrame, order: int) -> DataFrame:
     return found.groupBy("lang", "depth", "context", "byte").agg(F.sum("n").alias("n"))
 
 
-def _compile(rows: list, symbol: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The automaton of one language: flat ``step`` (already times ``width``) and ``cost``."""
-    names = sorted({(r["depth"], r["context"]) for r in rows} | {(0, 0)})
+def _compile(grams: list[tuple], symbol: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton of one language from (depth, context, byte, n): flat ``step`` (already times ``width``) and ``cost``."""
+    names = sorted({(d, c) for d, c, _, _ in grams} | {(0, 0)})
     place = {c: i for i, c in enumerate(names)}
     depth = np.array([d for d, _ in names])
     counts = np.zeros((len(names), width))
-    for r in rows:
-        counts[place[r["depth"], r["context"]], symbol[r["byte"]]] += r["n"]
+    for d, c, byte, n in grams:
+        counts[place[d, c], symbol[byte]] += n
     parent = np.array([place.get((d - 1, c & ((1 << 8 * (d - 1)) - 1)), 0) if d else 0 for d, c in names])
 
     step = np.zeros((len(names), width), np.int32)
@@ -112,17 +112,21 @@ def _compile(rows: list, symbol: np.ndarray, width: int) -> tuple[np.ndarray, np
 
     cost = np.zeros((len(names), width), np.float32)
     for d in np.unique(depth):
-        at = np.flatnonzero(depth == d)
-        cost[at] = lengths(at, np.zeros((len(at), width), bool), int(d))
+        level = np.flatnonzero(depth == d)
+        for first in range(0, len(level), ROWS):
+            at = level[first : first + ROWS]
+            cost[at] = lengths(at, np.zeros((len(at), width), bool), int(d))
     cost[:, width - 1] = 0.0
     return (step * width).astype(np.int32).ravel(), cost.ravel()
 
 
-def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, order: int = ORDER, contexts: int = CONTEXTS) -> Model:
+def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, order: int = ORDER) -> Model:
     """Fit on ``sample`` documents of each non-null ``lang`` among those ``allowed``.
 
-    The ids with the smallest hash are chosen; counts are summed by Spark and the ``contexts``
-    most frequent contexts of a language reach the driver. Null texts teach nothing.
+    The ids with the smallest hash are chosen, and every context of their whole texts is kept.
+    Spark sums the counts and compiles each language in a task of its own; the driver gets the
+    automata, (contexts x distinct bytes x 8) bytes a language, which the sample bounds. Null texts
+    teach nothing; without rows no language is learned.
     """
     ready(docs.sparkSession)
     first = Window.partitionBy("lang").orderBy("hash", "doc_id")
@@ -136,24 +140,28 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, order: int = O
     )
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     grams = written(_grams(rows, order), "ppm")
-    most = Window.partitionBy("lang").orderBy(F.desc("total"), "depth", "context")
-    kept = (
-        grams.groupBy("lang", "depth", "context")
-        .agg(F.sum("n").alias("total"))
-        .withColumn("_n", F.row_number().over(most))
-        .where(F.col("_n") <= contexts)
-        .select("lang", "depth", "context")
-    )
-    by: dict[str, list] = {}
-    for r in grams.join(kept, ["lang", "depth", "context"]).collect():
-        by.setdefault(r["lang"], []).append(r)
-    seen = sorted({r["byte"] for rows in by.values() for r in rows})
+    seen = sorted(r["byte"] for r in grams.select("byte").distinct().collect())
     # bytes no language knows share one symbol that never has a count; the last is "before the text"
     symbol = np.full(256, len(seen), np.int32)
     symbol[seen] = np.arange(len(seen))
     width = len(seen) + 2
-    made = [_compile(by[lang], symbol, width) for lang in sorted(by)]
-    return Model(tuple(sorted(by)), symbol, width, tuple(m[0] for m in made), tuple(m[1] for m in made), order)
+
+    def compiled(part: pa.Table) -> pa.Table:
+        columns = [part.column(c).to_pylist() for c in ("depth", "context", "byte", "n")]
+        step, cost = _compile(list(zip(*columns)), symbol, width)
+        values = {"lang": [part.column("lang")[0].as_py()], "step": [step.tobytes()], "cost": [cost.tobytes()]}
+        return pa.table(values, pa.schema([("lang", pa.string()), ("step", pa.binary()), ("cost", pa.binary())]))
+
+    made = grams.groupBy("lang").applyInArrow(compiled, "lang string, step binary, cost binary")
+    made = sorted(written(made, "ppm-automata").toLocalIterator(), key=lambda r: r["lang"])
+    return Model(
+        tuple(r["lang"] for r in made),
+        symbol,
+        width,
+        tuple(np.frombuffer(r["step"], np.int32) for r in made),
+        tuple(np.frombuffer(r["cost"], np.float32) for r in made),
+        order,
+    )
 
 
 def code_lengths(model: Model, texts: list[bytes], lane: int = LANE) -> np.ndarray:
@@ -194,7 +202,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the share of the winner if code lengths are read as probabilities. A text
     that is null or has no letter is ``und`` with score 0, and so is everything if no language
-    was learned. Equal code lengths go to the language that sorts first.
+    was learned. Equal code lengths go to the language that sorts first. Repeated rows stay rows of
+    their own, an empty table gives no row, and other columns are not read.
     """
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
