@@ -50,6 +50,16 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key(df: DataFrame) -> Column:
+    """Two 64-bit hashes of all columns as text: rows have the same key if they are equal in every column.
+
+    A null is told from a value that stands in a neighbouring column by the null flags beside it.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns += [c.isNull() for c in columns]
+    return F.concat_ws(":", F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about SLICE_BYTES; a longer text stands alone."""
     for batch in batches:

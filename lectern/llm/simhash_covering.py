@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ready, slices, written
+from lectern.llm.common import ready, row_key, slices, written
 
 RADIUS = 3
 WORDS = 3
@@ -210,16 +210,23 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component: one of each. Columns are kept.
+    """One row of each component; columns are kept.
 
-    Rows that repeat such a doc_id become one, the largest by (text, lang, source, n_chars);
-    the aggregate combines them before its shuffle, which the join then reuses. Rows without a
-    doc_id cannot be named by a component and are kept.
+    Rows are told apart by their whole content (``row_key``), not by doc_id. The one that stays has the
+    smallest doc_id of its component (null last; ties: the smaller key); of rows equal in every
+    column one stays. So different texts under one doc_id are weighed each by itself, and copies
+    without a doc_id are copies like any other. An empty table stays empty. What is joined back are
+    the keys of rows that go, which Spark broadcasts while they are few.
     """
-    named = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    single = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("_row"))
-    kept = single.join(named, "doc_id", "left_semi").select(
-        *[F.col("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in docs.columns]
-    )
-    return kept.union(docs.where("doc_id is null"))
+    ready(docs.sparkSession)
+    tagged = docs.withColumn("_key", row_key(docs))
+    name = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    found = near_duplicates(tagged.select(name.alias("_name"), "text"), "_name", "text")
+    rows = written(found.select(F.col("_name.key").alias("_key"), F.col("component_id.key").alias("first")), "simhash-rows")
+    gone = written(rows.where("_key <> first").select("_key").distinct(), "simhash-gone")
+    again = rows.where("_key = first").groupBy("_key").count().where("count > 1").select("_key")
+    again = written(again, "simhash-again")
+    kept = tagged.join(gone, "_key", "left_anti")
+    if not again.isEmpty():  # equal rows: only these are brought together, combined before the shuffle
+        kept = kept.join(again, "_key", "left_anti").union(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)

@@ -206,6 +206,34 @@ def test_near_duplicates(spark, odd):
     assert simhash_covering.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stages_weigh_rows_not_ids(spark):
+    """Different texts of one doc_id, copies without a doc_id, equal rows, a value beside a null, an empty table."""
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("dar", "fen", "gol", "hin", "jup", "kes", "lim")]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(6)]
+    item = " ".join(rng.choices([f"q{w}" for w in words], k=30))
+    rows = [
+        (1, texts[0], "en", "s"), (1, texts[1], "en", "s"), (None, texts[2], "en", "s"), (None, texts[2], "de", "s"),
+        (7, texts[3], "en", "s"), (7, texts[3], "en", "s"), (3, texts[4], None, "x"), (3, texts[4], "x", None),
+        (None, texts[5], "en", "s"), (9, texts[5], "en", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = simhash_covering.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r["text"] for r in got)) == sorted(texts)
+    by = {r["text"]: r["doc_id"] for r in got}
+    assert [by[t] for t in texts] == [1, 1, None, 7, 3, 9]
+    assert simhash_covering.keep_one(docs.limit(0)).count() == 0
+
+    leaky = f"{texts[0]} {item} {texts[1]}"
+    docs = spark.createDataFrame([(1, leaky), (1, texts[2]), (None, leaky), (None, texts[3]), (4, None)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(0, item), (1, " ".join(rng.choices([f"z{w}" for w in words], k=25)))], "item_id bigint, text string")
+    left = decontamination.keep_uncontaminated(docs, benchmark).collect()
+    assert sorted(left, key=str) == sorted([(1, texts[2]), (None, texts[3]), (4, None)], key=str)
+    assert decontamination.keep_uncontaminated(docs.limit(0), benchmark).count() == 0
+
+
 def test_large_buckets_lose_no_connection(spark):
     rng = random.Random(9)
     fps = set()
@@ -430,6 +458,26 @@ def test_contamination(spark, odd):
     assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_items_of_one_word_and_many_blocks(spark):
+    """An item of a single word is found, and 600 items (three blocks) are read like few."""
+    rng = random.Random(13)
+    made = ["".join(rng.choices("bcdfgklmnprst", k=3)) + str(i) for i in range(9000)]
+    items = [" ".join(["the", "of", *made[15 * i : 15 * i + 15]]) for i in range(599)] + ["zyzzyva"]
+    texts, want = [], set()
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        if i % 4 == 0:
+            words[50:50] = items[i * 5].split()
+            want.add((i, i * 5))
+        if i % 40 == 1:
+            words[50:50] = ["Zyzzyva"]
+            want.add((i, 599))
+        texts.append(" ".join(words))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.contaminated(documents(spark, texts), benchmark)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
