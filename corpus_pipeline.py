@@ -27,12 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest doc_id."""
+    """One row of each component of near duplicates, the one with the smallest doc_id (null last)."""
     return simhash_covering.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Rows in whose text no benchmark item is found."""
     return decontamination.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
