@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,23 @@ LANE = 512
 
 @dataclass(frozen=True)
 class Model:
-    """Symbols are bytes mapped by ``symbol``; the last symbol stands for "before the text"."""
+    """Symbols are bytes mapped by ``symbol``; the last symbol stands for "before the text".
+
+    ``grams`` are (depth, context, byte, n) arrays of a language. Only they travel; a worker makes
+    the automata from them once.
+    """
 
     languages: tuple[str, ...]
     symbol: np.ndarray
     width: int
-    steps: tuple[np.ndarray, ...]
-    costs: tuple[np.ndarray, ...]
+    grams: tuple[tuple[np.ndarray, ...], ...]
     order: int
 
+    @cached_property
+    def automata(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Flat ``step`` and ``cost`` of each language."""
+        return [_compile(list(zip(*(a.tolist() for a in g))), self.symbol, self.width) for g in self.grams]
+
 
 def _grams(rows: DataFrame, order: int) -> DataFrame:
     """(lang, depth, context, byte, n), combined within a slice before the shuffle."""
@@ -124,9 +133,8 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, order: int = O
     """Fit on ``sample`` documents of each non-null ``lang`` among those ``allowed``.
 
     The ids with the smallest hash are chosen, and every context of their whole texts is kept.
-    Spark sums the counts and compiles each language in a task of its own; the driver gets the
-    automata, (contexts x distinct bytes x 8) bytes a language, which the sample bounds. Null texts
-    teach nothing; without rows no language is learned.
+    Spark sums the counts; the driver gets the distinct (context, byte) pairs, 14 bytes each, which
+    the sample bounds. Null texts teach nothing; without rows no language is learned.
     """
     ready(docs.sparkSession)
     first = Window.partitionBy("lang").orderBy("hash", "doc_id")
@@ -140,28 +148,17 @@ def train(docs: DataFrame, allowed: Column, sample: int = SAMPLE, order: int = O
     )
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")
     grams = written(_grams(rows, order), "ppm")
-    seen = sorted(r["byte"] for r in grams.select("byte").distinct().collect())
+    found = grams.orderBy("lang", "depth", "context", "byte").toArrow()
+    lang = np.array(found.column("lang").to_pylist(), dtype=object)
+    kinds = (("depth", np.int8), ("context", np.uint32 if order <= 4 else np.int64), ("byte", np.uint8), ("n", np.int64))
+    columns = [found.column(name).to_numpy().astype(kind) for name, kind in kinds]
+    seen = np.unique(columns[2])
     # bytes no language knows share one symbol that never has a count; the last is "before the text"
     symbol = np.full(256, len(seen), np.int32)
     symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 2
-
-    def compiled(part: pa.Table) -> pa.Table:
-        columns = [part.column(c).to_pylist() for c in ("depth", "context", "byte", "n")]
-        step, cost = _compile(list(zip(*columns)), symbol, width)
-        values = {"lang": [part.column("lang")[0].as_py()], "step": [step.tobytes()], "cost": [cost.tobytes()]}
-        return pa.table(values, pa.schema([("lang", pa.string()), ("step", pa.binary()), ("cost", pa.binary())]))
-
-    made = grams.groupBy("lang").applyInArrow(compiled, "lang string, step binary, cost binary")
-    made = sorted(written(made, "ppm-automata").toLocalIterator(), key=lambda r: r["lang"])
-    return Model(
-        tuple(r["lang"] for r in made),
-        symbol,
-        width,
-        tuple(np.frombuffer(r["step"], np.int32) for r in made),
-        tuple(np.frombuffer(r["cost"], np.float32) for r in made),
-        order,
-    )
+    names = sorted(set(lang.tolist()))
+    split = tuple(tuple(c[lang == name] for c in columns) for name in names)
+    return Model(tuple(names), symbol, len(seen) + 2, split, order)
 
 
 def code_lengths(model: Model, texts: list[bytes], lane: int = LANE) -> np.ndarray:
@@ -184,7 +181,7 @@ def code_lengths(model: Model, texts: list[bytes], lane: int = LANE) -> np.ndarr
         columns[row, order - before : order + n] = data[i][s - before : s + n]
     columns = np.ascontiguousarray(columns.T)
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    for k, (step, cost) in enumerate(zip(model.steps, model.costs)):
+    for k, (step, cost) in enumerate(model.automata):
         state = np.zeros(len(spans), np.int32)
         spent = np.zeros(len(spans))
         for t in range(order):
