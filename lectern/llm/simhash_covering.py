@@ -215,8 +215,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by their whole content (``row_key``), not by doc_id. The one that stays has the
     smallest doc_id of its component (null last; ties: the smaller key); of rows equal in every
     column one stays. So different texts under one doc_id are weighed each by itself, and copies
-    without a doc_id are copies like any other. An empty table stays empty. What is joined back are
-    the keys of rows that go, which Spark broadcasts while they are few.
+    without a doc_id are copies like any other. An empty table stays empty. The rows meet the keys
+    that go by a shuffle on the key, at every size: the keys grow with the copies.
     """
     ready(docs.sparkSession)
     tagged = docs.withColumn("_key", row_key(docs))
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = written(rows.where("_key <> first").select("_key").distinct(), "simhash-gone")
     again = rows.where("_key = first").groupBy("_key").count().where("count > 1").select("_key")
     again = written(again, "simhash-again")
-    kept = tagged.join(gone, "_key", "left_anti")
+    kept = tagged.join(gone.hint("shuffle_hash"), "_key", "left_anti")
     if not again.isEmpty():  # equal rows: only these are brought together, combined before the shuffle
         kept = kept.join(again, "_key", "left_anti").union(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
     return kept.select(*docs.columns)
