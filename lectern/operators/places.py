@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import fixed
 from lectern.functions.geo import haversine
 from lectern.functions.text import clamp, maps_link, web_trim
-from lectern.operators import pivots
+from lectern.operators import boxes
+
+#: The greatest finite number.
+MOST = sys.float_info.max
 
 RAW_PLACE = (
     "struct<id: string, displayName: struct<text: string>, formattedAddress: string,"
@@ -63,24 +68,23 @@ def keep(places: DataFrame, exclusion: str = fixed.PLACE_EXCLUSION) -> DataFrame
 
 
 def nearest(
-    centres: DataFrame, places: DataFrame, k: int = fixed.MAX_PLACES, block_bytes: int = pivots.STORE_BYTES
+    centres: DataFrame, places: DataFrame, k: int = fixed.MAX_PLACES, block_bytes: int = boxes.BLOCK_BYTES
 ) -> DataFrame:
     """K4: ``(centre_id, pos, distance, rank)``: the k nearest places of each centre.
 
-    Places lie in cells around pivots, cells in rings of bounded size; a centre meets the rings that may
-    hold one of its k nearest, none beyond. A search radius biases a service's ranking but
+    Places lie in blocks of neighbours; a centre meets the blocks that may hold one of its k nearest,
+    none beyond. A search radius biases a service's ranking but
     excludes nothing, so none is applied. Ties (to a micrometre) go to the lower ``pos``. Places or
     centres without a position take no part.
     """
-    point = F.array(F.col("lat").cast("double"), F.col("lng").cast("double")).alias("v")
-    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    hits = pivots.nearest(
-        centres.where(placed).select(F.col("centre_id").alias("query_id"), point),
-        places.where(placed).select("pos", point),
+    point = [F.col(x).cast("double").alias(x) for x in ("lat", "lng")]
+    # a number beyond any other, or none, is no position
+    placed = F.col("lat").between(-MOST, MOST) & F.col("lng").between(-MOST, MOST)
+    hits = boxes.nearest(
+        centres.select(F.col("centre_id").alias("query_id"), *point).where(placed),
+        places.select("pos", *point).where(placed),
         k,
-        pivots.EARTH,
-        store_bytes=block_bytes,
-        query_bytes=block_bytes // 8,
+        block_bytes,
     )
     return hits.select(
         F.col("query_id").alias("centre_id"), "pos", F.round(-F.col("score"), 6).alias("distance"), "rank"
