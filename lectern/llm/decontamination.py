@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +44,12 @@ SPARE = 32
 #: Share of all items above which a word is no content word; content words an item needs.
 COMMON = 0.1
 CONTENT = 8
-#: Passages the latent space is fitted on: those with the smallest hashes (the index's sample).
-SAMPLE = 100_000
-#: Tasks that multiply the fitted sample by a basis.
-TASKS = 6
+#: Terms whose sums are added together.
+BAND = 512
 #: Passages that are multiplied with a basis at a time; few enough to stay in a core's cache.
 ROWS = 64
 #: Terms whose passages are laid out at a time; a longer document stands alone.
 PART = 1 << 17
-#: An odd factor that mixes the hash of a document with the number of a passage.
-MIX = 0x9E3779B97F4A7C15
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -227,25 +224,38 @@ def _passage_stats(sequences: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return np.array([by.get(t, 0) for t in range(width)], float), by.get(-1, 0)
 
 
-def _product(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A' A basis for the normalised TF-IDF rows A: ``TASKS`` partial sums, added on the driver."""
-    shared = rows.sparkSession.sparkContext.broadcast((idf, basis))
+def _product(sequences: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A' A basis for the normalised TF-IDF rows A of all passages.
+
+    One partial sum for each core; these are added by bands of ``BAND`` terms in Spark, and the driver
+    holds the sum alone.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast((idf, basis))
+    rank = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = shared.value
         out = np.zeros(basis.shape)
-        for batch in batches:
-            entry = np.repeat(np.arange(len(batch)), batch.column("term").value_lengths().to_numpy())
-            term = batch.column("term").flatten().to_numpy()
-            weight = batch.column("tf").flatten().to_numpy() * idf[term]
-            for _, terms, part in _dense(entry, term, weight, len(idf)):
+        for batch in _parts(batches):
+            _, entry, term, tf = passages(batch)
+            for _, terms, part in _dense(entry, term, tf * idf[term], len(idf)):
                 part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
                 out[terms] += part.T @ (part @ basis[terms])
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
-
+        task = TaskContext.get().partitionId()
+        for band in range(0, len(out), BAND):
+            columns = [pa.array([band], pa.int64()), pa.array([task], pa.int64()), pa.array([out[band : band + BAND].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["band", "task", "part"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        in_order = parts.sort_by("task")  # sums of doubles differ with the order of their terms
+        total = sum(np.frombuffer(p.as_py()) for p in in_order.column("part"))
+        return pa.table({"band": in_order.column("band").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    tasks = sequences.sparkSession.sparkContext.defaultParallelism
+    partial = sequences.select("terms", "places").coalesce(tasks).mapInArrow(run, "band bigint, task bigint, part binary")
     summed = np.zeros(basis.shape)
-    for r in rows.coalesce(TASKS).mapInArrow(run, "part binary").toLocalIterator():
-        summed += np.frombuffer(r["part"]).reshape(basis.shape)
+    for r in partial.groupBy("band").applyInArrow(add, "band bigint, part binary").collect():
+        summed[r["band"] : r["band"] + BAND] = np.frombuffer(r["part"]).reshape(-1, rank)
     return summed
 
 
@@ -257,39 +267,21 @@ def _item_rows(items: Items, idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def latent_space(sequences: DataFrame, items: Items, sample: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(sequences: DataFrame, items: Items, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """idf and the leading right singular vectors (terms x dimensions) of items and passages.
 
-    idf counts the passages of all documents. The vectors are fitted on ``sample`` passages, by
-    the hash of document and passage, and on the items, whose rows weigh as much as the sample.
+    Both come from the passages of all documents, none left out; the items' rows weigh as much as
+    all passages together.
     """
     width = len(items.terms)
     held, total = _passage_stats(sequences, width)
     idf = np.log((1 + total) / (1 + held)) + 1e-6
-    share = min(1.0, sample / max(1, total))
-    bound = int(share * (1 << 32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            columns = ([], [])
-            hashes = batch.column("hash").to_numpy().view(np.uint64)
-            (row, local), entry, term, tf = passages(batch)
-            mixed = (local.astype(np.uint64) * np.uint64(MIX) ^ hashes[row]) * np.uint64(MIX) >> np.uint64(32)
-            for i in np.flatnonzero(mixed < bound):
-                low, high = np.searchsorted(entry, [i, i + 1])
-                columns[0].append(term[low:high])
-                columns[1].append(tf[low:high])
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, lists) for c in columns], ["term", "tf"])
-
-    hashed = sequences.select("terms", "places", F.xxhash64("doc_id").alias("hash"))
-    fitted = written(hashed.mapInArrow(run, "term array<bigint>, tf array<bigint>"), "passages")
     own = _item_rows(items, idf)
-    weight = max(1.0, min(sample, total)) / max(1, len(own))
+    weight = max(1.0, total) / max(1, len(own))
     rank = min(width, len(own) + SPARE)
 
     def multiply(basis):
-        return _product(fitted, idf, basis) + weight * (own.T @ (own @ basis))
+        return _product(sequences, idf, basis) + weight * (own.T @ (own @ basis))
 
     basis = np.linalg.qr(multiply(np.random.default_rng(seed).standard_normal((width, rank))))[0]
     image = multiply(basis)

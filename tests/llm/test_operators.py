@@ -641,3 +641,21 @@ def test_licence_words_leave_out_no_match(spark):
     got = [r["p"] for r in documents(spark, texts).select("doc_id", condition.alias("p")).orderBy("doc_id").collect()]
     assert all(g for g, s in zip(got, sure) if s) and 100 < sum(sure) < len(sure)
     assert not documents(spark, ["plain prose of the house or at sea", ""]).where(condition).count()
+
+
+def test_latent_space_is_fitted_on_every_passage(spark):
+    rng = np.random.default_rng(2)
+    width, rows = 20, [(i, sorted(rng.integers(0, 300, 40).tolist())) for i in range(30)]
+    rows = [(i, [int(t) for t in rng.integers(0, width, len(places))], places) for i, places in rows]
+    sequences = spark.createDataFrame(rows, "doc_id bigint, terms array<int>, places array<int>").repartition(5)
+    idf = rng.uniform(1, 2, width)
+    want = np.zeros((width, width))
+    for _, terms, places in rows:
+        for p in range(300 // 32 + 1):
+            row = np.zeros(width)
+            for t, at in zip(terms, places):
+                row[t] += idf[t] * (p * 32 <= at < p * 32 + 64)
+            if row.any():
+                row /= np.linalg.norm(row)
+                want += np.outer(row, row)
+    assert np.allclose(decontamination._product(sequences, idf, np.eye(width)), want)
