@@ -8,9 +8,12 @@ chapters and passages leave their text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern import fixed
 from lectern.functions.binding import let
@@ -22,9 +25,11 @@ from lectern.functions.text import (
     strip_asterisks,
     strip_noise,
 )
+from lectern.session import prepare
 
-NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
+#: Characters of documents whose chunks leave a task together.
+CHUNK_CHARS = 4 << 20
 UPPER, LOWER = "A-ZÁÉÍÓÚÑ", "a-záéíóúñ"
 DIM = "ord int, name string, abbr string, header string, chapters int, kind string"
 
@@ -39,23 +44,41 @@ def book_dimension(spark: SparkSession, books: list[tuple[str, str, int]] | None
     return spark.createDataFrame(rows, DIM)
 
 
-def _header_patterns(header: str) -> tuple[str, str]:
-    """Patterns of a header followed by a paragraph break, and of a header anywhere.
+def _header_finder(header: str) -> Callable[[str, int], int]:
+    """The function ``(text, last)`` to where a header begins behind ``last``, or -1.
 
-    Both need a character in front: a position must lie past the previous one. The break is
-    looked for behind the full header length even where only its bare suffix was found.
+    A header followed by a paragraph break goes before a header anywhere; a numbered one may stand
+    without its number. A position must lie past the previous one, so a character is needed in
+    front. The break is looked for behind the full header length even where only its bare
+    suffix was found.
     """
     m = re.match(r"(\d)\s+(.*)", header, re.S)
-    if m:
-        rest = re.escape(m.group(2))
-        body = f"(?:{m.group(1)}{RAW_SPACE}{{0,80}}{rest}|{rest}){NOT_BEFORE_WORD}"
-        begins = f"(?=[{m.group(1)}{header[2]}])"
-    else:
-        body = re.escape(header) + NOT_BEFORE_WORD
-        begins = f"(?={header[0]})"
-    before = rf"{begins}(?<=[\s\S]){NOT_AFTER_WORD}"
-    broken = rf"(?=[\s\S]{{{len(header)}}}{RAW_SPACE}{{0,199}}\n)"
-    return f"{before}{broken}{body}", f"{before}{body}"
+    digit, word = m.groups() if m else ("", header)
+    broken = re.compile(rf"[\s\S]{{{len(header)}}}\s{{0,199}}\n")
+    inside = re.compile(r"\w")
+
+    def starts(text: str, last: int) -> Iterator[int]:
+        at = text.find(word, last)
+        while at >= 0:
+            if not inside.match(text, at + len(word)):
+                if digit:
+                    head = text[max(last, at - 81) : at]
+                    bare = head.rstrip()
+                    if len(head) - len(bare) <= 80 and bare.endswith(digit):
+                        yield at - (len(head) - len(bare)) - 1
+                yield at
+            at = text.find(word, at + 1)
+
+    def find(text: str, last: int) -> int:
+        loose = -1
+        for at in starts(text, last):
+            if at > last and not inside.match(text[at - 1]):
+                if broken.match(text, at):
+                    return at
+                loose = at if loose < 0 else loose
+        return loose
+
+    return find
 
 
 def _first(text: Column, pattern: Column | str) -> Column:
@@ -76,50 +99,38 @@ def _between(text: Column, start: Column, end: Column) -> Column:
 def sections(docs: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """``(doc_id, ord, chunk)`` for the headers found, in the order of the dimension.
 
-    ``docs`` is ``(doc_id, value)``. The fold carries the end of the last header taken.
+    ``docs`` is ``(doc_id, value)``. Each header is looked for behind the end of the last one taken,
+    by a plain search for its word.
     """
     headers = [name.upper() for name, _, _ in (fixed.BOOKS if books is None else books)]
-    dim = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(len(h)).alias("size"),
-                F.lit(re.sub(r"^\d\s+", "", h)).alias("word"),
-                F.lit(strict).alias("strict"),
-                F.lit(loose).alias("loose"),
-            )
-            for i, h in enumerate(headers)
-            for strict, loose in [_header_patterns(h)]
-        ]
-    )
-    state = "struct<last:int,hits:array<struct<ord:int,start:int,content:int>>>"
-    value = F.col("value")
-
-    def step(s: Column, b: Column) -> Column:
-        def choose(tail: Column) -> Column:
-            return F.coalesce(_first(tail, b["strict"]), _first(tail, b["loose"]))
-
-        def take(offset: Column) -> Column:
-            start = s["last"] + offset
-            content = start + b["size"]
-            hit = F.struct(b["ord"].alias("ord"), start.alias("start"), content.alias("content"))
-            taken = F.struct(content.alias("last"), F.array_append(s["hits"], hit).alias("hits"))
-            return F.when(offset.isNull(), s).otherwise(taken.cast(state))
-
-        return let(let(_from(value, s["last"]), choose), take)
-
-    start = F.struct(F.lit(0).alias("last"), F.array().alias("hits")).cast(state)
-    # a plain byte search leaves only the books whose word occurs at all
-    present = F.filter(dim, lambda b: F.contains(value, b["word"]))
-    hits = F.aggregate(present, start, step)["hits"]
-
-    def chunk(h: Column, following: Column) -> Column:
-        end = F.coalesce(following["start"], F.length(value))
-        return F.struct(h["ord"].alias("ord"), _between(value, h["content"], end).alias("chunk"))
-
-    found = docs.select("doc_id", "value", hits.alias("hits"))
-    cut = F.transform("hits", lambda h, i: chunk(h, F.get("hits", i + 1)))
-    return found.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.ord", "s.chunk")
+    rows = docs.select("doc_id", "value")
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    names = pa.schema([("doc_id", kind), ("ord", pa.int32()), ("chunk", pa.string())])
+
+    def chunks(text: str, finders: list) -> list[tuple[int, str]]:
+        hits, last = [], 0
+        for i, (size, find) in enumerate(finders):
+            if (start := find(text, last)) >= 0:
+                last = start + size
+                hits.append((i, start, last))
+        ends = [start for _, start, _ in hits[1:]] + [len(text)]
+        return [(i, text[content:end]) for (i, _, content), end in zip(hits, ends)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finders = [(len(h), _header_finder(h)) for h in headers]
+        for batch in batches:
+            found, size = [], 0
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id"), batch.column("value"), strict=True), 1):
+                text = text.as_py() or ""
+                found += [(doc, number, chunk) for number, chunk in chunks(text, finders)]
+                size += len(text)
+                if found and (size >= CHUNK_CHARS or i == len(batch)):
+                    ids, ords, texts = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in ids], kind), pa.array(ords, pa.int32()), pa.array(texts)], schema=names)
+                    found, size = [], 0
+
+    prepare(docs.sparkSession)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ord int, chunk string")
 
 
 MARKS = "struct<pos:int,found:array<struct<chapter:int,start:int,content:int>>>"
@@ -185,7 +196,9 @@ def _no_marks() -> Column:
 
 def _standard(chunk: Column, abbr: Column, total: Column) -> Column:
     """Markers followed by a passage 1 first, then bare ones for the missing chapters."""
-    head = F.concat(F.lit(NOT_AFTER_WORD + r"\Q"), abbr, F.lit(r"\E(\d{1,3})\*?"))
+    # the plain text first, what may not stand before it then
+    before = r"\E(?<![\p{L}\p{N}_]\Q"
+    head = F.concat(F.lit(r"\Q"), abbr, F.lit(before), abbr, F.lit(r"\E)(\d{1,3})\*?"))
     first = F.concat(
         head, F.lit(rf"{RAW_SPACE}*(?=1[{RAW_SPACE[1:-1]}*{UPPER}{LOWER}«¿\"“])")
     )
@@ -197,7 +210,7 @@ def _hymns(chunk: Column) -> Column:
     """D3: ``Salmo N (M)*`` first, then markers torn apart by up to 500 characters."""
     first = F.lit(rf"Salmo{RAW_SPACE}+(\d+){RAW_SPACE}*(?:\(\d+\))?\*?")
     torn = F.lit(
-        rf"{NOT_AFTER_WORD}Salmo{NOT_BEFORE_WORD}[\s\S]{{0,500}}?(\d{{1,3}}){RAW_SPACE}*\((\d{{1,3}})\)\*?"
+        rf"Salmo(?<![\p{{L}}\p{{N}}_]Salmo){NOT_BEFORE_WORD}[\s\S]{{0,500}}?(\d{{1,3}}){RAW_SPACE}*\((\d{{1,3}})\)\*?"
     )
     total = F.lit(150)
     return _marks(chunk, torn, total, _marks(chunk, first, total, _no_marks()))

@@ -126,3 +126,30 @@ def test_length_profile(spark):
     assert tuple(segment.length_profile(rows).first()) == (4, 4, 9)
     empty = segment.length_profile(rows.filter(F.lit(False))).first()
     assert empty.n == 0 and empty.median is None
+
+
+def test_headers_are_found_by_plain_search(spark):
+    """Every position a pattern would find, in the order strict before loose, without a pattern a book."""
+    books = [("Génesis", "Gén", 2), ("1 Samuel", "1 Sam", 2), ("2 Samuel", "2 Sam", 2), ("Rut", "Rut", 4)]
+    texts = [
+        "GÉNESIS x GÉNESIS y\n",  # the first character is no header
+        "x GÉNESIS a\n GÉNESIS \n b",  # one with a break goes first
+        "x 1 \n SAMUEL a 2SAMUEL b",
+        "x SAMUEL \n a SAMUEL b RUTA _RUT RUT",  # without its number, for both books
+        "x 1" + " " * 81 + "SAMUEL",
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, value string")
+    found = segment.sections(docs, books)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (0, 0, " y\n"),
+        (1, 0, " \n b"),
+        (2, 1, "EL a "),
+        (2, 2, "b"),
+        (3, 1, " a "),
+        (3, 2, " RUTA _RUT "),
+        (3, 3, ""),
+        (4, 1, ""),
+    ]
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
