@@ -5,22 +5,25 @@
    sequence of such terms with their places, in one pass over whole texts.
 2. Space. Documents are read as overlapping passages of ``WINDOW`` words. Their TF-IDF matrix is
    stacked on the items' own rows, which are repeated often enough to lead; a randomised SVD of it
-   (sketch, one power step, each a sum over Spark tasks) gives the latent space. With as many
+   (sketch, one power step) gives the latent space. The products of all pairs of terms are summed
+   over all passages once, in Spark tasks, and both steps read these sums. With as many
    dimensions as a block has items and some to spare, the space holds the items themselves.
 3. Search. A passage whose latent cosine with an item reaches ``COSINE`` is a candidate.
 4. Check. The longest common subsequence of the item's and the surrounding text's terms must
    cover ``COVER`` of the item, and that of its answer's terms ``ANSWER`` of the answer, unless
    the item is covered nearly whole (``VERBATIM``).
 
-Items are taken in blocks of ``BLOCK``; what is broadcast is bounded by the terms of a block.
+Items are taken in blocks of ``BLOCK``; what is broadcast is bounded by the terms of a block. A block
+of so many terms that their pairs would not fit a task (``PAIRS``) multiplies its passages in each step.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +49,17 @@ COMMON = 0.1
 CONTENT = 8
 #: Terms whose sums are added together.
 BAND = 512
+#: Pairs of terms that a task holds at most, and those of a band of their sums.
+PAIRS = 1 << 25
+PAIR_BAND = 1 << 17
 #: Passages that are multiplied with a basis at a time; few enough to stay in a core's cache.
 ROWS = 64
 #: Terms whose passages are laid out at a time; a longer document stands alone.
 PART = 1 << 17
 
 WORD = re.compile(r"\w+")
+_SIGN = re.compile(r"[^\w\s\x00-\x7f]")
+_BLANKED = bytes(32 if i < 128 and not WORD.match(chr(i)) else i for i in range(256))
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
@@ -112,6 +120,14 @@ def read_items(rows: list, frequent: set[str], cover: float = COVER) -> Items:
     return Items([r["item_id"] for r in rows], terms, sequences, counts, covers, [len(t) for t in texts])
 
 
+def find_words(text: str) -> list[str]:
+    """What ``WORD`` finds in the lower-cased text; blanks for signs and a split are faster."""
+    text = text.lower()
+    if not text.isascii():
+        text = _SIGN.sub(" ", text)
+    return text.encode().translate(_BLANKED).decode().split()
+
+
 def common_length(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     places: dict[int, int] = {}
@@ -135,22 +151,21 @@ def term_sequences(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value.get
         for part in slices(batches, "text"):
-            keep, lengths, terms, places = [], [], [], []
-            for i, t in enumerate(part.column("text").to_pylist()):
-                words = WORD.findall((t or "").lower())
-                found = [(p, n) for p, n in enumerate(map(number, words)) if n is not None]
-                if found:
-                    keep.append(i)
-                    lengths.append(len(words))
-                    places.append([p for p, _ in found])
-                    terms.append([n for _, n in found])
-            numbers = pa.list_(pa.int32())
+            words = [find_words(t or "") for t in part.column("text").to_pylist()]
+            lengths = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(lengths)
+            numbers = np.fromiter(map(number, chain.from_iterable(words), repeat(-1)), np.int32, int(lengths.sum()))
+            at = np.flatnonzero(numbers >= 0)
+            row = np.searchsorted(ends, at, side="right")
+            counts = np.bincount(row, minlength=len(part))
+            keep = np.flatnonzero(counts)
+            offsets = pa.array(np.append(0, np.cumsum(counts[keep])), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(keep, pa.int64())),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(terms, numbers),
-                    pa.array(places, numbers),
+                    pa.array(lengths[keep], pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(numbers[at], pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(at - (ends - lengths)[row], pa.int32())),
                 ],
                 ["doc_id", "n_words", "terms", "places"],
             )
@@ -224,6 +239,36 @@ def _passage_stats(sequences: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return np.array([by.get(t, 0) for t in range(width)], float), by.get(-1, 0)
 
 
+_SUMS = "band bigint, task bigint, part binary"
+
+
+def _bands(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_SUMS``, one for each band of this task's sums."""
+    task = TaskContext.get().partitionId()
+    for band, part in parts:
+        columns = [pa.array([band], pa.int64()), pa.array([task], pa.int64()), pa.array([part.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["band", "task", "part"])
+
+
+def _summed(partial: DataFrame) -> DataFrame:
+    """(band, part): the parts of all tasks added by bands."""
+
+    def add(parts: pa.Table) -> pa.Table:
+        in_order = parts.sort_by("task")  # sums of doubles differ with the order of their terms
+        total = sum(np.frombuffer(p.as_py()) for p in in_order.column("part"))
+        return pa.table({"band": in_order.column("band").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    return partial.groupBy("band").applyInArrow(add, "band bigint, part binary")
+
+
+def _collected(partial: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of all tasks' parts, which are bands of ``BAND`` rows of a matrix."""
+    summed = np.zeros(shape)
+    for r in _summed(partial).collect():
+        summed[r["band"] : r["band"] + BAND] = np.frombuffer(r["part"]).reshape(-1, shape[1])
+    return summed
+
+
 def _product(sequences: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A' A basis for the normalised TF-IDF rows A of all passages.
 
@@ -231,7 +276,6 @@ def _product(sequences: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
     holds the sum alone.
     """
     shared = sequences.sparkSession.sparkContext.broadcast((idf, basis))
-    rank = basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = shared.value
@@ -241,22 +285,68 @@ def _product(sequences: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
             for _, terms, part in _dense(entry, term, tf * idf[term], len(idf)):
                 part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12)
                 out[terms] += part.T @ (part @ basis[terms])
-        task = TaskContext.get().partitionId()
-        for band in range(0, len(out), BAND):
-            columns = [pa.array([band], pa.int64()), pa.array([task], pa.int64()), pa.array([out[band : band + BAND].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["band", "task", "part"])
+        yield from _bands((band, out[band : band + BAND]) for band in range(0, len(out), BAND))
 
-    def add(parts: pa.Table) -> pa.Table:
-        in_order = parts.sort_by("task")  # sums of doubles differ with the order of their terms
-        total = sum(np.frombuffer(p.as_py()) for p in in_order.column("part"))
-        return pa.table({"band": in_order.column("band").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+    tasks = sequences.sparkSession.sparkContext.defaultParallelism
+    return _collected(sequences.select("terms", "places").coalesce(tasks).mapInArrow(run, _SUMS), basis.shape)
+
+
+def _pair_sums(sequences: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(band, part): A' A for the normalised TF-IDF rows A of all passages, by bands of its rows.
+
+    A passage holds few of the terms, so its pairs are far fewer than the entries of a product with a
+    dense basis. A band leaves out the columns before its first row, and is zero below the diagonal.
+    """
+    shared = sequences.sparkSession.sparkContext.broadcast(idf)
+    size = max(1, PAIR_BAND // len(idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        width = len(idf)
+        out = np.zeros(width * width)
+        for batch in _parts(batches):
+            found, entry, term, tf = passages(batch)
+            weight = tf * idf[term]
+            weight /= np.maximum(np.sqrt(np.bincount(entry, weight * weight, found.shape[1])), 1e-12)[entry]
+            first, apart = np.arange(len(entry)), 0
+            while len(first):  # terms of a passage stand in order: each meets the one so many places on
+                np.add.at(out, term[first] * width + term[first + apart], weight[first] * weight[first + apart])
+                apart += 1
+                first = first[: np.searchsorted(first, len(entry) - apart)]
+                first = first[entry[first] == entry[first + apart]]
+        square = out.reshape(width, width)
+        yield from _bands((low, square[low : low + size, low:]) for low in range(0, width, size))
 
     tasks = sequences.sparkSession.sparkContext.defaultParallelism
-    partial = sequences.select("terms", "places").coalesce(tasks).mapInArrow(run, "band bigint, task bigint, part binary")
-    summed = np.zeros(basis.shape)
-    for r in partial.groupBy("band").applyInArrow(add, "band bigint, part binary").collect():
-        summed[r["band"] : r["band"] + BAND] = np.frombuffer(r["part"]).reshape(-1, rank)
-    return summed
+    return _summed(sequences.select("terms", "places").coalesce(tasks).mapInArrow(run, _SUMS))
+
+
+def _pair_product(sums: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A' A basis from the pair sums."""
+    shared = sums.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = shared.value
+        out = np.zeros(basis.shape)
+        for batch in batches:
+            for low, part in zip(batch.column("band").to_pylist(), batch.column("part")):
+                above = np.frombuffer(part.as_buffer()).reshape(-1, len(basis) - low).copy()
+                rows = np.arange(len(above))
+                out[low : low + len(rows)] += above @ basis[low:]
+                above[rows, rows] = 0.0
+                out[low:] += above.T @ basis[low : low + len(rows)]
+        yield from _bands((band, out[band : band + BAND]) for band in range(0, len(out), BAND))
+
+    tasks = sums.sparkSession.sparkContext.defaultParallelism
+    return _collected(sums.orderBy("band").coalesce(tasks).mapInArrow(run, _SUMS), basis.shape)
+
+
+def _multiplier(sequences: DataFrame, idf: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The map from a basis to A' A basis; pairs of terms are summed once, if a task can hold them."""
+    if len(idf) ** 2 > PAIRS:
+        return lambda basis: _product(sequences, idf, basis)
+    sums = written(_pair_sums(sequences, idf), "pairs")
+    return lambda basis: _pair_product(sums, basis)
 
 
 def _item_rows(items: Items, idf: np.ndarray) -> np.ndarray:
@@ -280,8 +370,10 @@ def latent_space(sequences: DataFrame, items: Items, seed: int = 7) -> tuple[np.
     weight = max(1.0, total) / max(1, len(own))
     rank = min(width, len(own) + SPARE)
 
+    product = _multiplier(sequences, idf)
+
     def multiply(basis):
-        return _product(sequences, idf, basis) + weight * (own.T @ (own @ basis))
+        return product(basis) + weight * (own.T @ (own @ basis))
 
     basis = np.linalg.qr(multiply(np.random.default_rng(seed).standard_normal((width, rank))))[0]
     image = multiply(basis)

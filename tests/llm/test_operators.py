@@ -659,3 +659,38 @@ def test_latent_space_is_fitted_on_every_passage(spark):
                 row /= np.linalg.norm(row)
                 want += np.outer(row, row)
     assert np.allclose(decontamination._product(sequences, idf, np.eye(width)), want)
+
+
+def test_pair_sums_give_the_product_with_every_passage(spark):
+    """Pairs of terms are summed once over all passages; both steps of the latent space read the sums."""
+    rng = np.random.default_rng(4)
+    width = 700
+    rows = [(i, rng.integers(0, width, 150).tolist(), sorted(rng.integers(0, 900, 150).tolist())) for i in range(40)]
+    sequences = spark.createDataFrame(rows, "doc_id bigint, terms array<int>, places array<int>").repartition(5)
+    idf, basis = rng.uniform(1, 2, width), rng.standard_normal((width, 9))
+    sums = decontamination._pair_sums(sequences, idf)
+    assert sums.count() == -(-width // (decontamination.PAIR_BAND // width))
+    assert np.allclose(decontamination._pair_product(sums, basis), decontamination._product(sequences, idf, basis))
+    none = decontamination._pair_sums(sequences.limit(0), idf)
+    assert not decontamination._pair_product(none, basis).any()
+
+
+def test_blocks_of_too_many_terms_for_pairs_find_the_same(spark, monkeypatch):
+    rng = random.Random(14)
+    items = [" ".join(f"w{rng.randrange(4000)}" for _ in range(25)) + "." for _ in range(30)]
+    texts = [" ".join([*(f"w{rng.randrange(4000)}" for _ in range(200)), items[i % 30] if i % 3 else ""]) for i in range(90)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+
+    def found():
+        rows = decontamination.contaminated(documents(spark, texts), benchmark).collect()
+        return sorted((r["doc_id"], r["item_id"], round(r["cosine"], 4), r["start_word"]) for r in rows)
+
+    by_pairs = found()
+    monkeypatch.setattr(decontamination, "PAIRS", 0)
+    assert by_pairs == found() and {(d, i) for d, i, *_ in by_pairs} >= {(d, d % 30) for d in range(90) if d % 3}
+
+
+def test_words_are_found_as_by_the_pattern(spark):
+    every = "".join(f"a{chr(i)}B " for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    for text in ("", " ", "_", "Ab, c-d_e\x1cf", "ΑΣ ΑΣ. İi ǅ ﬀ", "e\u0301x\u00a0y\x85z\u200bw", every):
+        assert decontamination.find_words(text) == decontamination.WORD.findall(text.lower())
