@@ -10,7 +10,7 @@ from lectern.operators import assemble, block_max, embedding, lexical, vector_se
 from lectern.plans.catalog import inputs
 from lectern.plans.catalog.corpus import CHECKSUM, QUANTIZED, _weighted_sum
 from lectern.plans.catalog.text import tokens_sql
-from lectern.session import shared_folder
+from lectern.session import shared_folder, written
 from lectern.sources.tables import read_table
 
 c = F.col
@@ -210,7 +210,8 @@ def _turn_messages(spark, folder):
 
 
 def _passage_blocks(spark, folder):
-    hits = fallback_hits(spark, folder).join(inputs.passages(spark, folder), "pos")
+    # a few rows a question: once they are written their size is known, and the texts of all passages stay where they are
+    hits = written(fallback_hits(spark, folder), "hits").join(inputs.passages(spark, folder), "pos")
     return assemble.passage_context(hits)
 
 

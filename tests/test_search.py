@@ -199,3 +199,16 @@ def test_question_filter(spark):
     rows = spark.createDataFrame([("  hola ",), ("  \n",), (None,)], "question string")
     accepted, rejected = assemble.ask_filter(rows)
     assert [r.question for r in accepted.collect()] == ["hola"] and rejected.count() == 2
+
+
+def test_context_is_joined_from_written_hits(spark, tmp_path, monkeypatch):
+    """The hits' size is known before the join, so the texts of all passages are not shuffled to them."""
+    from lectern.plans.catalog import search
+
+    rows = [(i, f"text {i}", "en", "src1") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = spark.createDataFrame([(1, 7, 0.5, 2, "bm25"), (1, 55, 0.9, 1, "bm25"), (2, 99, 0.1, 1, "vector")], "query_id bigint, pos bigint, score double, rank int, mode string")
+    monkeypatch.setattr(search, "fallback_hits", lambda *_: hits)
+    blocks = search._passage_blocks(spark, str(tmp_path))
+    assert any("/hits-" in name for name in blocks.inputFiles())
+    assert [tuple(r) for r in blocks.collect()] == [(1, "[Source 1 2:6] text 55\n\n[Source 1 1:8] text 7")]
