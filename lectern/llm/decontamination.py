@@ -54,6 +54,8 @@ PAIRS = 1 << 25
 PAIR_BAND = 1 << 17
 #: Passages that are multiplied with a basis at a time; few enough to stay in a core's cache.
 ROWS = 64
+#: Passages whose pairs of terms are made at a time; few enough to stay in a core's cache.
+LAID = 1024
 #: Terms whose passages are laid out at a time; a longer document stands alone.
 PART = 1 << 17
 
@@ -220,6 +222,21 @@ def _dense(entry: np.ndarray, term: np.ndarray, weight: np.ndarray, width: int)
         yield first, distinct, rows
 
 
+def _laid(entry: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """(terms, weights, held) of ``LAID`` passages at a time, a column for each, those of most terms first.
+
+    Row i has the i-th terms of the first ``held[i]`` passages; what stands behind these is filling.
+    """
+    sizes = np.bincount(entry)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    for low in range(0, len(order), LAID):
+        some = order[low : low + LAID]
+        places = np.arange(sizes[some[0]])
+        at = np.minimum(starts[some] + places[:, None], len(term) - 1)
+        yield term[at], weight[at], np.searchsorted(-sizes[some], -places).tolist()
+
+
 def _passage_stats(sequences: DataFrame, width: int) -> tuple[np.ndarray, int]:
     """Passages that hold each term, over all documents, and the number of all passages that hold one."""
 
@@ -308,12 +325,11 @@ def _pair_sums(sequences: DataFrame, idf: np.ndarray) -> DataFrame:
             found, entry, term, tf = passages(batch)
             weight = tf * idf[term]
             weight /= np.maximum(np.sqrt(np.bincount(entry, weight * weight, found.shape[1])), 1e-12)[entry]
-            first, apart = np.arange(len(entry)), 0
-            while len(first):  # terms of a passage stand in order: each meets the one so many places on
-                np.add.at(out, term[first] * width + term[first + apart], weight[first] * weight[first + apart])
-                apart += 1
-                first = first[: np.searchsorted(first, len(entry) - apart)]
-                first = first[entry[first] == entry[first + apart]]
+            for terms, weights, held in _laid(entry, term, weight):
+                lines = terms * width
+                for last, n in enumerate(held):  # terms of a passage stand in order: each meets those up to itself
+                    pairs = lines[: last + 1, :n] + terms[last, :n]
+                    np.add.at(out, pairs.ravel(), (weights[: last + 1, :n] * weights[last, :n]).ravel())
         square = out.reshape(width, width)
         yield from _bands((low, square[low : low + size, low:]) for low in range(0, width, size))
 

@@ -675,6 +675,20 @@ def test_pair_sums_give_the_product_with_every_passage(spark):
     assert not decontamination._pair_product(none, basis).any()
 
 
+def test_laid_passages_hold_every_pair_once(monkeypatch):
+    """Pairs are made for many passages at a time, row by row of their terms."""
+    monkeypatch.setattr(decontamination, "LAID", 7)
+    rng = np.random.default_rng(9)
+    held = [sorted(rng.choice(90, rng.integers(1, 65), replace=False).tolist()) for _ in range(40)] + [[3], [4]]
+    entry, term = np.repeat(np.arange(42), [len(h) for h in held]), np.concatenate(held)
+    got = []
+    for terms, weights, counts in decontamination._laid(entry, term, term + 0.5):
+        assert len(terms) == len(counts) and terms.shape[1] == counts[0] <= 7 and (weights == terms + 0.5).all()
+        got += [(int(a), int(b)) for last, n in enumerate(counts) for row in terms[: last + 1, :n] for a, b in zip(row, terms[last, :n])]
+    assert sorted(got) == sorted((a, b) for h in held for i, a in enumerate(h) for b in h[i:])
+    assert not list(decontamination._laid(*np.zeros((3, 0), np.int64)))
+
+
 def test_blocks_of_too_many_terms_for_pairs_find_the_same(spark, monkeypatch):
     rng = random.Random(14)
     items = [" ".join(f"w{rng.randrange(4000)}" for _ in range(25)) + "." for _ in range(30)]
