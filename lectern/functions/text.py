@@ -161,12 +161,24 @@ def _ranges(characters: str) -> str:
     return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in found)
 
 
+def _quoted(characters: str) -> str:
+    """The characters as they stand in a pattern's class."""
+    return "".join(rf"\x{{{ord(ch):x}}}" for ch in characters)
+
+
 _CANONICAL = _Canonical()
 # most characters are below the first mark and are told by one comparison
 _LOW = r"\x{0}-\x{2ff}"
-_MARK_CLASS = rf"[[^{_LOW}]&&[{_ranges(_CANONICAL.marks)}]]"
+# and most marks are in the first block, whose ranges are tried before all others
+_FIRST_MARKS = _ranges("".join(ch for ch in _CANONICAL.marks if ch < "\u0370"))
+_MARK_CLASS = rf"[{_FIRST_MARKS}[[^{_LOW}]&&[{_ranges(_CANONICAL.marks)}]]]"
 _SEVERAL_CLASS = rf"[[^{_LOW}]&&[{_ranges(''.join(_CANONICAL.several))}]]"
-_MARK_RUN = rf"[{_LOW}[^{_ranges(_CANONICAL.marks)}]]{_MARK_CLASS}+|{_SEVERAL_CLASS}"
+# no mark stands before a run: those that begin a text are taken off first
+_MARK_RUN = rf"(?s:.){_MARK_CLASS}+|{_SEVERAL_CLASS}"
+# these begin behind the most frequent marks
+_SINGLE_CLASS = rf"[[^\x{{0}}-\x{{{ord(min(_CANONICAL.single)) - 1:x}}}]&&[{_ranges(''.join(_CANONICAL.single))}]]"
+# letters with a letter or nothing behind them; what is left has the same runs of marks behind the same characters
+_UNMARKED = rf"[{_LOW}]+(?=[{_LOW}]|\z)"
 _NOT_COMPOSED = rf"[[^{_LOW}]&&[{_ranges(_CANONICAL.marks + ''.join(_CANONICAL.several) + ''.join(_CANONICAL.single))}]]"
 
 
@@ -227,6 +239,11 @@ def _state(done: Column, letter: Column, rest: Column, last: Column) -> Column:
     return F.struct(done.alias("done"), letter.alias("letter"), rest.alias("rest"), last.alias("last"))
 
 
+def _mark_runs(t: Column) -> Column:
+    """Every run of a text that does not begin with a mark; the costly classes see no more than its marks and what is beside them."""
+    return F.regexp_extract_all(F.regexp_replace(t, _UNMARKED, ""), F.lit(f"({_MARK_RUN})"), F.lit(1))
+
+
 def compose(c: Column) -> Column:
     """Canonical composition (NFC). Texts without a mark skip the work, others do it for their marks only.
 
@@ -236,7 +253,7 @@ def compose(c: Column) -> Column:
 
     def text(t: Column) -> Column:
         # each distinct run once, longer ones first: a run that begins like a longer one does not meet it again
-        runs = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({_MARK_RUN})"), F.lit(1)))
+        runs = F.array_distinct(_mark_runs(t))
         ordered = F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("size"), r.alias("run"))))
         made = F.transform(ordered, lambda r: F.struct(r["run"].alias("run"), _composed_run(r["run"]).alias("composed")))
         return F.aggregate(made, t, lambda text, r: F.replace(text, r["run"], r["composed"]))
@@ -246,7 +263,8 @@ def compose(c: Column) -> Column:
         alone = F.when(marks > 0, _composed_run(F.substring(t, F.lit(1), marks))).otherwise("")
         return F.concat(alone, let(F.substring(t, marks + 1, F.length(t)), text))
 
-    whole = F.translate(c, "".join(_CANONICAL.single), "".join(_CANONICAL.single.values()))
+    single = F.translate(c, "".join(_CANONICAL.single), "".join(_CANONICAL.single.values()))
+    whole = F.when(c.rlike(_SINGLE_CLASS), single).otherwise(c)
     for mark, form in _CANONICAL.apart.items():
         if form[0] in _CANONICAL.classes:
             whole = F.replace(whole, F.lit(mark), F.lit(form))
@@ -257,10 +275,13 @@ def compare_fold(c: Column) -> Column:
     """The form in which a quotation and a passage are compared; accents stay."""
     names = "|".join(fixed.COMPARE_LETTER_NAMES)
     c = compose(F.lower(c))
-    c = F.translate(c, "|" + fixed.COMPARE_DELETED_FIRST, " ")
+    # a class of a pattern looks at bits where translate() looks up every character as a text
+    c = F.replace(F.regexp_replace(c, f"[{_quoted(fixed.COMPARE_DELETED_FIRST)}]++", ""), F.lit("|"), F.lit(" "))
     c = F.regexp_replace(c, f"{_ASCII_WORD_START}(?:{names}){_ASCII_WORD_END}", "")
-    c = F.translate(c, fixed.COMPARE_DELETED_LAST, "")
-    return web_trim(F.regexp_replace(c, f"{WEB_SPACE}++", " "))
+    c = F.regexp_replace(c, f"[{_quoted(fixed.COMPARE_DELETED_LAST)}]++", "")
+    # single blanks, nearly all there is, are left alone
+    wide = f"[{WEB_SPACE[1:-1]}&&[^ ]]"
+    return web_trim(F.regexp_replace(c, f" {WEB_SPACE}++|{wide}{WEB_SPACE}*+", " "))
 
 
 _DISPLAY_MARK = rf"(?iu)\((?:{'|'.join(fixed.DISPLAY_LETTER_NAMES)})\){WEB_SPACE}*"

@@ -144,3 +144,27 @@ def test_hours_rows_equal_the_array_form(spark):
     nested = rows.select("id", dates.split_hours(F.col("lines"), F.col("date")).alias("h")).collect()
     want = [(r.id, i, *h) for r in nested if r.h is not None for i, h in enumerate(r.h)]
     assert [tuple(r) for r in flat] == want and len(want) == 5
+
+
+def test_mark_runs_are_looked_for_beside_marks_only(spark):
+    """The classes of marks are tried on what stands beside marks, and find what they find in the whole text."""
+    import random
+    import re
+
+    tables = text._CANONICAL
+    marks = re.escape("".join(tables.classes))
+    pattern = re.compile(f"[^{marks}][{marks}]+|[{''.join(tables.several)}]")
+    rng = random.Random(3)
+    some = ["a", " ", "\n", "\u00e9", "\u02ff", "\u0370", "\u6f22", "\U00010400", "\u0301", "\u034f", "\u0323", "\u20d0", *tables.several[:3]]
+    texts = ["", "plain text", "x\u0301", "a" * 5000 + "e\u0301\u0323" + "b" * 5000]
+    texts += ["a" + "".join(rng.choices(some, k=rng.randrange(40))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", text._mark_runs(F.col("t")).alias("runs"), F.regexp_replace("t", text._UNMARKED, "").alias("left")
+    ).collect()
+    assert [r.runs for r in rows] == [pattern.findall(r.t) for r in rows]
+    assert rows[3].left == "e\u0301\u0323" and rows[1].left == ""
+
+
+def test_compare_fold_collapses_every_white_space(value):
+    spaces = " \t\n\u000b\f\r\u00a0\u1680\u2003\u2028\u202f\u205f\u3000\ufeff"
+    assert value(text.compare_fold, "".join(f"a{x}b{x}{y}" for x in spaces for y in spaces)) == ("a b " * len(spaces) ** 2).strip()
