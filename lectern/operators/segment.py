@@ -1,34 +1,29 @@
 """Raw text to passages and question/answer pairs.
 
-A document is one row. Every step works inside the row with array functions, so a corpus is
-cut up without any shuffle, documents in parallel; rows are multiplied only when sections,
-chapters and passages leave their text.
+A document is one row. Every step works inside the row, so a corpus is cut up without any
+shuffle, documents in parallel; rows are multiplied only when sections, chapters and passages
+leave their text. These three are cut in Arrow batches: plain searches find the few places where a
+pattern is tried.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lectern import fixed
 from lectern.functions.binding import let
-from lectern.functions.text import (
-    RAW_SPACE,
-    cap_at_word,
-    normalize_block,
-    raw_trim,
-    strip_asterisks,
-    strip_noise,
-)
+from lectern.functions.text import RAW_SPACE, cap_at_word, normalize_block, raw_trim
 from lectern.session import prepare
 
-NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
-#: Characters of documents whose chunks leave a task together.
+#: Characters of pieces that leave a task together.
 CHUNK_CHARS = 4 << 20
 UPPER, LOWER = "A-ZÁÉÍÓÚÑ", "a-záéíóúñ"
 DIM = "ord int, name string, abbr string, header string, chapters int, kind string"
@@ -81,34 +76,43 @@ def _header_finder(header: str) -> Callable[[str, int], int]:
     return find
 
 
-def _first(text: Column, pattern: Column | str) -> Column:
-    """Characters before the first match of a pattern, null without a match."""
-    parts = F.split(text, pattern, 2)
-    return let(parts, lambda p: F.when(F.size(p) == 2, F.length(F.get(p, F.lit(0)))))
-
-
-def _from(text: Column, start: Column) -> Column:
-    """The text from a 0-based position on."""
-    return F.substring(text, start + 1, F.length(text))
-
+def _cut_rows(rows: DataFrame, keep: list[str], given: list[str], made: str, cutter: Callable[[], Callable[..., list[tuple]]]) -> DataFrame:
+    """The columns ``keep`` of a row for each of its pieces, with the columns ``made`` of the piece.
 
-def _between(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, F.greatest(F.lit(0), end - start))
-
-
-def sections(docs: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """``(doc_id, ord, chunk)`` for the headers found, in the order of the dimension.
-
-    ``docs`` is ``(doc_id, value)``. Each header is looked for behind the end of the last one taken,
-    by a plain search for its word.
+    ``cutter()`` is called in the task and gives the function from the columns ``given`` of a row to
+    its pieces, whose last field is a text.
     """
+    kept, fields = rows.select(*keep).schema.fields, T.StructType.fromDDL(made).fields
+    types = [to_arrow_type(f.dataType) for f in fields]
+    names = [f.name for f in kept + fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter()
+        for batch in batches:
+            pieces, origin, size = [], [], 0
+            for i, row in enumerate(zip(*(batch.column(name) for name in given), strict=True)):
+                found = cut(*(value.as_py() for value in row))
+                pieces += found
+                origin += [i] * len(found)
+                size += sum(len(piece[-1]) for piece in found)
+                if pieces and (size >= CHUNK_CHARS or i + 1 == len(batch)):
+                    at = pa.array(origin, pa.int32())
+                    columns = [batch.column(f.name).take(at) for f in kept]
+                    columns += [pa.array(column, kind) for column, kind in zip(zip(*pieces), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    pieces, origin, size = [], [], 0
+
+    prepare(rows.sparkSession)
+    return rows.select(*dict.fromkeys(keep + given)).mapInArrow(run, T.StructType(kept + fields))
+
+
+def _section_cutter(books: list[tuple[str, str, int]] | None) -> Callable[[str | None], list[tuple[int, str]]]:
+    """The function from a text to ``(ord, chunk)`` of its headers."""
     headers = [name.upper() for name, _, _ in (fixed.BOOKS if books is None else books)]
-    rows = docs.select("doc_id", "value")
-    kind = to_arrow_type(rows.schema["doc_id"].dataType)
-    names = pa.schema([("doc_id", kind), ("ord", pa.int32()), ("chunk", pa.string())])
+    finders = [(len(h), _header_finder(h)) for h in headers]
 
-    def chunks(text: str, finders: list) -> list[tuple[int, str]]:
-        hits, last = [], 0
+    def cut(text: str | None) -> list[tuple[int, str]]:
+        text, hits, last = text or "", [], 0
         for i, (size, find) in enumerate(finders):
             if (start := find(text, last)) >= 0:
                 last = start + size
@@ -116,134 +120,138 @@ def sections(docs: DataFrame, books: list[tuple[str, str, int]] | None = None) -
         ends = [start for _, start, _ in hits[1:]] + [len(text)]
         return [(i, text[content:end]) for (i, _, content), end in zip(hits, ends)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders = [(len(h), _header_finder(h)) for h in headers]
-        for batch in batches:
-            found, size = [], 0
-            for i, (doc, text) in enumerate(zip(batch.column("doc_id"), batch.column("value"), strict=True), 1):
-                text = text.as_py() or ""
-                found += [(doc, number, chunk) for number, chunk in chunks(text, finders)]
-                size += len(text)
-                if found and (size >= CHUNK_CHARS or i == len(batch)):
-                    ids, ords, texts = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in ids], kind), pa.array(ords, pa.int32()), pa.array(texts)], schema=names)
-                    found, size = [], 0
-
-    prepare(docs.sparkSession)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ord int, chunk string")
+    return cut
 
 
-MARKS = "struct<pos:int,found:array<struct<chapter:int,start:int,content:int>>>"
-
-
-def _marks(chunk: Column, pattern: Column, total: Column, found: Column) -> Column:
-    """Add to ``found`` the first match of each chapter 1..total not in it yet.
+def sections(docs: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """``(doc_id, ord, chunk)`` for the headers found, in the order of the dimension.
 
-    The state grows only when a chapter is taken, never with the number of matches.
+    ``docs`` is ``(doc_id, value)``. Each header is looked for behind the end of the last one taken,
+    by a plain search for its word.
     """
-    pattern_parts = F.struct(
-        F.split(chunk, pattern, -1).alias("texts"),
-        F.regexp_extract_all(chunk, pattern, 0).alias("marks"),
-        F.regexp_extract_all(chunk, pattern, 1).alias("numbers"),
-    )
-
-    def fold(p: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            start = s["pos"] + F.length(F.get(p["texts"], i))
-            content = start + F.length(F.get(p["marks"], i))
-            chapter = F.get(p["numbers"], i).try_cast("int")
-            new = chapter.between(1, total) & ~F.exists(
-                s["found"], lambda x: x["chapter"] == chapter
-            )
-            mark = F.struct(
-                chapter.alias("chapter"), start.alias("start"), content.alias("content")
-            )
-            grown = F.when(F.coalesce(new, F.lit(False)), F.array_append(s["found"], mark))
-            return F.struct(
-                content.alias("pos"), F.coalesce(grown, s["found"]).alias("found")
-            ).cast(MARKS)
+    return _cut_rows(docs, ["doc_id"], ["value"], "ord int, chunk string", lambda: _section_cutter(books))
 
-        begin = F.struct(F.lit(0).alias("pos"), found.alias("found")).cast(MARKS)
-        return F.aggregate(F.transform(p["marks"], lambda x, i: i), begin, step)["found"]
 
-    return let(pattern_parts, fold)
+# White space is the same set in these patterns, in str.split and in RAW_SPACE. A word character above
+# U+FFFF in front does not keep a marker from being one.
+_NO_WORD_BEFORE = r"(?<![^\W\U00010000-\U0010ffff])"
+_FOOTNOTE = re.compile(r"\*[0-9]+,[0-9]")
+_CROSS_REFERENCE = re.compile(
+    rf"\s*+[0-9]++(?:,[0-9]++[a-z]?\s*+[|;]|(?:[.,:\-][0-9]++)*+\s*+:\s++(?:[12]\s*+)?+[{UPPER}{LOWER}]++\s*+[0-9])"
+)
+_RARE_SPACES = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace() and ch not in " \n")
+_HYPHENATED = re.compile(r"-\n\s*+")
+_HYMN = re.compile(r"Salmo\s++([0-9]++)\s*+(?:\([0-9]++\))?\*?")
+_TORN_HYMN = re.compile(_NO_WORD_BEFORE + r"Salmo(?!\w)[\s\S]{0,500}?([0-9]{1,3})\s*+\([0-9]{1,3}\)\*?")
+_ONE_LINE = re.compile(rf"1\s++[«¿“\"{UPPER}{LOWER}]")
+# a number that may belong to the chain but begins with 0
+_ZERO_FIRST = re.compile(" 0[0-9]")
+_PASSAGE = re.compile(rf"(?:^| )([0-9]{{1,3}})(?=[ «¿\"“{UPPER}{LOWER}])")
+_BEHIND_NUMBER = frozenset(" «¿\"“ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÑabcdefghijklmnopqrstuvwxyzáéíóúñ")
+
+
+def _without_noise(chunk: str) -> str:
+    """B4 of one text."""
+    if note := _FOOTNOTE.search(chunk):
+        chunk = chunk[: max(0, chunk.rfind("\n", 0, note.start()))]
+    lines = chunk.split("\n")
+    kept = [line for line in lines if not _CROSS_REFERENCE.match(line)]
+    return chunk if len(kept) == len(lines) else "\n".join(kept)
+
+
+def _flat(text: str) -> str:
+    """B2, then B1 of one text."""
+    text = text.replace("*", "").replace("\u00ad", "")
+    if "-\n" in text:
+        text = _HYPHENATED.sub("", text)
+    # blanks and line ends, nearly all there is, need no list of words
+    if any(space in text for space in _RARE_SPACES):
+        return " ".join(text.split())
+    text = text.replace("\n", " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text.strip(" ")
+
+
+def _add_marks(found: dict[int, tuple[int, int]], chunk: str, word: str, pattern: re.Pattern, total: int) -> None:
+    """Add to ``found`` where the first match of each chapter 1..total not in it yet begins and ends.
+
+    The pattern is tried where its ``word`` stands.
+    """
+    at = chunk.find(word)
+    while at >= 0:
+        if m := pattern.match(chunk, at):
+            number = m[1].lstrip("0")
+            if number and len(number) <= 9 and int(number) <= total:
+                found.setdefault(int(number), (at, m.end()))
+            at = m.end() - 1
+        at = chunk.find(word, at + 1)
 
 
-def _chapter_chunks(chunk: Column, marks: Column) -> Column:
+def _marked_chapters(chunk: str, found: dict[int, tuple[int, int]]) -> list[tuple[int, str]]:
     """Chunks in chapter order, each up to where the next chapter's marker begins."""
+    ordered = sorted(found.items())
+    ends = [start for _, (start, _) in ordered[1:]] + [len(chunk)]
+    return [(chapter, _without_noise(chunk[content:end])) for (chapter, (_, content)), end in zip(ordered, ends)]
 
-    def cut(ordered: Column) -> Column:
-        return F.transform(
-            ordered,
-            lambda m, i: F.struct(
-                m["chapter"].alias("chapter"),
-                strip_noise(
-                    _between(
-                        chunk,
-                        m["content"],
-                        F.coalesce(F.get(ordered, i + 1)["start"], F.length(chunk)),
-                    )
-                ).alias("chunk"),
-            ),
-        )
-
-    return let(F.sort_array(marks), cut)
 
+@functools.cache
+def _standard_marks(abbr: str) -> tuple[re.Pattern, re.Pattern]:
+    """Markers followed by a passage 1, and bare ones."""
+    head = rf"{_NO_WORD_BEFORE}{re.escape(abbr)}([0-9]{{1,3}})\*?"
+    return re.compile(rf"{head}\s*(?=1[\s*{UPPER}{LOWER}«¿\"“])"), re.compile(rf"{head}(?![0-9])")
 
-def _no_marks() -> Column:
-    return F.array().cast("array<struct<chapter:int,start:int,content:int>>")
 
-
-def _standard(chunk: Column, abbr: Column, total: Column) -> Column:
+def _standard(chunk: str, abbr: str | None, total: int | None) -> list[tuple[int, str]]:
     """Markers followed by a passage 1 first, then bare ones for the missing chapters."""
-    # the plain text first, what may not stand before it then
-    before = r"\E(?<![\p{L}\p{N}_]\Q"
-    head = F.concat(F.lit(r"\Q"), abbr, F.lit(before), abbr, F.lit(r"\E)(\d{1,3})\*?"))
-    first = F.concat(
-        head, F.lit(rf"{RAW_SPACE}*(?=1[{RAW_SPACE[1:-1]}*{UPPER}{LOWER}«¿\"“])")
-    )
-    marks = _marks(chunk, first, total, _no_marks())
-    return _marks(chunk, F.concat(head, F.lit(r"(?!\d)")), total, marks)
+    found: dict[int, tuple[int, int]] = {}
+    if abbr is not None and total is not None:
+        for pattern in _standard_marks(abbr):
+            _add_marks(found, chunk, abbr, pattern, total)
+    return _marked_chapters(chunk, found)
 
 
-def _hymns(chunk: Column) -> Column:
+def _hymns(chunk: str) -> list[tuple[int, str]]:
     """D3: ``Salmo N (M)*`` first, then markers torn apart by up to 500 characters."""
-    first = F.lit(rf"Salmo{RAW_SPACE}+(\d+){RAW_SPACE}*(?:\(\d+\))?\*?")
-    torn = F.lit(
-        rf"Salmo(?<![\p{{L}}\p{{N}}_]Salmo){NOT_BEFORE_WORD}[\s\S]{{0,500}}?(\d{{1,3}}){RAW_SPACE}*\((\d{{1,3}})\)\*?"
-    )
-    total = F.lit(150)
-    return _marks(chunk, torn, total, _marks(chunk, first, total, _no_marks()))
+    found: dict[int, tuple[int, int]] = {}
+    for pattern in (_HYMN, _TORN_HYMN):
+        _add_marks(found, chunk, "Salmo", pattern, 150)
+    return _marked_chapters(chunk, found)
 
 
-def _single(chunk: Column) -> Column:
+def _single(chunk: str) -> list[tuple[int, str]]:
     """From the first line ``1 X`` on, else from the first `` 1 ``, else nothing."""
-    line = rf"(?dm)(?:^|\n){RAW_SPACE}*1{RAW_SPACE}+[«¿“\"{UPPER}{LOWER}]"
-
-    def body(text: Column) -> Column:
-        start = F.coalesce(_first(text, line), _first(text, f"{RAW_SPACE}1{RAW_SPACE}"))
-        only = F.struct(F.lit(1).alias("chapter"), raw_trim(_from(text, start)).alias("chunk"))
-        return F.when(start.isNotNull(), F.array(only)).otherwise(F.array().cast("array<struct<chapter:int,chunk:string>>"))
-
-    return let(strip_noise(chunk), body)
+    chunk = _without_noise(chunk)
+    loose, at = -1, chunk.find("1")
+    while at >= 0:
+        line = at
+        while line and chunk[line - 1] != "\n" and chunk[line - 1].isspace():
+            line -= 1
+        if (not line or chunk[line - 1] == "\n") and _ONE_LINE.match(chunk, at):
+            break
+        if loose < 0 and at and chunk[at - 1].isspace() and chunk[at + 1 : at + 2].isspace():
+            loose = at
+        at = chunk.find("1", at + 1)
+    start = at if at >= 0 else loose
+    return [(1, chunk[start:].rstrip())] if start >= 0 else []
+
+
+def _chapters(chunk: str | None, kind: str | None, abbr: str | None, total: int | None) -> list[tuple[int, str]]:
+    """``(chapter, chunk)`` of a section, by the kind of its book."""
+    if chunk is None:
+        return []
+    if kind == "standard":
+        return _standard(chunk, abbr, total)
+    return _hymns(chunk) if kind == "salmos" else _single(chunk)
 
 
 def chapters(found: DataFrame, dim: DataFrame) -> DataFrame:
     """``(doc_id, ord, name, abbr, chapter, chunk)``, by the kind of the book."""
     # the dimension is a list of books made on the driver, so its size is known to be small
     rows = found.join(F.broadcast(dim), "ord")
-    chunk = F.col("chunk")
-    none = "array<struct<chapter:int,chunk:string>>"
-    cut = (
-        F.when(
-            F.col("kind") == "standard",
-            _chapter_chunks(chunk, _standard(chunk, F.col("abbr"), F.col("chapters"))),
-        )
-        .when(F.col("kind") == "salmos", _chapter_chunks(chunk, _hymns(chunk)))
-        .otherwise(_single(chunk))
-    )
-    return rows.select("doc_id", "ord", "name", "abbr", F.explode(cut.cast(none)).alias("c")).select(
-        "doc_id", "ord", "name", "abbr", "c.chapter", "c.chunk"
+    return _cut_rows(
+        rows, ["doc_id", "ord", "name", "abbr"], ["chunk", "kind", "abbr", "chapters"],
+        "chapter int, chunk string", lambda: _chapters,
     )
 
 
@@ -260,62 +268,68 @@ def _pieces(texts: Column, marks: Column, kept: Column, j: Column) -> Column:
     return F.array_join(inner, "")
 
 
-def split_passages(chunk: Column) -> Column:
-    """Array of struct(num, text) of a chapter.
+def _passages(chunk: str | None) -> list[tuple[int, str]]:
+    """``(num, text)`` of a chapter.
 
-    Numbers are candidates; of these the chain 1, 2, 3, ... takes the first that fits. The
-    chain has at most 999 links, so the fold's state stays small whatever the text.
+    Numbers are candidates; of these the chain 1, 2, 3, ... takes the first that fits. Each
+    number is looked for behind the one before, so the text is read once.
     """
-    flat = normalize_block(strip_asterisks(chunk))
-    # blanks are the only white space left in the flat text
-    pattern = rf"(?:^| )\d{{1,3}}(?=[ «¿\"“{UPPER}{LOWER}])"
-    state = "struct<next:int,kept:array<int>>"
-
-    def chain(p: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            fits = F.trim(F.get(p["marks"], i)).cast("int") == s["next"]
-            taken = F.struct(
-                (s["next"] + 1).alias("next"), F.array_append(s["kept"], i).alias("kept")
-            )
-            return F.when(fits, taken.cast(state)).otherwise(s)
-
-        start = F.struct(F.lit(1).alias("next"), F.array().alias("kept")).cast(state)
-        return F.aggregate(F.transform(p["marks"], lambda x, i: i), start, step)["kept"]
-
-    def cut(p: Column) -> Column:
-        return let(
-            chain(p),
-            lambda kept: F.transform(
-                kept,
-                lambda k, j: F.struct(
-                    (j + 1).alias("num"),
-                    # the white space inside was collapsed with the whole text
-                    raw_trim(_pieces(p["texts"], p["marks"], kept, j)).alias("text"),
-                ),
-            ),
-        )
-
-    parts = let(
-        flat,
-        lambda t: F.struct(
-            F.split(t, pattern, -1).alias("texts"),
-            F.regexp_extract_all(t, F.lit(pattern), 0).alias("marks"),
-        ),
-    )
-    return F.filter(let(parts, cut), lambda v: v["text"] != "")
+    if chunk is None:
+        return []
+    text = _flat(chunk)
+    marks: list[tuple[int, int]] = []
+    if text.startswith("0") or _ZERO_FIRST.search(text):
+        for m in _PASSAGE.finditer(text):
+            if int(m[1]) == len(marks) + 1:
+                marks.append(m.span())
+    else:
+        if text[:1] == "1" and text[1:2] in _BEHIND_NUMBER:
+            marks.append((0, 1))
+        after = 1 if marks else 0
+        while len(marks) < 999:
+            mark = f" {len(marks) + 1}"
+            at = text.find(mark, after)
+            while at >= 0 and text[at + len(mark) : at + len(mark) + 1] not in _BEHIND_NUMBER:
+                at = text.find(mark, at + 1)
+            if at < 0:
+                break
+            after = at + len(mark)
+            marks.append((at, after))
+    ends = [start for start, _ in marks[1:]] + [len(text)]
+    # the white space inside was collapsed with the whole text
+    found = [(num, text[content:end].strip(" ")) for num, ((_, content), end) in enumerate(zip(marks, ends), 1)]
+    return [(num, passage) for num, passage in found if passage]
 
 
 def passages(chapter_rows: DataFrame) -> DataFrame:
     """``(doc_id, ord, book, abbr, chapter, num, text)``."""
-    return chapter_rows.select(
-        "doc_id", "ord", F.col("name").alias("book"), "abbr", "chapter",
-        F.explode(split_passages(F.col("chunk"))).alias("v"),
-    ).select("doc_id", "ord", "book", "abbr", "chapter", "v.num", "v.text")
+    rows = chapter_rows.withColumnRenamed("name", "book")
+    return _cut_rows(rows, ["doc_id", "ord", "book", "abbr", "chapter"], ["chunk"], "num int, text string", lambda: _passages)
 
 
 def structure(docs: DataFrame, dim: DataFrame, books: list[tuple[str, str, int]] | None = None) -> DataFrame:
-    """D1-D7 in a row: raw documents to passages."""
-    return passages(chapters(sections(docs, books), dim))
+    """D1-D7 in a row: raw documents to passages, a document's cuts one after the other in one task.
+
+    The same cuts as ``passages(chapters(sections(docs, books), dim))``, whose chunks would go to the
+    workers and back three times. The dimension, a list of books made on the driver, is read there.
+    """
+    named: dict[int, list[tuple]] = {}
+    for book in dim.select("ord", "name", "abbr", "chapters", "kind").collect():
+        named.setdefault(book[0], []).append(tuple(book[1:]))
+
+    def cutter() -> Callable[[str | None], list[tuple]]:
+        sections_of = _section_cutter(books)
+        return lambda text: [
+            (number, name, abbr, chapter, num, passage)
+            for number, chunk in sections_of(text)
+            for name, abbr, total, kind in named.get(number, ())
+            for chapter, body in _chapters(chunk, kind, abbr, total)
+            for num, passage in _passages(body)
+        ]
+
+    return _cut_rows(
+        docs, ["doc_id"], ["value"], "ord int, book string, abbr string, chapter int, num int, text string", cutter
+    )
 
 
 def coverage(dim: DataFrame, chapter_rows: DataFrame, passage_rows: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import segment
@@ -153,3 +156,95 @@ def test_headers_are_found_by_plain_search(spark):
         (4, 1, ""),
     ]
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+UP, LOW = "A-ZÁÉÍÓÚÑ", "a-záéíóúñ"
+
+
+def plain_noise(chunk):
+    kept = []
+    for line in chunk.split("\n"):
+        if re.search(r"\*[0-9]+,[0-9]", line):
+            break
+        s = line.strip()
+        start = rf"[0-9]+(?:[.,:\-][0-9]+)*\s*:\s+[12]?\s*[{UP}{LOW}]+\s*[0-9]"
+        if not re.match(start, s) and not re.match(r"[0-9]+,[0-9]+[a-z]?\s*[|;]", s):
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def plain_chapters(chunk, kind, abbr, total):
+    """Every pattern over the whole text."""
+    if kind == "single":
+        chunk = plain_noise(chunk)
+        m = re.search(rf"(?m)(?:^|\n)\s*1\s+[«¿“\"{UP}{LOW}]", chunk) or re.search(r"\s1\s", chunk)
+        return [(1, chunk[m.start() :].strip())] if m else []
+    head = rf"(?<!\w){re.escape(abbr)}([0-9]{{1,3}})\*?"
+    patterns = [rf"{head}\s*(?=1[\s*{UP}{LOW}«¿\"“])", rf"{head}(?![0-9])"]
+    if kind == "salmos":
+        patterns = [r"Salmo\s+([0-9]+)\s*(?:\([0-9]+\))?\*?", r"\bSalmo\b[\s\S]{0,500}?([0-9]{1,3})\s*\([0-9]{1,3}\)\*?"]
+    found = {}
+    for pattern in patterns:
+        for m in re.finditer(pattern, chunk):
+            if 1 <= int(m[1]) <= total:
+                found.setdefault(int(m[1]), m.span())
+    ordered = sorted(found.items())
+    ends = [start for _, (start, _) in ordered[1:]] + [len(chunk)]
+    return [(n, plain_noise(chunk[content:end])) for (n, (_, content)), end in zip(ordered, ends)]
+
+
+def plain_passages(chunk):
+    flat = re.sub(r"\s+", " ", re.sub(r"-\n\s*", "", chunk.replace("*", "").replace("\u00ad", ""))).strip()
+    taken = []
+    for m in re.finditer(rf"(?:^|\s)([0-9]{{1,3}})(?=[\s«¿\"“{UP}{LOW}])", flat):
+        if int(m[1]) == len(taken) + 1:
+            taken.append(m.span())
+    ends = [start for start, _ in taken[1:]] + [len(flat)]
+    texts = [flat[content:end].strip() for (_, content), end in zip(taken, ends)]
+    return [(n, text) for n, text in enumerate(texts, 1) if text]
+
+
+def test_cuts_equal_patterns_over_the_whole_text(spark):
+    """Chapters and passages of random texts, by every pattern tried everywhere."""
+    rng = random.Random(11)
+    blanks = [" ", " ", " ", "\n", "\n", "  ", "\t", "\x1c", "\x85", "\u00a0", "\u3000", "\u00ad", "-\n", "*"]
+    tokens = (
+        "1 2 3 4 5 01 002 0 10 123 1234 Gén1 Gén2* xGén1 _Gén3 ²Gén2 Gén11 Gén1*3 Salmo Salmos Salmo_1 (3) (6)* a B É ñ « ¿ “ | ; : ,"
+        " *1,2 3,4a; 5,6| 1:2: 1.2-3: palabra 😀"
+    ).split() + ["Gén1 1 A", "Salmo 5 (6)*", "9 (10)*", "Salmo\n0007(8)", "Salmo " + "9" * 20, "\n1: 2 Sam 3", "\n1 «x", "y" * 480]
+    texts = ["", *("".join(rng.choice(tokens) + rng.choice([*blanks, ""]) for _ in range(rng.randint(1, 60))) for _ in range(600))]
+    texts += [" ".join(f"{i}{rng.choice(['', ' '])}{rng.choice(['a', 'Ñ', '?', '«'])}" for i in range(1, n)) for n in (1, 5, 120, 1005)]
+    books = [(0, "standard", "Gén", 11), (1, "salmos", "Sal", 150), (2, "single", "Abd", 1)]
+    dim = spark.createDataFrame([(i, abbr, abbr, abbr, total, kind) for i, kind, abbr, total in books], segment.DIM)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, chunk string")
+    found = segment.chapters(docs.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("ord"))), dim)
+    assert sorted((r.doc_id, r.ord, r.chapter, r.chunk) for r in found.collect()) == [
+        (doc, i, *chapter) for doc, text in enumerate(texts) for i, kind, abbr, total in books
+        for chapter in plain_chapters(text, kind, abbr, total)
+    ]
+    rows = docs.selectExpr("doc_id", "0 as ord", "'' as name", "'' as abbr", "1 as chapter", "chunk")
+    assert sorted((r.doc_id, r.num, r.text) for r in segment.passages(rows).collect()) == [
+        (doc, *passage) for doc, text in enumerate(texts) for passage in plain_passages(text)
+    ]
+
+
+def test_missing_values_have_no_pieces(spark):
+    dim = spark.createDataFrame([(0, "n", None, "", 3, "standard"), (1, "n", "A", "", None, "standard"), (2, None, "A", "", 1, None)], segment.DIM)
+    rows = spark.createDataFrame([(7, 0, "A1 1 x"), (7, 1, "A1 1 x"), (7, 2, None), (None, 2, "1 x"), (7, None, "1 x")], "doc_id int, ord int, chunk string")
+    found = segment.chapters(rows, dim)
+    assert [tuple(r) for r in found.collect()] == [(None, 2, None, "A", 1, "1 x")]
+    assert segment.passages(rows.selectExpr("*", "'n' as name", "'A' as abbr", "1 as chapter").filter("chunk is null")).count() == 0
+
+
+def test_structure_cuts_in_one_pass(spark):
+    """One pass of the workers over a document, nothing interpreted for each number or line of it; the rows of the steps."""
+    texts = [RAW, None, "", "x SALMOS\n\nSalmo 1\n" + "\n".join(f"{i} {'palabra ' * 900}" for i in range(1, 999)), RAW.replace("ABDÍAS", "RUT")]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id bigint, value string").coalesce(1)
+    dim = segment.book_dimension(spark)
+    rows = segment.structure(docs, dim)
+    steps = segment.passages(segment.chapters(segment.sections(docs), dim))
+    assert rows.schema == steps.schema
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, steps.collect()))
+    assert rows.filter("doc_id = 3").count() == 998
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "lambda" not in plan
